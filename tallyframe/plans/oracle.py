@@ -210,3 +210,20 @@ def dround(expr: str, digits: int) -> str:
 
 def pct(part: str, total: str, digits: int = 1) -> str:
     return dround(f"CAST({part} AS DOUBLE) * 100.0 / NULLIF(CAST({total} AS DOUBLE), 0.0)", digits)
+
+
+def fixed(expr: str, digits: int) -> str:
+    return f"printf('%.{digits}f', CAST(ROUND(CAST({expr} AS DECIMAL(38,10)), {digits}) AS DECIMAL(38,{digits})))"
+
+
+def thousands(expr: str) -> str:
+    return f"format('{{:,}}', CAST(ROUND(CAST({expr} AS DECIMAL(38,2)), 0) AS HUGEINT))"
+
+
+def abbrev(expr: str, decimals=(2, 2, 1, 0)) -> str:
+    """SQL twin of tallyframe.functions.format.abbrev."""
+    v = f"CAST({expr} AS DOUBLE)"
+    units = (("1e12", "T"), ("1e9", "B"), ("1e6", "M"), ("1e3", "K"))
+    arms = [f"WHEN {v} >= {s} THEN '₱' || {fixed(f'{v} / {s}', d)} || '{u}'"
+            for (s, u), d in zip(units, decimals) if d is not None]
+    return f"(CASE {' '.join(arms)} ELSE '₱' || {thousands(v)} END)"
