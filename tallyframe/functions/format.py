@@ -17,8 +17,9 @@ SUMMARY_DECIMALS = (2, 1, 1, None)
 TABLE_DECIMALS = (None, 2, 1, 0)
 
 
-def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", dround(x, digits).cast(f"decimal(38,{digits})"))
+def fixed(x: Column, digits: int) -> Column:
+    """Half-up rounded value printed with exactly ``digits`` places ('%.nf')."""
+    return dround(x, digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def thousands(c) -> Column:
@@ -38,7 +39,7 @@ def abbrev(c, decimals=WORKSHOP_DECIMALS, symbol: str = PESO) -> Column:
     for (scale, suffix), d in zip(units, decimals):
         if d is None:
             continue
-        label = F.concat(F.lit(symbol), _fixed(v / F.lit(scale), d), F.lit(suffix))
+        label = F.concat(F.lit(symbol), fixed(v / F.lit(scale), d), F.lit(suffix))
         out = F.when(v >= scale, label) if out is None else out.when(v >= scale, label)
     small = F.concat(F.lit(symbol), thousands(v))
     return small if out is None else out.otherwise(small)

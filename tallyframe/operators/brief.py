@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.format import WORKSHOP_DECIMALS, abbrev
+from tallyframe.functions.format import WORKSHOP_DECIMALS, abbrev, fixed
 from tallyframe.functions.money import dround, pct  # noqa: F401
 from tallyframe.operators import concentration
 
@@ -73,8 +73,8 @@ def workshop_brief(cleaned: DataFrame, group: str = "department", amount: str =
         total=abbrev(F.col("total"), WORKSHOP_DECIMALS),
         groups=F.col("groups").cast("string"),
         top=F.col("largest"), bottom=F.col("smallest"),
-        top_pct=F.format_string("%.1f", F.col("top_pct").cast("decimal(38,1)")),
-        ratio=F.format_string("%.0f", F.col("ratio").cast("decimal(38,0)")),
+        top_pct=fixed(F.col("top_pct"), 1),
+        ratio=fixed(F.col("ratio"), 0),
     )
     return e.select(text.alias("executive_brief"))
 
@@ -102,10 +102,9 @@ def ledger_brief(agg_department: DataFrame, agg_expense: DataFrame, agg_region:
     reg = row_share(agg_region, "region_id", region_id).withColumnRenamed("pct", "region_pct")
     depts = agg_department.agg(F.count(F.lit(1)).alias("departments"))
     one = top3.crossJoin(shares).crossJoin(reg).crossJoin(depts)
-    num = lambda c: F.format_string("%.1f", F.col(c).cast("decimal(38,1)"))
+    num = lambda c: fixed(F.col(c), 1)
     slots = dict(
-        trillions=F.format_string("%.2f", dround(F.col("total").cast("double") / F.lit(1e12), 2)
-                                  .cast("decimal(38,2)")),
+        trillions=fixed(F.col("total").cast("double") / F.lit(1e12), 2),
         departments=F.col("departments").cast("string"), top3=F.col("names"),
         ps=num("ps_pct"), co=num("co_pct"), region=F.lit(region_label or f"Region {region_id}"),
         region_pct=num("region_pct"))
