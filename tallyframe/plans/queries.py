@@ -1,3 +1,3 @@
 """All registered queries, grouped by SURVEY section."""
 
-from tallyframe.plans import q_analytics, q_explore, q_ingest, q_quality  # noqa: F401
+from tallyframe.plans import q_analytics, q_explore, q_geo, q_ingest, q_quality  # noqa: F401
