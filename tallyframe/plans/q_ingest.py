@@ -83,3 +83,70 @@ UNION ALL SELECT 'agg_region', COUNT(*) FROM agg_region""",
     "raw", "detail", "agg_department", "agg_expense", "agg_agency", "agg_region"))
 def _s11(c):
     return stage_counts({"raw": c.raw, "cleaned": c.detail, **c.agg})
+
+
+# ---------------------------------------------------------------- A19 on events
+
+_A19 = """SELECT event_type, n AS runs,
+    CASE WHEN n % 2 = 1 THEN MAX(CASE WHEN i = n // 2 THEN value END)
+         ELSE (MAX(CASE WHEN i = n // 2 - 1 THEN value END) + MAX(CASE WHEN i = n // 2 THEN value END)) / 2.0
+    END AS median_value,
+    MAX(value) AS max_value
+  FROM (SELECT event_type, value, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,
+               COUNT(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+  GROUP BY event_type, n"""
+
+
+@query("a19_measurement_stats", f"SELECT *, median_value < 100.0 AS passed FROM ({_A19})")
+def _a19(c):
+    from tallyframe.operators import measure
+
+    return measure.measurement_stats(c.t["events"], "event_type", "value")
+
+
+@query("a19_median_of_medians", f"""SELECT n AS groups,
+    CASE WHEN n % 2 = 1 THEN MAX(CASE WHEN i = n // 2 THEN median_value END)
+         ELSE (MAX(CASE WHEN i = n // 2 - 1 THEN median_value END) + MAX(CASE WHEN i = n // 2 THEN median_value END)) / 2.0
+    END AS median_of_medians,
+    median_of_medians < 100.0 AS overall_passed, BOOL_AND(median_value < 100.0) AS all_passed
+  FROM (SELECT median_value, ROW_NUMBER() OVER (ORDER BY median_value) - 1 AS i, COUNT(*) OVER () AS n
+        FROM ({_A19}))
+  GROUP BY n""")
+def _a19b(c):
+    from tallyframe.operators import measure
+
+    return measure.overall(measure.measurement_stats(c.t["events"], "event_type", "value"))
+
+
+# ---------------------------------------------------------------- S1 / S8 / S9
+
+@query("s1_csv_scan", sql("""SELECT NULLIF(id, '') AS id, NULLIF(department, '') AS department,
+    NULLIF(agency, '') AS agency, NULLIF(amount, '') AS amount, NULLIF(category, '') AS category,
+    NULLIF(region, '') AS region FROM wraw""", "wraw"))
+def _s1(c):
+    from tallyframe.session import scratch_path
+    from tallyframe.sources.text import read_csv_text
+
+    path = scratch_path(c.spark, "raw_dataset_csv")
+    (c.wraw.withColumnRenamed("amount", "  amount ").write.mode("overwrite")
+     .option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_csv_text(c.spark, path)
+
+
+@query("s8_series_json", None)
+def _s8(c):
+    from tallyframe.operators import explore
+    from tallyframe.session import scratch_path
+    from tallyframe.sources.jsonio import write_series
+
+    path = write_series(explore.totals_by(c.wclean, "department", k=10), scratch_path(c.spark, "layer1"))
+    return c.spark.read.json(path)
+
+
+@query("s9_brief_json", None)
+def _s9(c):
+    from tallyframe.operators import brief
+    from tallyframe.sources.jsonio import brief_json
+
+    return brief_json(brief.workshop_brief(c.wclean))

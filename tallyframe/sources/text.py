@@ -10,7 +10,8 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header row, every column read as text, header names trimmed.
 
     ``inferSchema`` stays off; Spark keeps padded header names, so they are
-    trimmed here (``'  amount '`` becomes ``amount``).
+    trimmed here (``'  amount '`` becomes ``amount``). Empty fields, quoted
+    or not, read as NULL; cell whitespace is kept.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
