@@ -1,0 +1,5 @@
+"""Incremental ingest with Structured Streaming.
+
+The reference is batch only; this folder holds the same ingest operator run
+incrementally over arriving raw files, not new semantics.
+"""
