@@ -22,7 +22,9 @@ def tolerant_bigint(c) -> Column:
     Goes through decimal(38,10) so '2.5' -> 3, '1e3' -> 1000 and '1,000' -> NULL,
     the meaning of the reference's tolerant integer cast.
     """
-    return F.round(as_col(c).try_cast("decimal(38,10)"), 0).try_cast("bigint")
+    c = as_col(c)
+    # fast path: plain integer text parses straight to BIGINT (no decimal object)
+    return F.coalesce(c.try_cast("bigint"), F.round(c.try_cast("decimal(38,10)"), 0).try_cast("bigint"))
 
 
 def parse_money(c) -> Column:

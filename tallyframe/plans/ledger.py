@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.sources.tables import spread
+
 # The deny list of meta departments and the dirt rules' moduli.
 DENIED_DEPARTMENTS = ("Automatic Appropriations", "New General Appropriations")
 
@@ -33,16 +35,19 @@ def _code2(c: Column) -> Column:
 
 def base_lines(t) -> DataFrame:
     """lineitem joined to its order, part and supplier's nation (one row per line)."""
-    l = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                             "l_extendedprice", "l_returnflag", "l_linestatus")
+    l = spread(t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                    "l_extendedprice", "l_returnflag", "l_linestatus"))
     o = t["orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     s = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
     n = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
-    sn = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    # Each dimension joins the fact side directly, so the broadcast decision is
+    # made on the dimension's own scan size (a join's size estimate is the
+    # product of its inputs and would never broadcast). nation is fixed-size.
     return (l.join(o, l.l_orderkey == o.o_orderkey)
              .join(p, l.l_partkey == p.p_partkey)
-             .join(sn, l.l_suppkey == sn.s_suppkey))
+             .join(s, l.l_suppkey == s.s_suppkey)
+             .join(F.broadcast(n), F.col("s_nationkey") == n.n_nationkey))
 
 
 def amount_text(x: Column) -> Column:
