@@ -63,27 +63,62 @@ def files_readable(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         .select("gate", "check", *[F.col(c).cast(D).alias(c) for c in ("observed", "lower", "upper")], "passed")
 
 
-def completeness(detail: DataFrame, columns=V1_COLUMNS) -> DataFrame:
-    """V1: zero NULLs in the core columns (one pass)."""
-    agg = detail.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return checks(agg, [("V1", f"{c} has no nulls", F.col(c), 0, 0) for c in columns])
-
-
-def validity(detail: DataFrame, domain=EXPENSE_DOMAIN, implausible=10 ** 15) -> DataFrame:
-    """V2: no amount <= 0, none above 1e15, category in domain, amount_php = thousands * 1000."""
+def detail_summary(detail: DataFrame, columns=V1_COLUMNS, domain=EXPENSE_DOMAIN,
+                   implausible=10 ** 15) -> DataFrame:
+    """One pass over the detail for every detail-side measure of V1, V2, V4 and V5."""
     a = F.col("amount_php")
-    agg = detail.agg(
+    return detail.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
         F.count_if(a <= 0).alias("non_positive"),
         F.count_if(a > F.lit(implausible)).alias("implausible"),
         F.count_if(~F.col("expense_category").isin(*domain)).alias("bad_category"),
-        F.count_if(F.col("amount_thousands") * 1000 != a).alias("derived_mismatch"))
-    return checks(agg, [
+        F.count_if(F.col("amount_thousands") * 1000 != a).alias("derived_mismatch"),
+        F.sum(a.cast(D)).alias("t"), F.count(F.lit(1)).alias("n"))
+
+
+def _v1(summary: DataFrame, columns=V1_COLUMNS) -> DataFrame:
+    return checks(summary, [("V1", f"{c} has no nulls", F.col(f"null_{c}"), 0, 0) for c in columns])
+
+
+def _v2(summary: DataFrame) -> DataFrame:
+    return checks(summary, [
         ("V2", "no non-positive amounts", F.col("non_positive"), 0, 0),
         ("V2", "no implausible amounts", F.col("implausible"), 0, 0),
         ("V2", "expense_category in valid domain", F.col("bad_category"), 0, 0),
         ("V2", "derived amount_php = thousands*1000", F.col("derived_mismatch"), 0, 0)])
 
 
+def _v4(summary: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:
+    one, specs = summary.select("t", "n"), []
+    for name in ("agg_department", "agg_expense", "agg_agency", "agg_region"):
+        r = rollups[name].agg(F.sum("total_php").alias(f"{name}_t"), F.sum("line_items").alias(f"{name}_n"))
+        one = one.crossJoin(r)
+        specs.append(("V4", f"{name} total matches detail", F.col(f"{name}_t"), F.col("t"), F.col("t")))
+    specs.append(("V4", "agg_department line_items matches detail row count",
+                  F.col("agg_department_n"), F.col("n"), F.col("n")))
+    return checks(one, specs)
+
+
+def _v5(summary: DataFrame, agg_department: DataFrame, agg_region: DataFrame, bounds=ANCHORS) -> DataFrame:
+    one = (summary.select("t")
+           .crossJoin(agg_department.agg(F.count(F.lit(1)).alias("d")))
+           .crossJoin(agg_region.agg(F.count(F.lit(1)).alias("r"))))
+    return checks(one, [
+        ("V5", "grand total in expected range", F.col("t"), *bounds["total"]),
+        ("V5", "department count is plausible", F.col("d"), *bounds["departments"]),
+        ("V5", "region count is plausible", F.col("r"), *bounds["regions"])])
+
+
+def completeness(detail: DataFrame, columns=V1_COLUMNS) -> DataFrame:
+    """V1: zero NULLs in the core columns (one pass)."""
+    return _v1(detail_summary(detail, columns), columns)
+
+
+def validity(detail: DataFrame, domain=EXPENSE_DOMAIN, implausible=10 ** 15) -> DataFrame:
+    """V2: no amount <= 0, none above 1e15, category in domain, amount_php = thousands * 1000."""
+    return _v2(detail_summary(detail, domain=domain, implausible=implausible))
+
+
 def amount_range(detail: DataFrame) -> DataFrame:
     """V2 (info): min and max amount."""
     return detail.agg(F.min("amount_php").alias("min_amount"), F.max("amount_php").alias("max_amount"))
@@ -99,28 +134,12 @@ def uniqueness(detail: DataFrame) -> DataFrame:
 
 def consistency(detail: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:
     """V4: each roll-up total equals the detail total; department line items equal detail rows."""
-    base = detail.agg(F.sum(F.col("amount_php").cast(D)).alias("t"), F.count(F.lit(1)).alias("n"))
-    one = base
-    specs = []
-    for name in ("agg_department", "agg_expense", "agg_agency", "agg_region"):
-        r = rollups[name].agg(F.sum("total_php").alias(f"{name}_t"),
-                              F.sum("line_items").alias(f"{name}_n"))
-        one = one.crossJoin(r)
-        specs.append(("V4", f"{name} total matches detail", F.col(f"{name}_t"), F.col("t"), F.col("t")))
-    specs.append(("V4", "agg_department line_items matches detail row count",
-                  F.col("agg_department_n"), F.col("n"), F.col("n")))
-    return checks(one, specs)
+    return _v4(detail_summary(detail), rollups)
 
 
 def anchors(detail: DataFrame, agg_department: DataFrame, agg_region: DataFrame, bounds=ANCHORS) -> DataFrame:
     """V5: grand total, department count and region count inside the anchor ranges."""
-    one = (detail.agg(F.sum(F.col("amount_php").cast(D)).alias("t"))
-           .crossJoin(agg_department.agg(F.count(F.lit(1)).alias("d")))
-           .crossJoin(agg_region.agg(F.count(F.lit(1)).alias("r"))))
-    return checks(one, [
-        ("V5", "grand total in expected range", F.col("t"), *bounds["total"]),
-        ("V5", "department count is plausible", F.col("d"), *bounds["departments"]),
-        ("V5", "region count is plausible", F.col("r"), *bounds["regions"])])
+    return _v5(detail_summary(detail), agg_department, agg_region, bounds)
 
 
 def split_integrity(agg_department: DataFrame) -> DataFrame:
@@ -132,13 +151,21 @@ def split_integrity(agg_department: DataFrame) -> DataFrame:
 
 def all_gates(detail: DataFrame, rollups: dict[str, DataFrame], bounds=ANCHORS,
               file_checks: DataFrame | None = None) -> DataFrame:
+    """V0-V6 as one check frame: the detail is aggregated once (shared summary,
+    checkpointed so every gate reuses it) plus once for the DISTINCT of V3."""
+    summary = detail_summary(detail)
+    summary = summary.checkpoint(eager=True) if _has_checkpoint_dir(detail) else summary
     parts = ([file_checks] if file_checks is not None else []) + [
-        completeness(detail), validity(detail), uniqueness(detail), consistency(detail, rollups),
-        anchors(detail, rollups["agg_department"], rollups["agg_region"], bounds),
+        _v1(summary), _v2(summary), uniqueness(detail), _v4(summary, rollups),
+        _v5(summary, rollups["agg_department"], rollups["agg_region"], bounds),
         split_integrity(rollups["agg_department"])]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _has_checkpoint_dir(df: DataFrame) -> bool:
+    return bool(df.sparkSession.sparkContext.getCheckpointDir())
+
+
 def verdict(check_frame: DataFrame) -> DataFrame:
     """V7: passed and failed counts and the failure list (checks are few; list is bounded)."""
     failed = ~F.col("passed")
