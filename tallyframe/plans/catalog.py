@@ -30,9 +30,10 @@ _CONTEXTS: dict[tuple[int, str], Ledger] = {}
 
 def context(spark: SparkSession, sf_dir: str) -> Ledger:
     key = (id(spark), sf_dir)
-    if key not in _CONTEXTS:
-        _CONTEXTS[key] = Ledger(spark, sf_dir)
-    return _CONTEXTS[key]
+    ctx = _CONTEXTS.get(key)
+    if ctx is None or ctx.spark is not spark:
+        ctx = _CONTEXTS[key] = Ledger(spark, sf_dir)
+    return ctx
 
 
 def spark_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -150,3 +150,15 @@ def _s9(c):
     from tallyframe.sources.jsonio import brief_json
 
     return brief_json(brief.workshop_brief(c.wclean))
+
+
+# ---------------------------------------------------------------- S4: SQL over registered views
+
+@query("s4_sql_views", sql("""SELECT region_id, line_items, total_php FROM agg_region
+  WHERE total_php > (SELECT AVG(total_php) FROM agg_region)""", "agg_region"))
+def _s4(c):
+    from tallyframe.sources.tables import register_views
+
+    register_views(c.spark, {"tally_budget_detail": c.detail, "tally_agg_region": c.agg_region})
+    return c.spark.sql("""SELECT region_id, line_items, total_php FROM tally_agg_region
+                          WHERE total_php > (SELECT AVG(total_php) FROM tally_agg_region)""")

@@ -79,3 +79,12 @@ def test_dynamic_group_allow_list(spark):
     df = spark.createDataFrame([("a", Decimal("1.00"))], "department string, amount decimal(18,2)")
     with pytest.raises(ValueError):
         explore.dynamic_group(df, "amount; drop table x")
+
+
+def test_keyset_page_equals_offset_page(spark):
+    rows = [(i, (i * 37) % 1000) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, amount_php long").dropDuplicates(["amount_php"])
+    first = explore.top_k(df, "amount_php", 50).collect()
+    nxt = explore.page_after(df, "amount_php", first[-1].amount_php, 50).collect()
+    by_offset = df.orderBy(F.col("amount_php").desc()).offset(50).limit(50).collect()
+    assert [r.amount_php for r in nxt] == [r.amount_php for r in by_offset]
