@@ -8,8 +8,10 @@ the largest ``pos``). Nothing assumes a ring fits in one task:
   segment (between two kept vertices) it lies in; a round computes every
   point's distance to its segment's chord and takes the per-segment argmax
   as a map-side-combinable ``min(struct(-d, pos))``; segments whose maximum
-  exceeds the tolerance split at that point. Points in finished segments
-  leave the active set. Every round is checkpointed to the shared folder.
+  exceeds the tolerance split at that point. Segments small enough to be a
+  bounded group (``LOCAL_SEGMENT_POINTS``) are finished in one vectorised
+  pandas call with the same arithmetic. Points in finished segments leave
+  the active set. Every round is checkpointed to the shared folder.
 * Rounding to 2 places uses Python's ``round`` on the kept vertices only
   (an Arrow-batched pandas UDF); Spark's ``bround`` differs on binary ties.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,12 +115,53 @@ def _distance(x0, y0, ax, ay, bx, by) -> Column:
     return F.when(degenerate, to_a).otherwise(to_p)
 
 
-def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int = 10_000) -> DataFrame:
+LOCAL_SEGMENT_POINTS = 50_000
+
+
+def _np_distance(x0, y0, ax, ay, bx, by):
+    """Same operations, in the same order, as ``_distance`` (identical doubles)."""
+    dx, dy = bx - ax, by - ay
+    if dx == 0 and dy == 0:
+        return np.sqrt((x0 - ax) * (x0 - ax) + (y0 - ay) * (y0 - ay))
+    t = ((x0 - ax) * dx + (y0 - ay) * dy) / (dx * dx + dy * dy)
+    t = np.maximum(0.0, np.minimum(1.0, t))
+    px, py = ax + t * dx, ay + t * dy
+    return np.sqrt((x0 - px) * (x0 - px) + (y0 - py) * (y0 - py))
+
+
+def _finish_segments(tolerance: float):
+    """applyInPandas body: Douglas-Peucker inside one bounded segment; returns kept interior points."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        first = pdf.iloc[0]
+        xs = np.concatenate([[first.ax], pdf.x.to_numpy(), [first.bx]])
+        ys = np.concatenate([[first.ay], pdf.y.to_numpy(), [first.by]])
+        keep = []
+        stack = [(0, len(xs) - 1)]
+        while stack:
+            lo, hi = stack.pop()
+            if hi - lo < 2:
+                continue
+            d = _np_distance(xs[lo + 1:hi], ys[lo + 1:hi], xs[lo], ys[lo], xs[hi], ys[hi])
+            i = int(np.argmax(d))           # first maximum = smallest pos
+            if d[i] > tolerance:
+                m = lo + 1 + i
+                keep.append(m - 1)          # index into the interior points
+                stack += [(lo, m), (m, hi)]
+        out = pdf.iloc[sorted(keep)]
+        return out[["feature", "poly_no", "ring_no", "pos", "x", "y"]]
+    return run
+
+
+def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int = 10_000,
+             local_points: int = LOCAL_SEGMENT_POINTS) -> DataFrame:
     """Douglas-Peucker over every ring, distributed by segment.
 
     Returns the kept vertices ``(feature, poly_no, ring_no, pos, x, y)``:
-    both ends of each ring plus every split point. Rings with one or two
-    vertices keep them all.
+    both ends of each ring plus every split point. A segment with at most
+    ``local_points`` interior points is finished in one pandas call (a
+    bounded group); larger segments are split by distributed rounds, so a
+    ring of any size never sits in one task.
     """
     spark = v.sparkSession
     checkpoint_dir(spark)
@@ -131,13 +175,18 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
                       F.col("b.pos").alias("hi"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
               .checkpoint(eager=True))
     seg = RING + ["lo"]
+    out_schema = "feature string, poly_no bigint, ring_no bigint, pos bigint, x double, y double"
     for _ in range(max_rounds):
         d = _distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        far = (active.groupBy(*seg)
-               .agg(F.min(F.struct((-d).alias("nd"), F.col("pos"), F.col("x"), F.col("y"))).alias("m"))
-               .where(-F.col("m.nd") > F.lit(tolerance))
-               .select(*seg, F.col("m.pos").alias("mp"), F.col("m.x").alias("mx"), F.col("m.y").alias("my"))
-               .checkpoint(eager=True))
+        stats = (active.groupBy(*seg)
+                 .agg(F.count(F.lit(1)).alias("n"),
+                      F.min(F.struct((-d).alias("nd"), F.col("pos"), F.col("x"), F.col("y"))).alias("m"))
+                 .checkpoint(eager=True))
+        small = stats.where(F.col("n") <= local_points).select(*seg)
+        kept.append(active.join(small, seg, "left_semi").groupBy(*seg)
+                    .applyInPandas(_finish_segments(tolerance), out_schema).checkpoint(eager=True))
+        far = (stats.where((F.col("n") > local_points) & (-F.col("m.nd") > F.lit(tolerance)))
+               .select(*seg, F.col("m.pos").alias("mp"), F.col("m.x").alias("mx"), F.col("m.y").alias("my")))
         if far.isEmpty():
             break
         kept.append(far.select(*RING, F.col("mp").alias("pos"), F.col("mx").alias("x"), F.col("my").alias("y")))

@@ -52,5 +52,9 @@ def spread(df: DataFrame) -> DataFrame:
     after it would run single-threaded. On large inputs the scan already has
     at least ``defaultParallelism`` splits and this is a no-op (no shuffle).
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD access, e.g. Spark Connect: leave the plan as is)
+        return df
+    return df.repartition(want) if have < want else df

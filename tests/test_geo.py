@@ -118,3 +118,10 @@ def test_geojson_round_trip(spark, tmp_path):
     assert caraga["geometry"]["type"] == "MultiPolygon" and len(caraga["geometry"]["coordinates"]) == 1
     back = geojson.read_features(spark, out, label="region_id")
     assert back.count() == kept.count()
+
+
+def test_distributed_rounds_equal_local_finish(vertices):
+    """Forcing every split through distributed rounds gives the same vertices as local finishing."""
+    a = geo.simplify(vertices, 0.015, local_points=0)
+    b = geo.simplify(vertices, 0.015)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
