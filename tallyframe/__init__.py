@@ -7,3 +7,18 @@ is collected to the driver except bounded check frames.
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_udfs_by_value() -> None:
+    """Pickle this package's functions by value, so pandas UDF tasks need no installed copy."""
+    try:
+        import sys
+
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001  (older cloudpickle: the package must be on the executors' path)
+        pass
+
+
+_ship_udfs_by_value()
