@@ -104,10 +104,12 @@ def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: floa
         for j, q in enumerate(qs)])).alias("w")).select("w.*")
     picked = ranked.join(F.broadcast(want), "_r").select("j", F.col(value).alias("_b"))
     breaks = picked.agg(*[F.max(F.when(F.col("j") == j, F.col("_b"))).alias(f"b{j}") for j in range(len(qs))])
+    breaks = breaks.crossJoin(n)
     out_total = df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))),
                                   F.lit(0)).alias("_outlier"))
     v = F.col(value)
-    bin_ = F.when(v >= F.col("_outlier") * F.lit(factor), F.lit(5))
+    # no other rows: everything takes the lowest bin (nothing to compare against)
+    bin_ = F.when(F.col("_n") == 0, F.lit(0)).when(v.cast("double") >= F.col("_outlier").cast("double") * F.lit(factor), F.lit(5))
     for j in reversed(range(len(qs))):
         bin_ = bin_.when(v >= F.col(f"b{j}"), F.lit(j + 1))
     bin_ = bin_.otherwise(F.lit(0))
@@ -149,13 +151,12 @@ def leader_gap(df: DataFrame, key: str, value: str, tie_tolerance: float = 0.001
     """M8: leader vs runner-up: gap, ratio (1 dp), leader's share (1 dp), tie flag."""
     top2 = df.orderBy(F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last()).limit(2)
     total = df.agg(F.sum(value).alias("_t"))
-    ranked = top2.select(key, value, F.row_number().over(
-        Window.orderBy(F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last())).alias("_rn"))
-    two = ranked.agg(
-        F.max(F.when(F.col("_rn") == 1, F.col(key))).alias("leader"),
-        F.max(F.when(F.col("_rn") == 1, F.col(value))).alias("leader_total"),
-        F.max(F.when(F.col("_rn") == 2, F.col(key))).alias("runner_up"),
-        F.max(F.when(F.col("_rn") == 2, F.col(value))).alias("runner_up_total"))
+    # two rows at most: sort them as an array (value desc, key asc) instead of a window
+    pair = top2.agg(F.sort_array(F.collect_list(
+        F.struct((-F.col(value)).alias("nv"), F.col(key).alias("k"), F.col(value).alias("v")))).alias("_p"))
+    first, second = F.try_element_at("_p", F.lit(1)), F.try_element_at("_p", F.lit(2))
+    two = pair.select(first["k"].alias("leader"), first["v"].alias("leader_total"),
+                      second["k"].alias("runner_up"), second["v"].alias("runner_up_total"))
     a, b = F.col("leader_total"), F.col("runner_up_total")
     return two.crossJoin(total).select(
         "leader", "leader_total", "runner_up", "runner_up_total",

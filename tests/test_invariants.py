@@ -74,3 +74,17 @@ def test_leader_gap(led):
     tot = sorted((float(r.total_php) for r in led.agg_region.collect()), reverse=True)
     assert float(g.leader_total) == tot[0] and float(g.runner_up_total) == tot[1]
     assert g.tied == (abs(tot[0] - tot[1]) / tot[0] < 0.001)
+
+
+def test_leader_gap_single_row(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([("13", Decimal(5))], "region_id string, total_php decimal(38,0)")
+    g = concentration.leader_gap(df, "region_id", "total_php").first()
+    assert g.leader == "13" and g.runner_up is None and g.ratio is None and g.tied is False
+    assert g.leader_pct == 100.0
+
+
+def test_bins_with_only_the_outlier(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([("13", Decimal(5))], "region_id string, total_php decimal(38,0)")
+    assert [r.bin for r in concentration.quantile_bins(df, "region_id", "total_php", "13").collect()] == [0]
