@@ -64,10 +64,43 @@ def grand_total(df: DataFrame, amount: str = "amount_php", alias: str = "grand_t
     return df.agg(money_sum(amount).alias(alias))
 
 
-def rollups(detail: DataFrame) -> dict[str, DataFrame]:
+BASE_KEYS = (*DEPT_KEYS, "agency_code", "agency_name", "expense_category", "expense_class", "region_id")
+
+
+def base_grain(detail: DataFrame) -> DataFrame:
+    """The finest grain any roll-up needs: one row per department x agency x class x region.
+
+    Its size is bounded by dimension combinations, not by line items, and every
+    distinct-counted column is a key, so all four roll-ups derive from it exactly.
+    """
+    return detail.groupBy(*BASE_KEYS).agg(F.count(F.lit(1)).alias("line_items"),
+                                          money_sum("amount_php").alias("total_php"))
+
+
+def _split_from_base() -> list[Column]:
+    return [F.sum(F.when(F.col("expense_category") == code, F.col("total_php")).otherwise(F.lit(0))).alias(name)
+            for code, name in CATEGORY_COLUMNS]
+
+
+def rollups(detail: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
+    """A1-A4 from one pass over the detail (``base_grain``), then cheap roll-ups of it.
+
+    With ``materialize`` the base is checkpointed once, so the four outputs
+    never rescan the detail.
+    """
+    base = base_grain(detail)
+    if materialize:
+        from tallyframe.session import checkpoint_dir
+
+        checkpoint_dir(detail.sparkSession)
+        base = base.checkpoint(eager=True)
+    n, t = F.sum("line_items").alias("line_items"), F.sum("total_php").alias("total_php")
     return {
-        "agg_department": department_rollup(detail),
-        "agg_expense": expense_rollup(detail),
-        "agg_agency": agency_rollup(detail),
-        "agg_region": region_rollup(detail),
+        "agg_department": base.groupBy(*DEPT_KEYS).agg(
+            n, t, *_split_from_base(), F.count_distinct("agency_code").alias("agency_count")),
+        "agg_expense": base.groupBy("expense_category", "expense_class").agg(n, t),
+        "agg_agency": base.groupBy(*DEPT_KEYS, "agency_code", "agency_name", "expense_category").agg(n, t),
+        "agg_region": base.groupBy("region_id").agg(
+            n, t, *_split_from_base(), F.count_distinct("department_short").alias("department_count"),
+            F.count_distinct("agency_name").alias("agency_count")),
     }

@@ -88,3 +88,14 @@ def test_bins_with_only_the_outlier(spark):
     from decimal import Decimal
     df = spark.createDataFrame([("13", Decimal(5))], "region_id string, total_php decimal(38,0)")
     assert [r.bin for r in concentration.quantile_bins(df, "region_id", "total_php", "13").collect()] == [0]
+
+
+def test_rollups_from_base_equal_direct(led):
+    from tallyframe.operators import rollup
+    direct = {"agg_department": rollup.department_rollup, "agg_expense": rollup.expense_rollup,
+              "agg_agency": rollup.agency_rollup, "agg_region": rollup.region_rollup}
+    via_base = rollup.rollups(led.detail)
+    for name, fn in direct.items():
+        a, b = fn(led.detail), via_base[name].select(*fn(led.detail).columns)
+        assert a.schema == b.schema, name
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
