@@ -97,5 +97,5 @@ def test_rollups_from_base_equal_direct(led):
     via_base = rollup.rollups(led.detail)
     for name, fn in direct.items():
         a, b = fn(led.detail), via_base[name].select(*fn(led.detail).columns)
-        assert a.schema == b.schema, name
+        assert a.dtypes == b.dtypes, name   # nullability may differ (a sum of counts is nullable)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
