@@ -1,7 +1,7 @@
 """Narrative briefs (M18, M19) and shares of roll-ups.
 
-Each brief is a single-row (or few-row) frame built from one-row aggregates
-cross-joined together; the text is a ``format_string``/``concat`` column.
+Each brief is a single-row (or few-row) frame whose inputs are one-row
+aggregates attached as scalar subqueries; the text is a ``concat`` column.
 """
 
 from __future__ import annotations
@@ -51,9 +51,8 @@ def category_shares(agg_expense: DataFrame, categories=("PS", "CO")) -> DataFram
 
 def row_share(df: DataFrame, key: str, value, column: str = "total_php") -> DataFrame:
     """One row's share of the table total (scalar subquery as a one-row broadcast)."""
-    total = df.agg(F.sum(column).alias("_t"))
-    return (df.where(F.col(key) == F.lit(value)).crossJoin(F.broadcast(total))
-            .select(pct(F.col(column), F.col("_t"), 1).alias("pct")))
+    total = df.agg(F.sum(column)).scalar()
+    return df.where(F.col(key) == F.lit(value)).select(pct(F.col(column), total, 1).alias("pct"))
 
 
 def top_names(df: DataFrame, name: str, value: str, k: int = 3, sep: str = ", ") -> DataFrame:
@@ -101,7 +100,9 @@ def ledger_brief(agg_department: DataFrame, agg_expense: DataFrame, agg_region:
     shares = category_shares(agg_expense, ("PS", "CO"))
     reg = row_share(agg_region, "region_id", region_id).withColumnRenamed("pct", "region_pct")
     depts = agg_department.agg(F.count(F.lit(1)).alias("departments"))
-    one = top3.crossJoin(shares).crossJoin(reg).crossJoin(depts)
+    one = top3.select("names", *[shares.select(c).scalar().alias(c) for c in shares.columns],
+                      reg.select("region_pct").scalar().alias("region_pct"),
+                      depts.select("departments").scalar().alias("departments"))
     num = lambda c: fixed(F.col(c), 1)
     slots = dict(
         trillions=fixed(F.col("total").cast("double") / F.lit(1e12), 2),

@@ -86,10 +86,7 @@ def castable_amount_rows(raw: DataFrame) -> DataFrame:
 
 def ingest_removed(raw: DataFrame, detail: DataFrame) -> DataFrame:
     """D4 (ingest): castable rows before vs final rows, and the difference."""
-    before = castable_amount_rows(raw).agg(F.count(F.lit(1)).alias("before_rows"))
-    after = detail.agg(F.count(F.lit(1)).alias("after_rows"))
-    return before.crossJoin(after).select(
-        "before_rows", "after_rows", (F.col("before_rows") - F.col("after_rows")).alias("removed_rows"))
+    return removed_rows(castable_amount_rows(raw), detail)
 
 
 # ---------------------------------------------------------------- workshop
@@ -131,6 +128,6 @@ def clean_workshop(raw: DataFrame) -> DataFrame:
 def removed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows before, after and removed, as one row."""
     b = before.agg(F.count(F.lit(1)).alias("before_rows"))
-    a = after.agg(F.count(F.lit(1)).alias("after_rows"))
-    return b.crossJoin(a).select("before_rows", "after_rows",
-                                 (F.col("before_rows") - F.col("after_rows")).alias("removed_rows"))
+    after_rows = after.agg(F.count(F.lit(1))).scalar()
+    return b.select("before_rows", after_rows.alias("after_rows"),
+                    (F.col("before_rows") - after_rows).alias("removed_rows"))

@@ -3,7 +3,7 @@
 Ranks are exact global row numbers computed without a single-partition
 window: the frame is range-partitioned on the ordering, numbered inside each
 partition, and offset by the (tiny, one row per partition) prefix counts.
-Shares divide by a one-row total that is broadcast, not by a window.
+Shares divide by a scalar-subquery total (computed once), not by a window.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def rank_by(df: DataFrame, value: str, tie=(), out: str = "rank", ascending: boo
 
 
 def with_total(df: DataFrame, value: str, alias: str = "_total") -> DataFrame:
-    total = df.agg(F.sum(value).alias(alias))
-    return df.crossJoin(F.broadcast(total))
+    """Attach the column total as a scalar subquery (computed once, shipped as a value)."""
+    return df.withColumn(alias, df.agg(F.sum(value)).scalar())
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "pct", digits: int = 1) -> DataFrame:
@@ -82,9 +82,8 @@ def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 def relative_to_max(df: DataFrame, value: str, out: str = "rel_to_max", digits: int = 4) -> DataFrame:
     """Value / max(value), max from a one-row broadcast."""
-    mx = df.agg(F.max(value).alias("_max"))
-    rel = dround(F.col(value).cast("double") / F.nullif(F.col("_max").cast("double"), F.lit(0.0)), digits)
-    return df.crossJoin(F.broadcast(mx)).withColumn(out, rel).drop("_max")
+    mx = df.agg(F.max(value)).scalar()
+    return df.withColumn(out, dround(F.col(value).cast("double") / F.nullif(mx.cast("double"), F.lit(0.0)), digits))
 
 
 def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9,
@@ -104,17 +103,16 @@ def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: floa
         for j, q in enumerate(qs)])).alias("w")).select("w.*")
     picked = ranked.join(F.broadcast(want), "_r").select("j", F.col(value).alias("_b"))
     breaks = picked.agg(*[F.max(F.when(F.col("j") == j, F.col("_b"))).alias(f"b{j}") for j in range(len(qs))])
-    breaks = breaks.crossJoin(n)
-    out_total = df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))),
-                                  F.lit(0)).alias("_outlier"))
+    b = [breaks.select(f"b{j}").scalar() for j in range(len(qs))]
+    outlier = df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))), F.lit(0))).scalar()
     v = F.col(value)
     # no other rows: everything takes the lowest bin (nothing to compare against)
-    bin_ = F.when(F.col("_n") == 0, F.lit(0)).when(v.cast("double") >= F.col("_outlier").cast("double") * F.lit(factor), F.lit(5))
+    bin_ = (F.when(n.select("_n").scalar() == 0, F.lit(0))
+            .when(v.cast("double") >= outlier.cast("double") * F.lit(factor), F.lit(5)))
     for j in reversed(range(len(qs))):
-        bin_ = bin_.when(v >= F.col(f"b{j}"), F.lit(j + 1))
+        bin_ = bin_.when(v >= b[j], F.lit(j + 1))
     bin_ = bin_.otherwise(F.lit(0))
-    return (df.crossJoin(F.broadcast(breaks)).crossJoin(F.broadcast(out_total))
-            .select(key, value, bin_.cast("int").alias("bin")))
+    return df.select(key, value, bin_.cast("int").alias("bin"))
 
 
 def bin_legend(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9) -> DataFrame:
@@ -130,7 +128,7 @@ def bin_legend(df: DataFrame, key: str, value: str, outlier_key, factor: float =
         *[F.max(F.when(F.col("j") == j, F.col(value))).alias(f"b{j}") for j in range(4)])
     out_total = df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))),
                                   F.lit(0)).alias("_o"))
-    row = b.crossJoin(out_total)
+    row = b.select("*", out_total.select("_o").scalar().alias("_o"))
     lab = lambda c: abbrev(F.col(c), DASHBOARD_DECIMALS)
     null = F.lit(None).cast("decimal(38,0)")
     bins = F.array(
@@ -150,7 +148,7 @@ def bin_legend(df: DataFrame, key: str, value: str, outlier_key, factor: float =
 def leader_gap(df: DataFrame, key: str, value: str, tie_tolerance: float = 0.001) -> DataFrame:
     """M8: leader vs runner-up: gap, ratio (1 dp), leader's share (1 dp), tie flag."""
     top2 = df.orderBy(F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last()).limit(2)
-    total = df.agg(F.sum(value).alias("_t"))
+    total = df.agg(F.sum(value)).scalar()
     # two rows at most: sort them as an array (value desc, key asc) instead of a window
     pair = top2.agg(F.sort_array(F.collect_list(
         F.struct((-F.col(value)).alias("nv"), F.col(key).alias("k"), F.col(value).alias("v")))).alias("_p"))
@@ -158,11 +156,11 @@ def leader_gap(df: DataFrame, key: str, value: str, tie_tolerance: float = 0.001
     two = pair.select(first["k"].alias("leader"), first["v"].alias("leader_total"),
                       second["k"].alias("runner_up"), second["v"].alias("runner_up_total"))
     a, b = F.col("leader_total"), F.col("runner_up_total")
-    return two.crossJoin(total).select(
+    return two.select(
         "leader", "leader_total", "runner_up", "runner_up_total",
         (a - F.coalesce(b, F.lit(0))).alias("gap"),
         dround(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), 1).alias("ratio"),
-        pct(a, F.col("_t"), 1).alias("leader_pct"),
+        pct(a, total, 1).alias("leader_pct"),
         F.coalesce((F.abs(a - b).cast("double") / a.cast("double")) < F.lit(tie_tolerance),
                    F.lit(False)).alias("tied"))
 

@@ -96,9 +96,9 @@ def vertex_counts(v: DataFrame) -> DataFrame:
 def vertex_totals(before: DataFrame, after: DataFrame) -> DataFrame:
     """Total vertices before and after, and the percentage kept (1 dp)."""
     b = before.agg(F.count(F.lit(1)).alias("before"))
-    a = after.agg(F.count(F.lit(1)).alias("after"))
+    a = b.select("before", after.agg(F.count(F.lit(1))).scalar().alias("after"))
     kept = F.round((F.col("after") * F.lit(100.0) / F.col("before")).cast("decimal(38,10)"), 1).cast("double")
-    return b.crossJoin(a).select("before", "after", kept.alias("pct_kept"))
+    return a.select("before", "after", kept.alias("pct_kept"))
 
 
 # ---------------------------------------------------------------- G2

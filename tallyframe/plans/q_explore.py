@@ -129,9 +129,9 @@ def _a8(c):
     from pyspark.sql import functions as F
 
     totals = explore.totals_by(c.wclean, "category")
-    grand = c.wclean.agg(explore.sum_amount().alias("grand_total"))
-    return totals.crossJoin(F.broadcast(grand)).select(
-        "category", "total", "grand_total", brief.pct(F.col("total"), F.col("grand_total"), 1).alias("pct"))
+    grand = c.wclean.agg(explore.sum_amount()).scalar()
+    return totals.select("category", "total", grand.alias("grand_total"),
+                         brief.pct(F.col("total"), grand, 1).alias("pct"))
 
 
 @query("a9_region_totals", _wtop("region"))
