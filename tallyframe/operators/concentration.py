@@ -202,11 +202,11 @@ def tiers(df: DataFrame, name: str, value: str, key=None, show: int = 5) -> Data
 
 
 def tier_summary(tier_df: DataFrame) -> DataFrame:
-    """Tier-1 / tier-3 total ratio, top (tier 1) and bottom (tier 3) shares."""
+    """Tier-1 / tier-3 total ratio (whole number), top (tier 1) and bottom (tier 3) shares."""
     t1 = F.max(F.when(F.col("tier") == 1, F.col("total")))
     t3 = F.max(F.when(F.col("tier") == 3, F.col("total")))
     return tier_df.agg(
-        dround(t1.cast("double") / F.nullif(t3.cast("double"), F.lit(0.0)), 1).alias("tier1_to_tier3"),
+        dround(t1.cast("double") / F.nullif(t3.cast("double"), F.lit(0.0)), 0).alias("tier1_to_tier3"),
         F.max(F.when(F.col("tier") == 1, F.col("pct"))).alias("top_pct"),
         F.max(F.when(F.col("tier") == 3, F.col("pct"))).alias("bottom_pct"))
 

@@ -147,7 +147,7 @@ def _m9(c):
 
 
 @query("m11_tier_summary", sql(f"""SELECT
-    {dround("CAST(MAX(CASE WHEN tier = 1 THEN total END) AS DOUBLE) / NULLIF(CAST(MAX(CASE WHEN tier = 3 THEN total END) AS DOUBLE), 0.0)", 1)} AS tier1_to_tier3,
+    {dround("CAST(MAX(CASE WHEN tier = 1 THEN total END) AS DOUBLE) / NULLIF(CAST(MAX(CASE WHEN tier = 3 THEN total END) AS DOUBLE), 0.0)", 0)} AS tier1_to_tier3,
     MAX(CASE WHEN tier = 1 THEN pct END) AS top_pct,
     MAX(CASE WHEN tier = 3 THEN pct END) AS bottom_pct
   FROM dept_tiers""", "dept_tiers"))
