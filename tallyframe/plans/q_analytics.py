@@ -9,6 +9,7 @@ from tallyframe.operators import brief, concentration, explore
 from tallyframe.plans.catalog import query
 from tallyframe.plans.oracle import abbrev as sql_abbrev
 from tallyframe.plans.oracle import define, dround, pct, sql
+from tallyframe.plans import q_geo  # noqa: F401  (defines the region_names CTE)
 from tallyframe.plans.q_explore import DRILL_DEPARTMENT, FOCUS_REGION
 
 OUTLIER_AGENCY = "42"
@@ -279,3 +280,30 @@ def _ledger_brief_sql(region_id):
 @query("m19_ledger_brief", sql(_ledger_brief_sql(FOCUS_REGION), "agg_department", "agg_expense", "agg_region"))
 def _m19(c):
     return brief.ledger_brief(c.agg_department, c.agg_expense, c.agg_region, FOCUS_REGION)
+
+
+@query("t1_m17_department_chart", sql(f"""SELECT department_short, total_php, ps_php, mooe_php, co_php,
+    {dround('CAST(ps_php AS DOUBLE) / 1e9', 1)} AS ps_b,
+    {dround('CAST(mooe_php AS DOUBLE) / 1e9', 1)} AS mooe_b,
+    {dround('CAST(co_php AS DOUBLE) / 1e9', 1)} AS co_b
+  FROM agg_department ORDER BY total_php DESC, department_short LIMIT 15""", "agg_department"))
+def _t1chart(c):
+    from tallyframe.functions.format import billions
+
+    top = explore.top_k(c.agg_department.select("department_short", "total_php", "ps_php", "mooe_php", "co_php"),
+                        "total_php", 15, tie=("department_short",))
+    return top.select("*", *[billions(k, 1).alias(k.replace("_php", "_b")) for k in ("ps_php", "mooe_php", "co_php")])
+
+
+@query("m1_j1_regional_distribution", sql(f"""SELECT a.region_id, a.total_php, a.ps_php, a.mooe_php, a.co_php,
+    COALESCE(nm.region_name, 'Region ' || a.region_id) AS region_name,
+    {pct('a.total_php', 'SUM(a.total_php) OVER ()')} AS pct
+  FROM agg_region a LEFT JOIN region_names nm ON a.region_id = nm.region_id""", "agg_region", "region_names"))
+def _regdist(c):
+    from tallyframe.operators import geo
+
+    rows = c.agg_region.select("region_id", "total_php", "ps_php", "mooe_php", "co_php")
+    empty = c.spark.createDataFrame([], "feature string, gtype string, region_id string, region_name string, "
+                                        "region_short string")
+    named = geo.region_names(rows, empty, geo.names_table(c.spark)).drop("region_short")
+    return concentration.share_of_total(named, "total_php")
