@@ -129,6 +129,37 @@ def _np_distance(x0, y0, ax, ay, bx, by):
     return np.sqrt((x0 - px) * (x0 - px) + (y0 - py) * (y0 - py))
 
 
+def _dp_keep(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> list[int]:
+    """Indices kept strictly inside xs[0]..xs[-1] (both ends are kept by the caller)."""
+    keep = []
+    stack = [(0, len(xs) - 1)]
+    while stack:
+        lo, hi = stack.pop()
+        if hi - lo < 2:
+            continue
+        d = _np_distance(xs[lo + 1:hi], ys[lo + 1:hi], xs[lo], ys[lo], xs[hi], ys[hi])
+        i = int(np.argmax(d))               # first maximum = smallest pos
+        if d[i] > tolerance:
+            m = lo + 1 + i
+            keep.append(m)
+            stack += [(lo, m), (m, hi)]
+    return keep
+
+
+_OUT = ["feature", "poly_no", "ring_no", "pos", "x", "y"]
+_OUT_SCHEMA = "feature string, poly_no bigint, ring_no bigint, pos bigint, x double, y double"
+
+
+def _finish_rings(tolerance: float):
+    """applyInPandas body: Douglas-Peucker over one whole (bounded) ring."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        n = len(pdf)
+        keep = sorted({0, n - 1, *_dp_keep(pdf.x.to_numpy(), pdf.y.to_numpy(), tolerance)})
+        return pdf.iloc[keep][_OUT]
+    return run
+
+
 def _finish_segments(tolerance: float):
     """applyInPandas body: Douglas-Peucker inside one bounded segment; returns kept interior points."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,46 +167,49 @@ def _finish_segments(tolerance: float):
         first = pdf.iloc[0]
         xs = np.concatenate([[first.ax], pdf.x.to_numpy(), [first.bx]])
         ys = np.concatenate([[first.ay], pdf.y.to_numpy(), [first.by]])
-        keep = []
-        stack = [(0, len(xs) - 1)]
-        while stack:
-            lo, hi = stack.pop()
-            if hi - lo < 2:
-                continue
-            d = _np_distance(xs[lo + 1:hi], ys[lo + 1:hi], xs[lo], ys[lo], xs[hi], ys[hi])
-            i = int(np.argmax(d))           # first maximum = smallest pos
-            if d[i] > tolerance:
-                m = lo + 1 + i
-                keep.append(m - 1)          # index into the interior points
-                stack += [(lo, m), (m, hi)]
-        out = pdf.iloc[sorted(keep)]
-        return out[["feature", "poly_no", "ring_no", "pos", "x", "y"]]
+        keep = [m - 1 for m in _dp_keep(xs, ys, tolerance)]   # interior index
+        return pdf.iloc[sorted(keep)][_OUT]
     return run
 
 
 def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int = 10_000,
              local_points: int = LOCAL_SEGMENT_POINTS) -> DataFrame:
-    """Douglas-Peucker over every ring, distributed by segment.
+    """Douglas-Peucker over every ring, distributed by ring and by segment.
 
     Returns the kept vertices ``(feature, poly_no, ring_no, pos, x, y)``:
-    both ends of each ring plus every split point. A segment with at most
-    ``local_points`` interior points is finished in one pandas call (a
-    bounded group); larger segments are split by distributed rounds, so a
-    ring of any size never sits in one task.
+    both ends of each ring plus every split point, checkpointed. Rings (and
+    later segments) with at most ``local_points`` points are finished in one
+    pandas call each -- a bounded group. Larger rings are split by
+    distributed rounds until their segments are small, so a ring of any size
+    never sits in one task.
     """
     spark = v.sparkSession
     checkpoint_dir(spark)
     pt = F.struct("pos", "x", "y")
-    ends = v.groupBy(*RING).agg(F.min(pt).alias("a"), F.max(pt).alias("b")).checkpoint(eager=True)
-    kept = [ends.select(*RING, "a.*"), ends.select(*RING, "b.*")]
-    active = (v.join(ends, RING)
-              .where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos")))
-              .select(*RING, "pos", "x", "y",
-                      F.col("a.pos").alias("lo"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
-                      F.col("b.pos").alias("hi"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-              .checkpoint(eager=True))
+    rings = (v.groupBy(*RING).agg(F.count(F.lit(1)).alias("n"), F.min(pt).alias("a"), F.max(pt).alias("b"))
+             .checkpoint(eager=True))
+    small = rings.where(F.col("n") <= local_points + 2).select(*RING)
+    kept = [v.join(small, RING, "left_semi").groupBy(*RING).applyInPandas(_finish_rings(tolerance), _OUT_SCHEMA)]
+    big = rings.where(F.col("n") > local_points + 2).drop("n")
+    if not big.isEmpty():
+        kept += [big.select(*RING, "a.*"), big.select(*RING, "b.*")]
+        active = (v.join(big, RING)
+                  .where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos")))
+                  .select(*RING, "pos", "x", "y",
+                          F.col("a.pos").alias("lo"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
+                          F.col("b.pos").alias("hi"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+                  .checkpoint(eager=True))
+        kept += _segment_rounds(active, tolerance, max_rounds, local_points)
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out.checkpoint(eager=True)
+
+
+def _segment_rounds(active: DataFrame, tolerance: float, max_rounds: int, local_points: int) -> list[DataFrame]:
+    """Distributed rounds over segments larger than ``local_points``; returns kept vertex frames."""
     seg = RING + ["lo"]
-    out_schema = "feature string, poly_no bigint, ring_no bigint, pos bigint, x double, y double"
+    kept = []
     for _ in range(max_rounds):
         d = _distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         stats = (active.groupBy(*seg)
@@ -184,7 +218,7 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
                  .checkpoint(eager=True))
         small = stats.where(F.col("n") <= local_points).select(*seg)
         kept.append(active.join(small, seg, "left_semi").groupBy(*seg)
-                    .applyInPandas(_finish_segments(tolerance), out_schema).checkpoint(eager=True))
+                    .applyInPandas(_finish_segments(tolerance), _OUT_SCHEMA))
         far = (stats.where((F.col("n") > local_points) & (-F.col("m.nd") > F.lit(tolerance)))
                .select(*seg, F.col("m.pos").alias("mp"), F.col("m.x").alias("mx"), F.col("m.y").alias("my")))
         if far.isEmpty():
@@ -200,10 +234,7 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
                           F.when(left, F.col("mx")).otherwise(F.col("bx")).alias("bx"),
                           F.when(left, F.col("my")).otherwise(F.col("by")).alias("by"))
                   .checkpoint(eager=True))
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out.distinct()
+    return kept
 
 
 # ---------------------------------------------------------------- G3 / G4
