@@ -99,3 +99,11 @@ def test_rollups_from_base_equal_direct(led):
         a, b = fn(led.detail), via_base[name].select(*fn(led.detail).columns)
         assert a.dtypes == b.dtypes, name   # nullability may differ (a sum of counts is nullable)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_duplicate_rows_exact(spark):
+    from tallyframe.operators import gates
+    rows = [(1, "a", None), (1, "a", None), (1, "a", None), (2, None, "x"), (2, None, "x"), (3, "b", "y")]
+    df = spark.createDataFrame(rows, "k long, s string, t string")
+    assert gates.duplicate_rows(df).first().duplicates == df.count() - df.distinct().count() == 3
+    assert gates.duplicate_rows(df.distinct()).first().duplicates == 0
