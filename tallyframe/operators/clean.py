@@ -74,9 +74,22 @@ def enrich(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def ingest(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
-    """Raw text ledger -> budget detail: admit, project, exact DISTINCT (D1), enrich."""
-    return enrich(project(admit(raw, deny)).distinct())
+def ingest(raw: DataFrame, deny=DENIED_DEPARTMENTS, dedup: str = "distinct") -> DataFrame:
+    """Raw text ledger -> budget detail: admit, project, exact DISTINCT (D1), enrich.
+
+    ``dedup="distinct"`` shuffles whole rows once (partial aggregation first);
+    ``dedup="fingerprint"`` shuffles 12-byte fingerprints and re-reads the
+    input instead -- the cheaper trade on a network-bound cluster with wide
+    rows and a stored (cheap to rescan) raw table. Both give the same rows.
+    """
+    rows = project(admit(raw, deny))
+    if dedup == "fingerprint":
+        from tallyframe.operators.dedup import exact_distinct
+
+        return enrich(exact_distinct(rows))
+    if dedup != "distinct":
+        raise ValueError("dedup must be 'distinct' or 'fingerprint'")
+    return enrich(rows.distinct())
 
 
 def castable_amount_rows(raw: DataFrame) -> DataFrame:

@@ -107,3 +107,9 @@ def test_duplicate_rows_exact(spark):
     df = spark.createDataFrame(rows, "k long, s string, t string")
     assert gates.duplicate_rows(df).first().duplicates == df.count() - df.distinct().count() == 3
     assert gates.duplicate_rows(df.distinct()).first().duplicates == 0
+
+
+def test_fingerprint_ingest_equals_distinct(led):
+    from tallyframe.operators import clean
+    a, b = clean.ingest(led.raw), clean.ingest(led.raw, dedup="fingerprint")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
