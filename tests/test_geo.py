@@ -125,3 +125,18 @@ def test_distributed_rounds_equal_local_finish(vertices):
     a = geo.simplify(vertices, 0.015, local_points=0)
     b = geo.simplify(vertices, 0.015)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_feature_lines_input_and_other_geometry_types(spark, tmp_path):
+    lines = [
+        {"type": "Feature", "properties": {"REGION": "Metropolitan Manila"},
+         "geometry": {"type": "Polygon", "coordinates": [circle(121.0, 14.6, 0.3, 300)]}},
+        {"type": "Feature", "properties": {"REGION": "Caraga (Region XIII)"},
+         "geometry": {"type": "Point", "coordinates": [125.5, 9.0]}},
+    ]
+    src = tmp_path / "features.jsonl"
+    src.write_text("\n".join(json.dumps(x) for x in lines))
+    v = geojson.read_features(spark, str(src))
+    got = {(r.feature, r.gtype): r.n for r in v.groupBy("feature", "gtype").count().withColumnRenamed("count", "n").collect()}
+    assert got == {("Metropolitan Manila", "Polygon"): 301}
+    assert v.select("poly_no").distinct().count() == 1 and v.agg(F.max("pos")).first()[0] == 300
