@@ -41,10 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset -- local runs and tests -- a fresh scratch folder is created.
+    unset on a local master -- local runs and tests -- a fresh scratch folder
+    is created; on a cluster an unset setting is an error, never a
+    machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: point it at a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="tally-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
