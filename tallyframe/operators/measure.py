@@ -1,22 +1,45 @@
 """Repeated-measurement statistics (A19): exact median, max, pass flag.
 
-Exact medians without collecting a group: equal values are first combined
-into ``(group, value, count)`` rows (map-side), then a range-partitioned
-global sort gives every row its weighted position; the middle one or two
-positions of each group are picked by a filter. No task holds more than its
-own partition, however large a group is.
+Exact medians without collecting a group and without a join on the group
+key (a hot group would put all its rows in one task):
+
+1. equal values are combined into ``(group, value, count)`` rows (map-side);
+2. a range-partitioned global sort on (group, value) places every group in
+   consecutive partitions, each partition sorted; one pandas pass per
+   partition computes local running counts and a boundary summary (first and
+   last group, their local extents) -- one row per partition;
+3. the summaries (bounded by the partition count) give each partition its
+   global offset and the true start/end of groups crossing partition edges;
+4. a second pass per partition finds the one or two middle rows of each
+   group it holds, so the median is a filter, not a gather.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.session import checkpoint_dir
 
+_SUMMARY = T.StructType([
+    T.StructField("_pid", T.IntegerType()), T.StructField("rows", T.LongType()),
+    T.StructField("weight", T.LongType()),
+    T.StructField("first_group", T.StringType()), T.StructField("first_end", T.LongType()),
+    T.StructField("last_group", T.StringType()), T.StructField("last_start", T.LongType())])
 
-def _local_cumsum(batches):
+
+_NULL_KEY = "\u0000null"
+
+
+def _keys(s: pd.Series) -> pd.Series:
+    """Group keys as strings, NULL kept distinct from any text."""
+    return s.astype(object).where(s.notna(), _NULL_KEY).astype(str)
+
+
+def _local_pass(batches):
+    """Running weight per partition (rows arrive sorted by group, value)."""
     total = 0
     for pdf in batches:
         c = pdf["_w"].cumsum() + total
@@ -25,57 +48,121 @@ def _local_cumsum(batches):
         yield pdf
 
 
-def weighted_positions(df: DataFrame, order: list[str], weight: str = "_w") -> DataFrame:
-    """Adds ``_cum``: running total of ``weight`` over a global ``order`` (inclusive).
+def _summaries(batches):
+    """One row per partition: weight, first group's local end, last group's local start."""
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
+        return
+    pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+    g = _keys(pdf["_g"])
+    first, last = g.iloc[0], g.iloc[-1]
+    first_end = int(pdf.loc[g == first, "_cum"].max())
+    last_start = int((pdf.loc[g == last, "_cum"] - pdf.loc[g == last, "_w"]).min())
+    yield pd.DataFrame([{"_pid": int(pdf["_pid"].iloc[0]), "rows": len(pdf), "weight": int(pdf["_cum"].iloc[-1]),
+                         "first_group": first, "first_end": first_end, "last_group": last,
+                         "last_start": last_start}])
 
-    Range partitioning puts consecutive key ranges in consecutive partitions;
-    each partition is summed locally (Arrow batches); a tiny frame of
-    per-partition totals gives the offsets.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_cum", T.LongType())])
-    local = ranged.mapInPandas(_local_cumsum, schema).checkpoint(eager=True)
-    tot = local.groupBy("_pid").agg(F.max("_cum").alias("_t"))
-    from pyspark.sql import Window
 
-    offs = tot.select("_pid", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offs), "_pid")
-            .withColumn("_cum", F.col("_cum") + F.col("_off")).drop("_pid", "_off"))
+def _group_extents(summary: pd.DataFrame) -> dict[int, tuple[int, int | None, int | None]]:
+    """Per partition: global offset, true start of its first group, true end of its last group.
+
+    Works on the boundary summaries only (one row per non-empty partition).
+    """
+    s = summary.sort_values("_pid").reset_index(drop=True)
+    offs, acc = [], 0
+    for w in s["weight"]:
+        offs.append(acc)
+        acc += int(w)
+    out = {}
+    # true start of each partition's first group: walk back while the group continues
+    starts = []
+    for i in range(len(s)):
+        g = s.at[i, "first_group"]
+        j, start = i, None
+        while j > 0 and s.at[j - 1, "last_group"] == g:
+            j -= 1
+            start = offs[j] + int(s.at[j, "last_start"])
+            if s.at[j, "first_group"] != g:
+                break
+        starts.append(start)
+    # true end of each partition's last group: walk forward while the group continues
+    ends = []
+    for i in range(len(s)):
+        g = s.at[i, "last_group"]
+        j, end = i, None
+        while j + 1 < len(s) and s.at[j + 1, "first_group"] == g:
+            j += 1
+            end = offs[j] + int(s.at[j, "first_end"])
+            if s.at[j, "last_group"] != g:
+                break
+        ends.append(end)
+    for i in range(len(s)):
+        out[int(s.at[i, "_pid"])] = (offs[i], starts[i], ends[i])
+    return out
+
+
+def _middle_rows(extents: dict, value_type: str):
+    def run(batches):
+        parts = [pdf for pdf in batches if len(pdf)]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        off, first_start, last_end = extents[int(pdf["_pid"].iloc[0])]
+        hi = pdf["_cum"] + off
+        lo = hi - pdf["_w"]
+        g = _keys(pdf["_g"])
+        start = lo.groupby(g).transform("min")
+        end = hi.groupby(g).transform("max")
+        if first_start is not None:
+            start = start.where(g != g.iloc[0], first_start)
+        if last_end is not None:
+            end = end.where(g != g.iloc[-1], last_end)
+        n = end - start
+        k1 = start + (n - 1) // 2
+        k2 = start + n // 2
+        hit1 = (lo <= k1) & (k1 < hi)
+        hit2 = (lo <= k2) & (k2 < hi)
+        keep = hit1 | hit2
+        yield pd.DataFrame({"_g": pdf.loc[keep, "_g"], "n": n[keep].astype("int64"),
+                            "_v": pdf.loc[keep, "_v"], "_a": hit1[keep], "_b": hit2[keep]})
+    return run
 
 
 def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n, median (middle value, or mean of the two middle values)."""
-    vals = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_w"))
-    pos = weighted_positions(vals, [group, value])
-    # rows of a group occupy positions [start, end); start = min(_cum - _w)
-    span = pos.groupBy(group).agg(F.min(F.col("_cum") - F.col("_w")).alias("_s"), F.max("_cum").alias("_e"))
-    j = pos.join(span, group).select(
-        group, value, (F.col("_cum") - F.col("_w") - F.col("_s")).alias("lo"),
-        (F.col("_cum") - F.col("_s")).alias("hi"), (F.col("_e") - F.col("_s")).alias("n"))
-    k1 = F.floor((F.col("n") - 1) / 2)
-    k2 = F.floor(F.col("n") / 2)
-    at = lambda k: (F.col("lo") <= k) & (k < F.col("hi"))
-    mid = j.where(at(k1) | at(k2)).groupBy(group, "n").agg(
-        F.max(F.when(at(k1), F.col(value))).alias("_a"), F.max(F.when(at(k2), F.col(value))).alias("_b"))
-    return mid.select(group, F.col("n").alias("runs"), ((F.col("_a") + F.col("_b")) / F.lit(2.0)).alias("median_value"))
+    """Per group: runs (n) and the median (middle value, or mean of the two middle values)."""
+    spark: SparkSession = df.sparkSession
+    checkpoint_dir(spark)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vals = (df.where(F.col(value).isNotNull())
+            .groupBy(F.col(group).cast("string").alias("_g"), F.col(value).cast("double").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_w")))
+    ranged = (vals.repartitionByRange(n_parts, "_g", "_v").sortWithinPartitions("_g", "_v")
+              .withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_cum", T.LongType())])
+    local = ranged.mapInPandas(_local_pass, schema).checkpoint(eager=True)
+    summary = local.mapInPandas(_summaries, _SUMMARY).toPandas()   # one row per partition
+    extents = _group_extents(summary)
+    out_schema = "_g string, n long, _v double, _a boolean, _b boolean"
+    mid = local.mapInPandas(_middle_rows(extents, "double"), out_schema)
+    med = mid.groupBy("_g", "n").agg(F.max(F.when(F.col("_a"), F.col("_v"))).alias("_x"),
+                                     F.max(F.when(F.col("_b"), F.col("_v"))).alias("_y"))
+    return med.select(F.col("_g").alias(group), F.col("n").alias("runs"),
+                      ((F.col("_x") + F.col("_y")) / F.lit(2.0)).alias("median_value"))
 
 
 def measurement_stats(df: DataFrame, group: str, value: str, threshold: float = 100.0) -> DataFrame:
     """Per group: runs, median, max and whether the median is under the threshold."""
     med = exact_median(df, group, value)
-    mx = df.groupBy(group).agg(F.max(value).alias("max_value"))
-    return med.join(mx, group).select(group, "runs", "median_value", "max_value",
-                                      (F.col("median_value") < F.lit(threshold)).alias("passed"))
+    mx = df.groupBy(F.col(group).cast("string").alias("_k")).agg(F.max(value).alias("max_value"))
+    # one row per group on both sides; null-safe so a NULL group keeps its max
+    j = med.join(mx, med[group].eqNullSafe(mx["_k"]))
+    return j.select(group, "runs", "median_value", "max_value",
+                    (F.col("median_value") < F.lit(threshold)).alias("passed"))
 
 
 def overall(stats: DataFrame, threshold: float = 100.0) -> DataFrame:
     """Median of the group medians and whether every group passed."""
-    med = exact_median(stats.select(F.lit("all").alias("_g"), "median_value"), "_g", "median_value")
+    med = exact_median(stats.select(F.lit("all").alias("_all"), "median_value"), "_all", "median_value")
     flag = stats.agg(F.bool_and("passed").alias("all_passed"), F.count(F.lit(1)).alias("groups"))
     return med.select(flag.select("groups").scalar().alias("groups"),
                       F.col("median_value").alias("median_of_medians"),

@@ -113,3 +113,36 @@ def test_fingerprint_ingest_equals_distinct(led):
     from tallyframe.operators import clean
     a, b = clean.ingest(led.raw), clean.ingest(led.raw, dedup="fingerprint")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "hot"]), st.integers(0, 30)), min_size=1, max_size=400))
+def test_exact_median_matches_numpy(spark, pairs):
+    import numpy as np
+    from tallyframe.operators import measure
+    pairs = pairs + [("hot", v % 7) for v in range(300)]          # one group holds most rows
+    df = spark.createDataFrame([(g, float(v)) for g, v in pairs], "g string, v double").repartition(5)
+    got = {r.g: (r.runs, r.median_value) for r in measure.exact_median(df, "g", "v").collect()}
+    want = {}
+    for g in {p[0] for p in pairs}:
+        xs = sorted(float(v) for k, v in pairs if k == g)
+        m = len(xs) // 2
+        want[g] = (len(xs), xs[m] if len(xs) % 2 else (xs[m - 1] + xs[m]) / 2)
+    assert got == want
+
+
+def test_exact_median_group_across_all_partitions(spark):
+    import random
+    from tallyframe.operators import measure
+    rnd = random.Random(7)
+    rows = [("hot", float(rnd.randint(0, 5000))) for _ in range(4000)]
+    rows += [("a", 1.0), ("a", 3.0), (None, 2.0), (None, 4.0), ("z", 9.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.runs, r.median_value) for r in measure.exact_median(df, "g", "v").collect()}
+    def med(xs):
+        xs = sorted(xs); m = len(xs) // 2
+        return (len(xs), xs[m] if len(xs) % 2 else (xs[m - 1] + xs[m]) / 2)
+    want = {}
+    for k in {r[0] for r in rows}:
+        want[k] = med([v for g, v in rows if g == k])
+    assert got == want
