@@ -8,7 +8,7 @@ Shares divide by a scalar-subquery total (computed once), not by a window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.format import DASHBOARD_DECIMALS, abbrev
@@ -31,9 +31,10 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rank",
 
     ``repartitionByRange`` puts ordered key ranges in consecutive partitions;
     the frame is checkpointed so both uses below see the same partitioning;
-    ``monotonically_increasing_id`` numbers rows within a partition; a
-    broadcast of per-partition counts (one row per partition) turns that into
-    the global position. No task ever holds more than its own partition.
+    ``monotonically_increasing_id`` numbers rows within a partition; the
+    per-partition counts (one row per partition, a bounded collect) are
+    prefix-summed into offsets and broadcast back. No task ever holds more
+    than its own partition.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -42,9 +43,14 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rank",
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    # per-partition counts: one row per partition (bounded), prefix-summed on the driver
+    counts = sorted((r["_pid"], r["_n"]) for r in
+                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    rows, acc = [], 0
+    for pid, cnt in counts:
+        rows.append((pid, acc))
+        acc += cnt
+    offsets = spark.createDataFrame(rows, "_pid int, _off long")
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(out, (F.col("_off") + local + 1).cast("bigint"))
