@@ -69,7 +69,7 @@ def with_total(df: DataFrame, value: str, alias: str = "_total") -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "pct", digits: int = 1) -> DataFrame:
-    """M1: each row's share of the column total (one-row broadcast, not a window)."""
+    """M1: each row's share of the column total (scalar-subquery total, not a window)."""
     return with_total(df, value).withColumn(out, pct(F.col(value), F.col("_total"), digits)).drop("_total")
 
 
@@ -87,30 +87,47 @@ def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def relative_to_max(df: DataFrame, value: str, out: str = "rel_to_max", digits: int = 4) -> DataFrame:
-    """Value / max(value), max from a one-row broadcast."""
+    """Value / max(value), the max as a scalar subquery."""
     mx = df.agg(F.max(value)).scalar()
     return df.withColumn(out, dround(F.col(value).cast("double") / F.nullif(mx.cast("double"), F.lit(0.0)), digits))
 
 
-def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9,
-                  qs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """M6: outlier-aware quantile bins.
+QUANTILES = (0.2, 0.4, 0.6, 0.8)
 
-    Rows other than ``outlier_key`` are sorted ascending; break j is the value
-    at 0-based index floor(q_j * (n - 1)). A row is in the outlier bin (5)
-    when value >= factor * outlier's value (0 when absent), else in bin b =
-    number of breaks <= value (0..4).
+
+def _breaks(df: DataFrame, key: str, value: str, outlier_key, qs=QUANTILES) -> tuple[DataFrame, DataFrame]:
+    """Break j = value at 0-based index floor(q_j * (n - 1)) of the rows other than ``outlier_key``.
+
+    Returns (one-row frame b0..b{k-1}, one-row frame _n).
     """
     rest = df.where(F.col(key) != F.lit(outlier_key))
     n = rest.agg(F.count(F.lit(1)).alias("_n"))
     ranked = rank_by(rest, value, tie=(key,), out="_r", ascending=True)
     want = n.select(F.explode(F.array(*[
         F.struct(F.lit(j).alias("j"), (F.floor(F.lit(q) * (F.col("_n") - 1)) + 1).cast("bigint").alias("_r"))
-        for j, q in enumerate(qs)])).alias("w")).select("w.*")
-    picked = ranked.join(F.broadcast(want), "_r").select("j", F.col(value).alias("_b"))
-    breaks = picked.agg(*[F.max(F.when(F.col("j") == j, F.col("_b"))).alias(f"b{j}") for j in range(len(qs))])
+        for j, q in enumerate(qs)])).alias("w")).select("w.*")          # len(qs) rows
+    picked = ranked.join(F.broadcast(want), "_r")
+    breaks = picked.agg(*[F.max(F.when(F.col("j") == j, F.col(value))).alias(f"b{j}") for j in range(len(qs))])
+    return breaks, n
+
+
+def _outlier_value(df: DataFrame, key: str, value: str, outlier_key) -> Column:
+    return df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))), F.lit(0))).scalar()
+
+
+def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9,
+                  qs=QUANTILES) -> DataFrame:
+    """M6: outlier-aware quantile bins.
+
+    Rows other than ``outlier_key`` are sorted ascending; break j is the value
+    at 0-based index floor(q_j * (n - 1)). A row is in the outlier bin (5)
+    when value >= factor * outlier's value (0 when absent), else in bin b =
+    number of breaks <= value (0..4). Breaks and the outlier value are scalar
+    subqueries.
+    """
+    breaks, n = _breaks(df, key, value, outlier_key, qs)
     b = [breaks.select(f"b{j}").scalar() for j in range(len(qs))]
-    outlier = df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))), F.lit(0))).scalar()
+    outlier = _outlier_value(df, key, value, outlier_key)
     v = F.col(value)
     # no other rows: everything takes the lowest bin (nothing to compare against)
     bin_ = (F.when(n.select("_n").scalar() == 0, F.lit(0))
@@ -123,18 +140,8 @@ def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: floa
 
 def bin_legend(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9) -> DataFrame:
     """M7: lower/upper bound and label of the six bins (legend of M6)."""
-    rest = df.where(F.col(key) != F.lit(outlier_key))
-    n = rest.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_by(rest, value, tie=(key,), out="_r", ascending=True)
-    qs = (0.2, 0.4, 0.6, 0.8)
-    want = n.select(F.explode(F.array(*[
-        F.struct(F.lit(j).alias("j"), (F.floor(F.lit(q) * (F.col("_n") - 1)) + 1).cast("bigint").alias("_r"))
-        for j, q in enumerate(qs)])).alias("w")).select("w.*")
-    b = ranked.join(F.broadcast(want), "_r").agg(
-        *[F.max(F.when(F.col("j") == j, F.col(value))).alias(f"b{j}") for j in range(4)])
-    out_total = df.agg(F.coalesce(F.max(F.when(F.col(key) == F.lit(outlier_key), F.col(value))),
-                                  F.lit(0)).alias("_o"))
-    row = b.select("*", out_total.select("_o").scalar().alias("_o"))
+    breaks, _ = _breaks(df, key, value, outlier_key)
+    row = breaks.select("*", _outlier_value(df, key, value, outlier_key).alias("_o"))
     lab = lambda c: abbrev(F.col(c), DASHBOARD_DECIMALS)
     null = F.lit(None).cast("decimal(38,0)")
     bins = F.array(
@@ -259,6 +266,6 @@ def pivot_top(agg_agency: DataFrame, department_short: str, k: int = 15,
     rows = agg_agency.where(F.col("department_short") == F.lit(department_short))
     firsts = rows.groupBy("agency_name").agg(F.max("total_php").alias("_first"))
     chosen = firsts.orderBy(F.col("_first").desc_nulls_last(), F.col("agency_name").asc_nulls_last()).limit(k)
-    piv = (rows.join(chosen.select("agency_name"), "agency_name", "left_semi")
+    piv = (rows.join(F.broadcast(chosen.select("agency_name")), "agency_name", "left_semi")   # k rows
            .groupBy("agency_name").pivot("expense_category", list(categories)).agg(F.sum("total_php")))
     return piv.na.fill(0, subset=list(categories))
