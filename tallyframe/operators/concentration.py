@@ -38,8 +38,8 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rank",
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE may coalesce adjacent ranges (order is kept)
+    ranged = (df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))

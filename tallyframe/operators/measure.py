@@ -132,11 +132,11 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: runs (n) and the median (middle value, or mean of the two middle values)."""
     spark: SparkSession = df.sparkSession
     checkpoint_dir(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = (df.where(F.col(value).isNotNull())
             .groupBy(F.col(group).cast("string").alias("_g"), F.col(value).cast("double").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_w")))
-    ranged = (vals.repartitionByRange(n_parts, "_g", "_v").sortWithinPartitions("_g", "_v")
+    # no explicit count: AQE may coalesce adjacent ranges, which keeps the global order
+    ranged = (vals.repartitionByRange("_g", "_v").sortWithinPartitions("_g", "_v")
               .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField("_cum", T.LongType())])
     local = ranged.mapInPandas(_local_pass, schema).checkpoint(eager=True)

@@ -18,9 +18,10 @@ QUERIES: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {}
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):
-        if name in QUERIES:
+        old = QUERIES.get(name)
+        if old is not None and (old[0].__module__, old[0].__qualname__) != (fn.__module__, fn.__qualname__):
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = (fn, oracle)
+        QUERIES[name] = (fn, oracle)   # a module reload re-registers the same function
         return fn
     return deco
 
