@@ -31,3 +31,12 @@ def test_workshop_job_writes_charts_and_brief(spark, tmp_path):
     layer1 = [json.loads(line) for p in (tmp_path / "w/charts/layer1_top_allocations").glob("part-*")
               for line in p.read_text().splitlines()]
     assert {r["department"] for r in layer1} == {"DILG", "BSGC", "DEPED", "DPWH", "DSWD", "DOH", "DA"}
+
+
+def test_cli_audit_and_exit_codes(spark, tmp_path, capsys):
+    csv = tmp_path / "raw.csv"
+    csv.write_text(RAW_CSV)
+    assert jobs.main(["audit", "--csv", str(csv)]) == 0
+    assert "duplicate_rows" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        jobs.main(["nope"])
