@@ -146,3 +146,26 @@ def test_exact_median_group_across_all_partitions(spark):
     for k in {r[0] for r in rows}:
         want[k] = med([v for g, v in rows if g == k])
     assert got == want
+
+
+def test_ties_at_topk_page_and_tier_cuts(spark):
+    from decimal import Decimal
+    from tallyframe.operators import explore
+    # twenty groups, totals tie in pairs: the cut at 3, 5, 15 and page 2 all split ties
+    rows = [(f"D{i:02d}", Decimal(100 - i // 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "department_short string, total_php decimal(38,0)")
+    top3 = [r.department_short for r in explore.top_k(df, "total_php", 3, tie=("department_short",)).collect()]
+    assert top3 == ["D00", "D01", "D02"]
+    again = [r.department_short for r in explore.top_k(df.repartition(7), "total_php", 3,
+                                                      tie=("department_short",)).collect()]
+    assert again == top3
+    ranked = concentration.rank_by(df.repartition(5), "total_php", tie=("department_short",)).collect()
+    assert sorted((r["rank"], r.department_short) for r in ranked) == [(i + 1, f"D{i:02d}") for i in range(20)]
+    t = {r.tier: r for r in concentration.tiers(df, "department_short", "total_php").collect()}
+    assert t[1].names == "D00, D01, D02, D03, D04" and t[2].members == 10 and t[3].members == 5
+    det = spark.createDataFrame([(f"A{i}", "x", "p", "PS", "o", 5 if i % 2 else 7) for i in range(120)],
+                                "department_short string, agency_name string, program_description string, "
+                                "expense_category string, object_description string, amount_php long")
+    p1 = [r.department_short for r in explore.page(det, "amount_php", True, 1, page_size=50).collect()]
+    p1b = [r.department_short for r in explore.page(det.repartition(9), "amount_php", True, 1, page_size=50).collect()]
+    assert p1 == p1b and len(p1) == 50
