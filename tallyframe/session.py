@@ -18,6 +18,9 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    # partitioned writes on low-cardinality columns (the detail by expense category)
+    # keep one writer per value open instead of sorting each task's rows first
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 
