@@ -92,3 +92,23 @@ class Dashboard:
     def value_of(self, df: DataFrame, column: str):
         """Convenience for scripts: the single value of a one-row result (collects one row)."""
         return df.select(F.col(column)).first()[0]
+
+
+class WorkshopView:
+    """The workshop dashboard over a cleaned dataset: options, grouped totals, counts, drill-downs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.data = spark.read.parquet(path)
+
+    def options(self, column: str) -> DataFrame:
+        return explore.distinct_options(self.data, column)
+
+    def group(self, dim: str = "department", region: str = explore.ALL, category: str = explore.ALL,
+              k: int = 20) -> DataFrame:
+        return explore.dynamic_group(self.data, dim, region, category, k)
+
+    def count(self, region: str = explore.ALL, category: str = explore.ALL) -> DataFrame:
+        return explore.filtered_count(self.data, {"region": region, "category": category})
+
+    def brief(self) -> DataFrame:
+        return brief.workshop_brief(self.data)

@@ -31,3 +31,17 @@ def test_views(dash):
     assert dash.brief("01", "Region 01").count() == 5
     assert dash.value_of(dash.gini(), "gini") > 0
     assert dash.region("01").first().ps_pct is not None
+
+
+def test_workshop_view(spark, tmp_path):
+    from tallyframe.dashboard import WorkshopView
+    from tests.test_workshop_golden import RAW_CSV
+    csv = tmp_path / "raw.csv"
+    csv.write_text(RAW_CSV)
+    jobs.workshop(spark, str(csv), str(tmp_path / "w"))
+    w = WorkshopView(spark, str(tmp_path / "w/cleaned_dataset.parquet"))
+    assert [r.region for r in w.options("region").collect()] == [
+        "NCR", "REGION II", "REGION III", "REGION VII", "UNASSIGNED"]
+    top = w.group("agency", region="NCR", category="Personnel Services").collect()
+    assert top[0].label == "Philippine National Police"
+    assert w.count(region="NCR").first().rows == 6
