@@ -40,3 +40,19 @@ def test_cli_audit_and_exit_codes(spark, tmp_path, capsys):
     assert "duplicate_rows" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         jobs.main(["nope"])
+
+
+def test_regions_job(spark, tmp_path, capsys):
+    from tests.test_geo import circle
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"REGION": "Metropolitan Manila"},
+         "geometry": {"type": "Polygon", "coordinates": [circle(121.0, 14.6, 0.3)]}},
+        {"type": "Feature", "properties": {"REGION": "Nowhere"},
+         "geometry": {"type": "Polygon", "coordinates": [circle(0.0, 0.0, 1.0, 100)]}}]}
+    src = tmp_path / "in.geojson"
+    src.write_text(json.dumps(fc))
+    jobs.regions(spark, str(src), str(tmp_path / "out"))
+    out = capsys.readouterr().out
+    assert "Nowhere" in out
+    docs = [json.loads(line) for p in (tmp_path / "out/regions").glob("part-*") for line in p.read_text().splitlines()]
+    assert [d["properties"]["region_short"] for d in docs] == ["NCR"]
