@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tallyframe.operators import geo
 from tallyframe.plans.catalog import query
 from tallyframe.plans.oracle import define, sql
