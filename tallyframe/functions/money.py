@@ -44,7 +44,7 @@ def dround(x, digits: int) -> Column:
     Rounding a double directly differs between engines near ties (1.005);
     rounding its decimal form is exact and identical everywhere.
     """
-    return F.round(as_col(x).cast("decimal(38,10)"), digits).cast("double")
+    return F.round(as_col(x).try_cast("decimal(38,10)"), digits).cast("double")   # NULL beyond 1e28
 
 
 def pct(part, total, digits: int = 1) -> Column:
