@@ -21,6 +21,8 @@ LOCAL_DEFAULTS = {
     # partitioned writes on low-cardinality columns (the detail by expense category)
     # keep one writer per value open instead of sorting each task's rows first
     "spark.sql.maxConcurrentOutputFileWriters": "8",
+    # checkpoints (ranks, DP rounds, gate summaries) are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
