@@ -307,3 +307,14 @@ def _regdist(c):
                                         "region_short string")
     named = geo.region_names(rows, empty, geo.names_table(c.spark)).drop("region_short")
     return concentration.share_of_total(named, "total_php")
+
+
+define("dept_totals", """SELECT department_short AS region_id, total_php FROM agg_department""", "agg_department")
+
+
+@query("m6_department_bins", sql(_bins_sql("dept_totals", "region_id", DRILL_DEPARTMENT).replace(
+    "SELECT region_id, total_php, CAST", "SELECT region_id AS department_short, total_php, CAST", 1),
+    "dept_totals"))
+def _m6d(c):
+    return concentration.quantile_bins(c.agg_department.select("department_short", "total_php"),
+                                       "department_short", "total_php", DRILL_DEPARTMENT)

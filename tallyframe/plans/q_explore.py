@@ -217,3 +217,44 @@ def _a16(c):
                  ORDER BY total_php DESC, department_short LIMIT 3)""", "agg_department"))
 def _a17(c):
     return brief.top_names(c.agg_department, "department_short", "total_php", 3)
+
+
+# ---------------------------------------------------------------- parameter variants
+
+@query("t4_page_deep_amount_asc", sql(f"""SELECT {_PAGE_COLS} FROM detail
+  ORDER BY amount_php ASC, department_short, agency_name NULLS LAST, program_description, expense_category,
+           object_description
+  LIMIT 50 OFFSET 1000""", "detail"))
+def _t4deep(c):
+    return explore.page(c.detail, "amount_php", False, 20)
+
+
+# (FILTER form: DuckDB 2.0.0 raises an internal dictionary-cache error on this two-column WHERE)
+@query("p12_two_filter_count", sql("""SELECT n AS rows, CAST(CEIL(n / 50) AS BIGINT) AS pages
+  FROM (SELECT COUNT(*) FILTER (WHERE expense_category = 'CO' AND region_id = '02') AS n FROM detail)""",
+    "detail"))
+def _p12(c):
+    return explore.filtered_count(c.detail, {"expense_category": "CO", "region_id": "02"})
+
+
+@query("a6_special_funds_top2", sql(f"""SELECT fund_subcategory, line_items, total_php,
+    CASE WHEN length(fund_subcategory) > 40 THEN substr(fund_subcategory, 1, 38) || '…'
+         ELSE fund_subcategory END AS label,
+    {dround('CAST(total_php AS DOUBLE) / 1e9', 1)} AS total_b
+  FROM (SELECT fund_subcategory, COUNT(*) AS line_items, CAST(SUM(amount_php) AS DECIMAL(38,0)) AS total_php
+        FROM detail WHERE fund_subcategory != '1-URGENT' AND fund_subcategory IS NOT NULL
+        GROUP BY fund_subcategory ORDER BY total_php DESC, fund_subcategory LIMIT 2)""", "detail"))
+def _a6b(c):
+    return explore.special_funds(c.detail, "1-URGENT", k=2)
+
+
+@query("a11_dynamic_group_department_capital", _wtop("department", "WHERE category = 'Capital Outlays'", 20,
+                                                     label="label"))
+def _a11c(c):
+    return explore.dynamic_group(c.wclean, "department", category="Capital Outlays")
+
+
+@query("t3_drill_down_lowercase_variant", sql(f"""SELECT agency_name, expense_category, total_php FROM agg_agency
+  WHERE department_short = '{DRILL_DEPARTMENT.lower()}'""", "agg_agency"))
+def _t3b(c):
+    return explore.drill_down(c.agg_agency, DRILL_DEPARTMENT.lower())
