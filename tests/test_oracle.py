@@ -43,3 +43,17 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 10
     assert "total_php" in df.columns
+
+
+def test_each_oracle_runs_alone_on_a_fresh_connection():
+    """A DuckDB internal error invalidates the whole connection; no oracle may trigger one."""
+    bad = []
+    for name, q in sorted(ORACLE.items()):
+        c = duck(SF01)
+        try:
+            c.execute(q).fetchall()
+        except Exception as e:  # noqa: BLE001
+            bad.append((name, str(e)[:100]))
+        finally:
+            c.close()
+    assert not bad
