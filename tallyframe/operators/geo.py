@@ -185,6 +185,7 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
     """
     spark = v.sparkSession
     checkpoint_dir(spark)
+    v = v.select(*RING, "pos", "x", "y")          # only what the pandas pass needs crosses to Python
     pt = F.struct("pos", "x", "y")
     rings = (v.groupBy(*RING).agg(F.count(F.lit(1)).alias("n"), F.min(pt).alias("a"), F.max(pt).alias("b"))
              .checkpoint(eager=True))
