@@ -18,7 +18,10 @@ def _unpivot_sql(expr_of, names, value, extra=""):
         for i, n in enumerate(names, start=1))
 
 
-@query("q1_schema", None)
+@query("q1_schema", f"""SELECT CAST(ROW_NUMBER() OVER () AS INTEGER) AS position, column_name,
+  CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+       WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS data_type
+  FROM (DESCRIBE ({sql("SELECT * FROM wraw", "wraw")}))""")
 def _q1(c):
     return profile.schema_listing(c.wraw)
 
