@@ -318,3 +318,13 @@ define("dept_totals", """SELECT department_short AS region_id, total_php FROM ag
 def _m6d(c):
     return concentration.quantile_bins(c.agg_department.select("department_short", "total_php"),
                                        "department_short", "total_php", DRILL_DEPARTMENT)
+
+
+
+
+@query("s9_brief_json", f"""SELECT CAST(to_json({{'executive_brief': executive_brief}}) AS VARCHAR) AS value
+  FROM ({sql(_BRIEF_SQL, "wtot")})""")
+def _s9(c):
+    from tallyframe.sources.jsonio import brief_json
+
+    return brief_json(brief.workshop_brief(c.wclean))

@@ -132,7 +132,9 @@ def _s1(c):
     return read_csv_text(c.spark, path)
 
 
-@query("s8_series_json", None)
+@query("s8_series_json", sql("""SELECT department, CAST(total AS DOUBLE) AS total FROM (
+  SELECT department, CAST(SUM(amount) AS DECIMAL(38,2)) AS total FROM wclean
+  GROUP BY department ORDER BY total DESC, department LIMIT 10)""", "wclean"))
 def _s8(c):
     from tallyframe.operators import explore
     from tallyframe.session import scratch_path
@@ -142,14 +144,6 @@ def _s8(c):
     return c.spark.read.json(path)
 
 
-@query("s9_brief_json", None)
-def _s9(c):
-    from tallyframe.operators import brief
-    from tallyframe.sources.jsonio import brief_json
-
-    return brief_json(brief.workshop_brief(c.wclean))
-
-
 # ---------------------------------------------------------------- S4: SQL over registered views
 
 @query("s4_sql_views", sql("""SELECT region_id, line_items, total_php FROM agg_region
