@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from tallyframe.operators import brief, clean, explore, gates, geo, profile, rollup
 from tallyframe.sources import geojson, jsonio
-from tallyframe.sources.parquet import DETAIL_PARTITIONS, publish, stage_counts, write_parquet
+from tallyframe.sources.parquet import DETAIL_PARTITIONS, ingest_stage_counts, publish, write_parquet
 from tallyframe.sources.text import read_csv_text, read_parquet_text
 
 TABLES = ("budget_detail", "agg_department", "agg_expense", "agg_agency", "agg_region")
@@ -31,8 +31,9 @@ def ingest(spark: SparkSession, raw_path: str, out: str) -> dict[str, str]:
     detail_path = write_parquet(clean.ingest(raw), f"{out}/budget_detail.parquet", partition_by=DETAIL_PARTITIONS)
     detail = spark.read.parquet(detail_path)
     paths = {"budget_detail": detail_path, **publish(rollup.rollups(detail), out)}
-    frames = {"raw": raw, **{k: spark.read.parquet(p) for k, p in paths.items()}}
-    stage_counts(frames).show(truncate=False)
+    tables = {k: spark.read.parquet(p) for k, p in paths.items()}
+    detail = tables.pop("budget_detail")
+    ingest_stage_counts(raw, clean.castable_amount_rows(raw), detail, tables).show(truncate=False)
     return paths
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tallyframe.operators import clean, rollup
 from tallyframe.plans.catalog import query
 from tallyframe.plans.oracle import sql
-from tallyframe.sources.parquet import stage_counts
+from tallyframe.sources.parquet import ingest_stage_counts
 
 
 @query("s2_raw_ledger", sql("SELECT * FROM raw", "raw"))
@@ -74,13 +74,16 @@ def _d4w(c):
 @query("s11_stage_counts", sql("""
 SELECT 'raw' AS stage, COUNT(*) AS rows FROM raw
 UNION ALL SELECT 'cleaned', COUNT(*) FROM detail
+UNION ALL SELECT 'final', COUNT(*) FROM detail
+UNION ALL SELECT 'removed', (SELECT COUNT(*) FROM raw WHERE AMT IS NOT NULL
+     AND TRY_CAST(ROUND(TRY_CAST(AMT AS DECIMAL(38,10))) AS BIGINT) IS NOT NULL) - (SELECT COUNT(*) FROM detail)
 UNION ALL SELECT 'agg_department', COUNT(*) FROM agg_department
 UNION ALL SELECT 'agg_expense', COUNT(*) FROM agg_expense
 UNION ALL SELECT 'agg_agency', COUNT(*) FROM agg_agency
 UNION ALL SELECT 'agg_region', COUNT(*) FROM agg_region""",
     "raw", "detail", "agg_department", "agg_expense", "agg_agency", "agg_region"))
 def _s11(c):
-    return stage_counts({"raw": c.raw, "cleaned": c.detail, **c.agg})
+    return ingest_stage_counts(c.raw, clean.castable_amount_rows(c.raw), c.detail, c.agg)
 
 
 # ---------------------------------------------------------------- A19 on events

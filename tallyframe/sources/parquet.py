@@ -42,5 +42,13 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def ingest_stage_counts(raw: DataFrame, castable: DataFrame, detail: DataFrame,
+                        rollups: dict[str, DataFrame]) -> DataFrame:
+    """S11 for the ingest: raw, cleaned, removed (castable - cleaned), final, and each roll-up."""
+    counts = stage_counts({"raw": raw, "cleaned": detail, "final": detail, **rollups})
+    removed = castable.agg((F.count(F.lit(1)) - detail.agg(F.count(F.lit(1))).scalar()).alias("rows"))
+    return counts.unionByName(removed.select(F.lit("removed").alias("stage"), "rows"))
+
+
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
