@@ -116,6 +116,19 @@ def _distance(x0, y0, ax, ay, bx, by) -> Column:
 
 
 LOCAL_SEGMENT_POINTS = 50_000
+SALTS = 16
+
+
+def _salted_join(points: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join many points to one row per key without sending a hot key's points to one task.
+
+    Points get a salt from their position hash; each key row is replicated
+    once per salt (``per_key`` is small: one row per ring or segment with
+    more than ``LOCAL_SEGMENT_POINTS`` points).
+    """
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)))
+    fanned = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
 
 
 def _np_distance(x0, y0, ax, ay, bx, by):
@@ -194,7 +207,7 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
     big = rings.where(F.col("n") > local_points + 2).drop("n")
     if not big.isEmpty():
         kept += [big.select(*RING, "a.*"), big.select(*RING, "b.*")]
-        active = (v.join(big, RING)
+        active = (_salted_join(v, big, RING)
                   .where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos")))
                   .select(*RING, "pos", "x", "y",
                           F.col("a.pos").alias("lo"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
@@ -226,7 +239,7 @@ def _segment_rounds(active: DataFrame, tolerance: float, max_rounds: int, local_
             break
         kept.append(far.select(*RING, F.col("mp").alias("pos"), F.col("mx").alias("x"), F.col("my").alias("y")))
         left = F.col("pos") < F.col("mp")
-        active = (active.join(far, seg).where(F.col("pos") != F.col("mp"))
+        active = (_salted_join(active, far, seg).where(F.col("pos") != F.col("mp"))
                   .select(*RING, "pos", "x", "y",
                           F.when(left, F.col("lo")).otherwise(F.col("mp")).alias("lo"),
                           F.when(left, F.col("ax")).otherwise(F.col("mx")).alias("ax"),
