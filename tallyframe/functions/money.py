@@ -16,6 +16,16 @@ def strict_cast(c, to: str) -> Column:
                   F.raise_error(F.concat(F.lit(f"malformed value for {to}: "), c))).otherwise(v)
 
 
+def try_number(c, to: str) -> Column:
+    """TRY_CAST text to a numeric type, also accepting one '_' between digits ('1_000').
+
+    The separator is only stripped when the plain cast fails, so ordinary
+    numbers keep the direct (regex-free) cast.
+    """
+    c = as_col(c)
+    return F.coalesce(c.try_cast(to), F.regexp_replace(c, r"(?<=\d)_(?=\d)", "").try_cast(to))
+
+
 def tolerant_bigint(c) -> Column:
     """Text -> BIGINT, malformed -> NULL, fractions rounded half away from zero.
 
@@ -24,13 +34,13 @@ def tolerant_bigint(c) -> Column:
     """
     c = as_col(c)
     # fast path: plain integer text parses straight to BIGINT (no decimal object)
-    return F.coalesce(c.try_cast("bigint"), F.round(c.try_cast("decimal(38,10)"), 0).try_cast("bigint"))
+    return F.coalesce(c.try_cast("bigint"), F.round(try_number(c, "decimal(38,10)"), 0).try_cast("bigint"))
 
 
 def parse_money(c) -> Column:
     """Strip commas, tolerant DOUBLE, missing -> 0.0, stored as DECIMAL(18,2)."""
     cleaned = F.replace(F.trim(as_col(c)), F.lit(","), F.lit(""))
-    return F.coalesce(cleaned.try_cast("double"), F.lit(0.0)).cast("decimal(18,2)")
+    return F.coalesce(try_number(cleaned, "double"), F.lit(0.0)).cast("decimal(18,2)")
 
 
 def money_sum(c) -> Column:

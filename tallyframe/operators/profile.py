@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.money import pct
+from tallyframe.functions.money import pct, try_number
 
 # Text sentinels that count as missing.
 MISSING_SENTINELS = ("N/A", "NA", "NULL")
@@ -68,7 +68,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def non_numeric(df: DataFrame, column: str = "amount") -> DataFrame:
     """Q6: present, non-blank values that do not parse as a number after comma removal."""
     c = F.col(column)
-    bad = c.isNotNull() & (F.trim(c) != "") & F.replace(c, F.lit(","), F.lit("")).try_cast("double").isNull()
+    bad = c.isNotNull() & (F.trim(c) != "") & try_number(F.replace(c, F.lit(","), F.lit("")), "double").isNull()
     return df.agg(F.count_if(bad).alias("bad_amounts"))
 
 

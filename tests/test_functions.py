@@ -18,14 +18,14 @@ def one(spark, col, values, type_="string"):
 
 
 def test_tolerant_bigint(spark):
-    vals = ["1.5", "2.5", "-2.5", "1.495", "1e3", " 12 ", "", "N/A", "-5", "1,000", None]
-    assert one(spark, tolerant_bigint, vals) == [2, 3, -3, 1, 1000, 12, None, None, -5, None, None]
+    vals = ["1.5", "2.5", "-2.5", "1.495", "1e3", " 12 ", "", "N/A", "-5", "1,000", None, "1_000", "1__000", "1_000.5"]
+    assert one(spark, tolerant_bigint, vals) == [2, 3, -3, 1, 1000, 12, None, None, -5, None, None, 1000, None, 1001]
 
 
 def test_parse_money(spark):
-    vals = ["1,250,000", "2,400,000.50", "", "N/A", None, " 12 "]
+    vals = ["1,250,000", "2,400,000.50", "", "N/A", None, " 12 ", "1_000.5"]
     assert one(spark, parse_money, vals) == [Decimal("1250000.00"), Decimal("2400000.50"), Decimal("0.00"),
-                                             Decimal("0.00"), Decimal("0.00"), Decimal("12.00")]
+                                             Decimal("0.00"), Decimal("0.00"), Decimal("12.00"), Decimal("1000.50")]
 
 
 def test_strict_cast_aborts(spark):
