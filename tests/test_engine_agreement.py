@@ -45,3 +45,20 @@ def test_short_name_agrees_on_random_strings(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
     want = [r[0] for r in con.execute("SELECT " + SHORT_SQL.format(c="v") + " FROM t ORDER BY i").fetchall()]
     assert got == want
+
+
+def test_peso_labels_agree_across_magnitudes(spark):
+    from tallyframe.functions import format as fm
+    from tallyframe.plans.oracle import abbrev as sql_abbrev
+    rnd = random.Random(3)
+    vals = [round(10 ** rnd.uniform(0, 14), rnd.choice([0, 1, 2])) for _ in range(1500)]
+    vals += [999.5, 999999.5, 1e9 - 0.5, 1e12, 2.675e12, 1.005e6, 0.0]
+    variants = [fm.WORKSHOP_DECIMALS, fm.DASHBOARD_DECIMALS, fm.SUMMARY_DECIMALS, fm.TABLE_DECIMALS]
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v double")
+    got = [tuple(r) for r in df.orderBy("i").select(*[fm.abbrev(F.col("v"), d) for d in variants]).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    want = [tuple(r) for r in con.execute(
+        "SELECT " + ", ".join(sql_abbrev("v", d) for d in variants) + " FROM t ORDER BY i").fetchall()]
+    assert got == want
