@@ -62,3 +62,19 @@ def test_peso_labels_agree_across_magnitudes(spark):
     want = [tuple(r) for r in con.execute(
         "SELECT " + ", ".join(sql_abbrev("v", d) for d in variants) + " FROM t ORDER BY i").fetchall()]
     assert got == want
+
+
+def test_percent_rounding_agrees(spark):
+    from tallyframe.functions.money import pct
+    from tallyframe.plans.oracle import pct as sql_pct
+    rnd = random.Random(5)
+    pairs = [(rnd.randint(0, 10 ** rnd.randint(1, 13)), rnd.randint(1, 10 ** 13)) for _ in range(2000)]
+    pairs += [(1005, 100000), (125, 1000), (0, 5), (3, 0)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a long, b long")
+    got = [tuple(r) for r in df.orderBy("i").select(pct("a", "b", 1), pct("a", "b", 2)).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, a BIGINT, b BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, a, b) for i, (a, b) in enumerate(pairs)])
+    want = [tuple(r) for r in con.execute(
+        f"SELECT {sql_pct('a', 'b', 1)}, {sql_pct('a', 'b', 2)} FROM t ORDER BY i").fetchall()]
+    assert got == want
