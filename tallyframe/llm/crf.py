@@ -261,3 +261,20 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, score and share of good text of every document."""
     rows = documents(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_score_batches(model), "doc_id long, score double, good_share double")
+
+
+def _keep_batches(model, cut):
+    def run(batches):
+        for b in batches:
+            for i, j in slices(b.column("_scored")):
+                part = b.slice(i, j - i)
+                share = good_share(TextBuffer(part.column("_scored")), model)
+                yield part.filter(pa.array(curve(share, model) >= cut)).drop_columns(["_scored"])
+    return run
+
+
+def keep_good(docs: DataFrame, model: dict | None, cut: float = CUT) -> DataFrame:
+    """The documents scored at ``cut`` or above, in the columns of the input; all of them without a model."""
+    if model is None:
+        return docs
+    return docs.withColumn("_scored", docs["text"].cast("string")).mapInArrow(_keep_batches(model, cut), docs.schema)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import codes, crf, packing, piece, rules
+from tallyframe.llm import codes, crf, fingerprint, forest, license, packing, pii, piece, rules, toxic
 from tallyframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,10 +29,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_rows(column):
+    """Rows whose quality labels may be learnt from."""
+    return F.pmod(crf.fold(column), F.lit(4)) != 2
+
+
 @query
 def op2_quality_crf(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = crf.fit(docs, labels, lambda c: F.pmod(crf.fold(c), F.lit(4)) != 2)
+    model = crf.fit(docs, labels, quality_rows)
     return (crf.score(docs, model)
             .withColumn("held_out", F.pmod(crf.fold("doc_id"), F.lit(4)) == 2)
             .withColumn("predicted", (F.col("score") >= crf.CUT).cast("int")))
@@ -45,7 +50,7 @@ def op4_sentencepiece(spark, sf_dir):
 
 @query
 def op5_line_rules(spark, sf_dir):
-    return rules.line_rules(table(spark, sf_dir, "documents")).drop("row_id")
+    return rules.line_rules(table(spark, sf_dir, "documents")).drop("row_id", "text_hash", "removed_lines")
 
 
 @query
@@ -56,3 +61,35 @@ def op7_packing(spark, sf_dir):
 @query
 def op8_token_codes(spark, sf_dir):
     return codes.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op6_ngram_join(spark, sf_dir):
+    return forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op1_license_scan(spark, sf_dir):
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_fingerprints(spark, sf_dir):
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_license_scan"] = license.oracle()
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxic.fit(docs, labels, lambda c: F.pmod(crf.fold(c), F.lit(5)) != 0)
+    return (toxic.score(docs, model)
+            .withColumn("held_out", F.pmod(crf.fold("doc_id"), F.lit(5)) == 0)
+            .withColumn("predicted", (F.col("score") >= toxic.CUT).cast("int")))
+
+
+@query
+def op10_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))

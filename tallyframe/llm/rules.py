@@ -85,22 +85,24 @@ def _measure_batches(batches):
             ls, le, ld = tb.lines()
             h, w = normalised_lines(tb, ls, le)
             keep = w > 0
-            h, w, ld = h[keep].view(np.int64), w[keep], ld[keep]
+            at = np.arange(len(ls)) - np.searchsorted(ld, ld)
+            h, w, ld, at = h[keep].view(np.int64), w[keep], ld[keep], at[keep]
             off = np.searchsorted(ld, np.arange(tb.n + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (h, w.astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (h, w.astype(np.int32), at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(tb.n)), part.column("doc_id"), part.column("source"),
+                [pa.array(row + np.arange(tb.n)), part.column("doc_id"), part.column("text_hash"), part.column("source"),
                  *[pa.array(v.astype(np.int64)) for v in cols.values()], *lists],
-                names=["row_id", "doc_id", "host", *cols, "line", "line_words"])
+                names=["row_id", "doc_id", "text_hash", "host", *cols, "line", "line_words", "line_at"])
             row += tb.n
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """One row per document: its base counts and the hashes and word counts of its lines with words."""
     rows = documents(docs, "source").select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    return rows.mapInArrow(_measure_batches, "row_id long, doc_id long, host string, " + MEASURES
-                           + ", line array<long>, line_words array<int>")
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return rows.mapInArrow(_measure_batches, "row_id long, doc_id long, text_hash long, host string, " + MEASURES
+                           + ", line array<long>, line_words array<int>, line_at array<int>")
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
@@ -117,23 +119,39 @@ def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, host_share: fl
 
 def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE,
                min_share: float = MIN_SHARE) -> DataFrame:
-    """Per document: base counts, ``n_removed_lines``, ``n_kept_words``, ``base_failed`` and ``kept``."""
+    """Per document: base counts, ``n_removed_lines``, ``n_kept_words``, ``base_failed`` and ``kept``.
+
+    ``removed_lines`` are the numbers of the lines taken out (null: none).
+    """
     m = stage(measure(docs), "lines")
     salted = frequent_lines(m, min_docs, host_share).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = (m.select("row_id", "doc_id", F.col("host").alias("h"), F.explode(F.arrays_zip("line", "line_words")).alias("x"))
-             .select("row_id", "doc_id", "h", F.col("x.line").alias("l"), F.col("x.line_words").alias("w"),
+    lines = (m.select("row_id", "doc_id", F.col("host").alias("h"), F.explode(F.arrays_zip("line", "line_words", "line_at")).alias("x"))
+             .select("row_id", "doc_id", "h", F.col("x.line").alias("l"), F.col("x.line_words").alias("w"), F.col("x.line_at").alias("at"),
                      F.pmod("row_id", F.lit(SALTS)).cast("int").alias("s")))
     removed = (lines.join(salted, (F.col("l") == F.col("line")) & F.col("h").eqNullSafe(F.col("host"))
                           & (F.col("s") == F.col("salt")))
                .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
                .groupBy(F.col("row_id").alias("r"))
-               .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("w").alias("removed_words")))
+               .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("w").alias("removed_words"), F.collect_list("at").alias("removed_lines")))
     none = F.lit(0).cast("long")
-    out = (m.drop("line", "line_words", "host").join(removed, F.col("row_id") == F.col("r"), "left")
+    out = (m.drop("line", "line_words", "line_at", "host").join(removed, F.col("row_id") == F.col("r"), "left")
            .withColumn("n_removed_lines", F.coalesce("n_removed_lines", none))
            .withColumn("n_kept_words", F.col("n_words") - F.coalesce("removed_words", none))
            .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                        | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PCT)))
     depleted = F.col("n_kept_words") < F.col("n_words") * min_share
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("r", "removed_words")
+
+
+def apply_rules(docs: DataFrame, **parameters) -> DataFrame:
+    """The documents that are kept, without their removed lines, in the columns of the input."""
+    found = (line_rules(docs, **parameters).where("kept").dropDuplicates(["doc_id", "text_hash"])
+             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept"), F.col("removed_lines").alias("_lines")))
+    left = docs.withColumn("_hash", F.xxhash64(docs["text"].cast("string")))
+    d = left.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_kept")))
+    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
+    d = d.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*docs.columns)
