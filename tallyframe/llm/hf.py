@@ -50,23 +50,28 @@ def _make(path: str, spaced: bool) -> ChunkIds:
 
     def joined(words: list[str]):
         """Simple chunks as one text; ids go to the chunk in which their offset lies."""
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        e = tok.encode(" " + " ".join(words), add_special_tokens=False)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + (not spaced)
+        e = tok.encode("".join(words) if spaced else " " + " ".join(words), add_special_tokens=False)
         at = np.array([a for a, _ in e.offsets], np.int64)
-        # with a space in front of each, chunk k takes places [ends[k-1], ends[k])
+        # each chunk has one space in front: chunk k takes places [ends[k-1], ends[k])
         owner = np.searchsorted(np.cumsum(size), at, "right")
         return np.array(e.ids, np.uint32), np.bincount(owner, minlength=len(words))
 
+    def is_simple(chunks: list[str]):
+        one_space = np.fromiter((c[0] == " " and len(c) > 1 and c[1] not in " \n\t\r" for c in chunks),
+                                bool, len(chunks)) if spaced else np.ones(len(chunks), bool)
+        if HARD.search(" ".join(chunks)):
+            one_space &= np.fromiter((not HARD.search(c) and len(c) < 1000 for c in chunks), bool, len(chunks))
+        return one_space
+
     def encode(chunks: list[str]):
-        simple = np.fromiter((not HARD.search(c) and len(c) < 1000
-                              and (not spaced or (c[0] == " " and len(c) > 1 and c[1] not in " \n\t\r"))
-                              for c in chunks), bool, len(chunks))
+        simple = is_simple(chunks)
         size = np.zeros(len(chunks), np.int64)
         order, flat = [], []
         easy = np.flatnonzero(simple)
         for i in range(0, len(easy), GROUP):
             g = easy[i:i + GROUP]
-            ids, size[g] = joined([chunks[k][1:] if spaced else chunks[k] for k in g.tolist()])
+            ids, size[g] = joined([chunks[k] for k in g.tolist()])
             flat.append(ids)
         order = np.concatenate([easy, np.flatnonzero(~simple)])
         if not simple.all():

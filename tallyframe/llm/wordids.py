@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MAX_CHUNKS = 500_000       # distinct chunks kept; beyond that the table starts afresh
+MAX_CHUNKS = 800_000       # distinct chunks kept; beyond that the table starts afresh
 
 
 class _Codes(dict):
