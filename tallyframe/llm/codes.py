@@ -145,6 +145,18 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
     ordered.mapInArrow(_segment_batches(tokenizer_path, end_id), SEGMENT).write.parquet(path)
 
 
+def _runs(size: np.ndarray, most: int = 1 << 17):
+    """Ranges of documents of about ``most`` ids, or one longer document."""
+    at, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > at and total + n > most:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(size):
+        yield at, len(size)
+
+
 def _document_batches(starts: dict):
     def run(batches):
         for b in batches:
@@ -153,7 +165,12 @@ def _document_batches(starts: dict):
                 size = np.frombuffer(r["doc_sizes"], "<i8")
                 null = np.frombuffer(r["doc_null"], bool)
                 first = np.cumsum(size) - size
-                crc = [zlib.crc32(codes.get(int(a), int(n)).astype("<u4").tobytes()) for a, n in zip(first, size, strict=True)]
+                # neighbours in a segment are read with one descent through the levels
+                crc = []
+                for i, j in _runs(size):
+                    ids = codes.get(int(first[i]), int(size[i:j].sum())).astype("<u4")
+                    at = first[i]
+                    crc += [zlib.crc32(ids[a - at:a - at + n]) for a, n in zip(first[i:j].tolist(), size[i:j].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=null),
                      pa.array(first + r["part_start"] + starts.get(r["part"], 0)), pa.array(size),

@@ -21,16 +21,26 @@ SPACED_PARTS = re.compile(f"[ \n\t\r]*(?:[{WORD}]+|[^ \n\t\r{WORD}]+)|[ \n\t\r]+
 PARTS = re.compile(f"[{WORD}]+|[^ \n\t\r{WORD}]+")
 
 
+# Bytes of texts without hard places; any other byte makes the pattern decide.
+SURE = bytes(b for b in range(0x80) if not HARD.search(chr(b))) + bytes(range(0x80, 0xC0)) + bytes(range(0xC3, 0xC9))
+
+
+def is_hard(text: str) -> bool:
+    if text.encode("utf-8", "surrogatepass").translate(None, SURE):
+        return bool(HARD.search(text))
+    return "<|" in text or "İ" in text
+
+
 def byte_level_chunks(text: str) -> list[str]:
     """Runs of word characters or of symbols, each with the white space in front of it."""
-    if HARD.search(text):
+    if is_hard(text):
         return [text] if ODD_SPACE.search(text) else SPACED.findall(text)
     return SPACED_PARTS.findall(text)
 
 
 def word_chunks(text: str) -> list[str]:
     """Runs of word characters or of symbols: the tokenizer drops white space and case."""
-    if HARD.search(text):
+    if is_hard(text):
         return [text] if ODD_SPACE.search(text) else text.split()
     return PARTS.findall(text.lower())
 

@@ -60,7 +60,7 @@ class _Powers:
 POWERS = _Powers()
 
 
-def slices(arr: pa.Array, max_bytes: int = 4 << 20):
+def slices(arr: pa.Array, max_bytes: int = 2 << 20):
     """(first, last+1) document ranges of at most ``max_bytes`` of text, or one longer document."""
     if not len(arr):
         return
