@@ -15,6 +15,7 @@ WORKSHOP_DECIMALS = (2, 2, 1, 0)
 DASHBOARD_DECIMALS = (2, 1, 0, None)
 SUMMARY_DECIMALS = (2, 1, 1, None)
 TABLE_DECIMALS = (None, 2, 1, 0)
+MAP_DECIMALS = (None, 1, 0, None)
 
 
 def fixed(x: Column, digits: int) -> Column:
@@ -23,8 +24,9 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def thousands(c) -> Column:
-    """whole value with grouped thousands ('1,234,567'), rounded half up."""
-    return F.format_number(F.round(as_col(c).cast("decimal(38,2)"), 0), 0)
+    """grouped thousands with up to three fraction places ('1,234,567', '999.5'), rounded half up."""
+    rounded = F.round(as_col(c).cast("decimal(38,10)"), 3)
+    return F.call_function("format_number", rounded, F.lit("#,##0.###"))
 
 
 def abbrev(c, decimals=WORKSHOP_DECIMALS, symbol: str = PESO) -> Column:

@@ -19,12 +19,14 @@ def strict_cast(c, to: str) -> Column:
 def tolerant_bigint(c) -> Column:
     """Text -> BIGINT, malformed -> NULL, fractions rounded half away from zero.
 
-    Goes through decimal(38,10) so '2.5' -> 3, '1e3' -> 1000 and '1,000' -> NULL,
+    Goes through decimal(38,10) so '2.5' -> 3, '1e3' -> 1000, '1_000' -> 1000 and '1,000' -> NULL,
     the meaning of the reference's tolerant integer cast.
     """
     c = as_col(c)
-    # fast path: plain integer text parses straight to BIGINT (no decimal object)
-    return F.coalesce(c.try_cast("bigint"), F.round(c.try_cast("decimal(38,10)"), 0).try_cast("bigint"))
+    # fast path: plain integer text parses straight to BIGINT (no decimal object); only text that
+    # fails it and holds an underscore pays for taking separators out
+    plain = F.when(F.instr(c, "_") > 0, F.regexp_replace(c, "(?<=[0-9])_(?=[0-9])", "")).otherwise(c)
+    return F.coalesce(c.try_cast("bigint"), F.round(plain.try_cast("decimal(38,10)"), 0).try_cast("bigint"))
 
 
 def parse_money(c) -> Column:

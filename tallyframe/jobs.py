@@ -79,12 +79,13 @@ def regions(spark: SparkSession, src: str, out: str, tolerance: float = 0.015,
             multiline: bool = True) -> None:
     """Region polygons: map labels (report unmapped), simplify, write features by region_id."""
     v = geojson.read_features(spark, src, multiline=multiline)
-    feats = v.select("feature", "gtype").distinct()
+    others = geojson.read_other_geometries(spark, src, multiline=multiline)
+    feats = v.select("feature", "gtype").unionAll(others.select("feature", "gtype")).distinct()
     mapped, unmapped = geo.map_labels(feats, geo.label_table(spark))
     unmapped.show(truncate=False)
     v = v.join(mapped.select("feature"), "feature", "left_semi")
     kept = geo.simplify_rings(v, tolerance)
-    geojson.write_features(geojson.feature_lines(kept, mapped), f"{out}/regions")
+    geojson.write_features(geojson.feature_lines(kept, mapped, others), f"{out}/regions")
     geo.vertex_totals(v, kept).show(truncate=False)
 
 
@@ -107,6 +108,7 @@ def main(argv=None) -> int:
     a.add_argument("--geojson", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--tolerance", type=float, default=0.015)
+    a.add_argument("--lines", action="store_true", help="one Feature per line, read in many tasks")
     args = p.parse_args(argv)
     spark = get_session()
     try:
@@ -119,7 +121,7 @@ def main(argv=None) -> int:
         elif args.job == "workshop":
             workshop(spark, args.csv, args.out)
         else:
-            regions(spark, args.geojson, args.out, args.tolerance)
+            regions(spark, args.geojson, args.out, args.tolerance, multiline=not args.lines)
     except gates.GateFailure as e:
         print(f"DATA QUALITY GATE FAILED: {e}", file=sys.stderr)
         return 1

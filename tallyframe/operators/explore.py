@@ -130,17 +130,26 @@ def page(df: DataFrame, order_by: str = "amount_php", desc: bool = True, page_no
     return ordered.offset(page_no * page_size).limit(page_size)
 
 
-def page_after(df: DataFrame, order_by: str, last_value, page_size: int = PAGE_SIZE,
-               desc: bool = True) -> DataFrame:
-    """T4 (deep pages): keyset page -- rows strictly after ``last_value``.
+def page_after(df: DataFrame, order_by: str, last, page_size: int = PAGE_SIZE, desc: bool = True, tie=()) -> DataFrame:
+    """T4 (deep pages): the rows after ``last`` in the order of ``order_by`` and then ``tie`` ascending.
 
-    A pushed-down predicate plus a k-row top-k; cost does not grow with the
-    page number. Assumes ``order_by`` values are unique or that the caller
-    passes the last key of a unique composite.
+    ``last`` holds the last row's values of these columns (a bare value without ties). Rows that tie
+    with it in the first columns are compared by the next ones; nulls come last. A predicate and a
+    k-row top-k: the cost does not grow with the page's number.
     """
-    c = F.col(order_by)
-    cond = c < F.lit(last_value) if desc else c > F.lit(last_value)
-    return df.where(cond).orderBy(*_order([order_by], desc)).limit(page_size)
+    columns = [order_by, *tie]
+    values = list(last) if isinstance(last, (tuple, list)) else [last]
+    if len(values) != len(columns):
+        raise ValueError(f"last needs a value for each of {columns}")
+    cond = F.lit(False)
+    for c, v, down in reversed(list(zip(columns, values, [desc] + [False] * len(tie), strict=True))):
+        col = F.col(c)
+        if v is None:                       # nulls are last: only ties can follow
+            cond = col.isNull() & cond
+        else:
+            later = col < F.lit(v) if down else col > F.lit(v)
+            cond = F.coalesce(later, F.lit(True)) | (col.eqNullSafe(F.lit(v)) & cond)
+    return df.where(cond).orderBy(*_order([order_by], desc), *_order(tie)).limit(page_size)
 
 
 def special_funds(detail: DataFrame, exclude: str, k: int = 15) -> DataFrame:

@@ -77,15 +77,15 @@ def detail_summary(detail: DataFrame, columns=V1_COLUMNS, domain=EXPENSE_DOMAIN,
 
 
 def _v1(summary: DataFrame, columns=V1_COLUMNS) -> DataFrame:
-    return checks(summary, [("V1", f"{c} has no nulls", F.col(f"null_{c}"), 0, 0) for c in columns])
+    return checks(summary, [("V1", f"{c}: null rows", F.col(f"null_{c}"), 0, 0) for c in columns])
 
 
 def _v2(summary: DataFrame) -> DataFrame:
     return checks(summary, [
-        ("V2", "no non-positive amounts", F.col("non_positive"), 0, 0),
-        ("V2", "no implausible amounts", F.col("implausible"), 0, 0),
-        ("V2", "expense_category in valid domain", F.col("bad_category"), 0, 0),
-        ("V2", "derived amount_php = thousands*1000", F.col("derived_mismatch"), 0, 0)])
+        ("V2", "amounts at or below zero", F.col("non_positive"), 0, 0),
+        ("V2", "amounts above the ceiling", F.col("implausible"), 0, 0),
+        ("V2", "unknown expense categories", F.col("bad_category"), 0, 0),
+        ("V2", "pesos that differ from thousands", F.col("derived_mismatch"), 0, 0)])
 
 
 def _v4(summary: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:
@@ -93,9 +93,9 @@ def _v4(summary: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:
     for name in ("agg_department", "agg_expense", "agg_agency", "agg_region"):
         r = rollups[name].agg(F.sum("total_php").alias("t"), F.sum("line_items").alias("n"))
         cols += [r.select("t").scalar().alias(f"{name}_t"), r.select("n").scalar().alias(f"{name}_n")]
-        specs.append(("V4", f"{name} total matches detail", F.col(f"{name}_t"), F.col("t"), F.col("t")))
+        specs.append(("V4", f"{name}: total against detail", F.col(f"{name}_t"), F.col("t"), F.col("t")))
     one = summary.select(*cols)
-    specs.append(("V4", "agg_department line_items matches detail row count",
+    specs.append(("V4", "agg_department: rows against detail",
                   F.col("agg_department_n"), F.col("n"), F.col("n")))
     return checks(one, specs)
 
@@ -104,9 +104,9 @@ def _v5(summary: DataFrame, agg_department: DataFrame, agg_region: DataFrame, bo
     one = summary.select("t", agg_department.agg(F.count(F.lit(1))).scalar().alias("d"),
                          agg_region.agg(F.count(F.lit(1))).scalar().alias("r"))
     return checks(one, [
-        ("V5", "grand total in expected range", F.col("t"), *bounds["total"]),
-        ("V5", "department count is plausible", F.col("d"), *bounds["departments"]),
-        ("V5", "region count is plausible", F.col("r"), *bounds["regions"])])
+        ("V5", "grand total within anchors", F.col("t"), *bounds["total"]),
+        ("V5", "number of departments within anchors", F.col("d"), *bounds["departments"]),
+        ("V5", "number of regions within anchors", F.col("r"), *bounds["regions"])])
 
 
 def completeness(detail: DataFrame, columns=V1_COLUMNS) -> DataFrame:
@@ -141,7 +141,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def uniqueness(detail: DataFrame) -> DataFrame:
     """Number of exact duplicate rows must be 0."""
-    return checks(duplicate_rows(detail), [("V3", "all rows unique", F.col("duplicates"), 0, 0)])
+    return checks(duplicate_rows(detail), [("V3", "repeated rows", F.col("duplicates"), 0, 0)])
 
 
 def consistency(detail: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:
@@ -158,7 +158,7 @@ def split_integrity(agg_department: DataFrame) -> DataFrame:
     """V6: PS + MOOE + CO + FE = total for every department ('Other' rows break it)."""
     bad = F.count_if(F.col("ps_php") + F.col("mooe_php") + F.col("co_php") + F.col("fe_php")
                      != F.col("total_php"))
-    return checks(agg_department.agg(bad.alias("m")), [("V6", "dept expense splits sum to total", F.col("m"), 0, 0)])
+    return checks(agg_department.agg(bad.alias("m")), [("V6", "departments whose classes miss the total", F.col("m"), 0, 0)])
 
 
 def all_gates(detail: DataFrame, rollups: dict[str, DataFrame], bounds=ANCHORS,

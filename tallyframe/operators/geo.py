@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import checkpoint_dir
+from tallyframe.session import checkpoint_dir, scratch_path
 
 RING = ["feature", "poly_no", "ring_no"]
 CLOSING_POS = (1 << 63) - 1
@@ -103,16 +103,25 @@ def vertex_totals(before: DataFrame, after: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- G2
 
-def _distance(x0, y0, ax, ay, bx, by) -> Column:
-    """Distance from (x0, y0) to segment a-b; to point a when a == b."""
-    dx, dy = bx - ax, by - ay
-    degenerate = (dx == 0) & (dy == 0)
-    t = ((x0 - ax) * dx + (y0 - ay) * dy) / (dx * dx + dy * dy)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    px, py = ax + t * dx, ay + t * dy
-    to_a = F.sqrt((x0 - ax) * (x0 - ax) + (y0 - ay) * (y0 - ay))
-    to_p = F.sqrt((x0 - px) * (x0 - px) + (y0 - py) * (y0 - py))
-    return F.when(degenerate, to_a).otherwise(to_p)
+def _apart(x, y, ax, ay, bx, by, pick, no_value):
+    """Squared distance of points from the chord a-b, for columns and numpy arrays alike.
+
+    With u = b - a and v = p - a the foot of the perpendicular lies on the chord if 0 < u.v < u.u, and
+    the distance is then |u x v| / |u|; before and beyond it is that to the nearer end. A point
+    without a distance (a NaN coordinate) is never the farthest: -1.
+    """
+    ux, uy, vx, vy, wx, wy = bx - ax, by - ay, x - ax, y - ay, x - bx, y - by
+    along, length2, cross = ux * vx + uy * vy, ux * ux + uy * uy, ux * vy - uy * vx
+    return no_value(pick(along <= 0, vx * vx + vy * vy,
+                         pick(along >= length2, wx * wx + wy * wy, cross * cross / pick(length2 > 0, length2, 1.0))))
+
+
+def _column_apart(*points) -> Column:
+    return _apart(*points, lambda c, a, b: F.when(c, a).otherwise(b), lambda d: F.nanvl(d, F.lit(-1.0)))
+
+
+def _array_apart(*points) -> np.ndarray:
+    return _apart(*points, np.where, lambda d: np.where(np.isnan(d), -1.0, d))
 
 
 LOCAL_SEGMENT_POINTS = 50_000
@@ -131,17 +140,6 @@ def _salted_join(points: DataFrame, per_key: DataFrame, keys: list[str], how: st
     return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
 
 
-def _np_distance(x0, y0, ax, ay, bx, by):
-    """Same operations, in the same order, as ``_distance`` (identical doubles)."""
-    dx, dy = bx - ax, by - ay
-    if dx == 0 and dy == 0:
-        return np.sqrt((x0 - ax) * (x0 - ax) + (y0 - ay) * (y0 - ay))
-    t = ((x0 - ax) * dx + (y0 - ay) * dy) / (dx * dx + dy * dy)
-    t = np.maximum(0.0, np.minimum(1.0, t))
-    px, py = ax + t * dx, ay + t * dy
-    return np.sqrt((x0 - px) * (x0 - px) + (y0 - py) * (y0 - py))
-
-
 def _dp_keep(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> list[int]:
     """Indices kept strictly inside xs[0]..xs[-1] (both ends are kept by the caller)."""
     keep = []
@@ -150,9 +148,9 @@ def _dp_keep(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> list[int]:
         lo, hi = stack.pop()
         if hi - lo < 2:
             continue
-        d = _np_distance(xs[lo + 1:hi], ys[lo + 1:hi], xs[lo], ys[lo], xs[hi], ys[hi])
+        d = _array_apart(xs[lo + 1:hi], ys[lo + 1:hi], xs[lo], ys[lo], xs[hi], ys[hi])
         i = int(np.argmax(d))               # first maximum = smallest pos
-        if d[i] > tolerance:
+        if d[i] > tolerance * tolerance:
             m = lo + 1 + i
             keep.append(m)
             stack += [(lo, m), (m, hi)]
@@ -185,8 +183,7 @@ def _finish_segments(tolerance: float):
     return run
 
 
-def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int = 10_000,
-             local_points: int = LOCAL_SEGMENT_POINTS) -> DataFrame:
+def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, local_points: int = LOCAL_SEGMENT_POINTS) -> DataFrame:
     """Douglas-Peucker over every ring, distributed by ring and by segment.
 
     Returns the kept vertices ``(feature, poly_no, ring_no, pos, x, y)``:
@@ -202,9 +199,10 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
     pt = F.struct("pos", "x", "y")
     rings = (v.groupBy(*RING).agg(F.count(F.lit(1)).alias("n"), F.min(pt).alias("a"), F.max(pt).alias("b"))
              .checkpoint(eager=True))
-    small = rings.where(F.col("n") <= local_points + 2).select(*RING)
-    kept = [v.join(small, RING, "left_semi").groupBy(*RING).applyInPandas(_finish_rings(tolerance), _OUT_SCHEMA)]
     big = rings.where(F.col("n") > local_points + 2).drop("n")
+    # big rings leave by a salted join, before anything is shuffled by ring alone
+    small = _salted_join(v, big.select(*RING), RING, "left_anti")
+    kept = [small.groupBy(*RING).applyInPandas(_finish_rings(tolerance), _OUT_SCHEMA)]
     if not big.isEmpty():
         kept += [big.select(*RING, "a.*"), big.select(*RING, "b.*")]
         active = (_salted_join(v, big, RING)
@@ -213,31 +211,39 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, max_rounds: int
                           F.col("a.pos").alias("lo"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
                           F.col("b.pos").alias("hi"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
                   .checkpoint(eager=True))
-        kept += _segment_rounds(active, tolerance, max_rounds, local_points)
+        kept.append(_segment_rounds(active, tolerance, local_points))
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
     return out.checkpoint(eager=True)
 
 
-def _segment_rounds(active: DataFrame, tolerance: float, max_rounds: int, local_points: int) -> list[DataFrame]:
-    """Distributed rounds over segments larger than ``local_points``; returns kept vertex frames."""
+def _segment_rounds(active: DataFrame, tolerance: float, local_points: int) -> DataFrame:
+    """Distributed rounds over segments larger than ``local_points``, until none splits.
+
+    Each round appends the vertices it keeps to a table in the shared folder, so the plan
+    of the result does not grow with the number of rounds.
+    """
     seg = RING + ["lo"]
-    kept = []
-    for _ in range(max_rounds):
-        d = _distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    path = scratch_path(active.sparkSession, "kept")
+
+    def keep(df: DataFrame) -> None:
+        df.select(*_OUT).write.mode("append").parquet(path)
+
+    while True:
+        d = _column_apart(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         stats = (active.groupBy(*seg)
                  .agg(F.count(F.lit(1)).alias("n"),
                       F.min(F.struct((-d).alias("nd"), F.col("pos"), F.col("x"), F.col("y"))).alias("m"))
                  .checkpoint(eager=True))
-        small = stats.where(F.col("n") <= local_points).select(*seg)
-        kept.append(active.join(small, seg, "left_semi").groupBy(*seg)
-                    .applyInPandas(_finish_segments(tolerance), _OUT_SCHEMA))
-        far = (stats.where((F.col("n") > local_points) & (-F.col("m.nd") > F.lit(tolerance)))
+        large = stats.where(F.col("n") > local_points).select(*seg)
+        keep(_salted_join(active, large, seg, "left_anti").groupBy(*seg)
+             .applyInPandas(_finish_segments(tolerance), _OUT_SCHEMA))
+        far = (stats.where((F.col("n") > local_points) & (-F.col("m.nd") > F.lit(tolerance * tolerance)))
                .select(*seg, F.col("m.pos").alias("mp"), F.col("m.x").alias("mx"), F.col("m.y").alias("my")))
         if far.isEmpty():
-            break
-        kept.append(far.select(*RING, F.col("mp").alias("pos"), F.col("mx").alias("x"), F.col("my").alias("y")))
+            return active.sparkSession.read.schema(_OUT_SCHEMA).parquet(path)
+        keep(far.select(*RING, F.col("mp").alias("pos"), F.col("mx").alias("x"), F.col("my").alias("y")))
         left = F.col("pos") < F.col("mp")
         active = (_salted_join(active, far, seg).where(F.col("pos") != F.col("mp"))
                   .select(*RING, "pos", "x", "y",
@@ -248,7 +254,6 @@ def _segment_rounds(active: DataFrame, tolerance: float, max_rounds: int, local_
                           F.when(left, F.col("mx")).otherwise(F.col("bx")).alias("bx"),
                           F.when(left, F.col("my")).otherwise(F.col("by")).alias("by"))
                   .checkpoint(eager=True))
-    return kept
 
 
 # ---------------------------------------------------------------- G3 / G4
@@ -256,7 +261,12 @@ def _segment_rounds(active: DataFrame, tolerance: float, max_rounds: int, local_
 @F.pandas_udf(T.DoubleType())
 def py_round2(s: pd.Series) -> pd.Series:
     """Python's round(x, 2): correctly rounded from the exact binary value."""
-    return s.map(lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else round(x, 2))
+    x = s.to_numpy(float)
+    out = np.round(x, 2)
+    # numpy rounds the scaled value; where that is about a tie, the exact binary value decides
+    near = np.flatnonzero(np.abs(np.abs(x * 100 % 1) - 0.5) < 1e-6)
+    out[near] = [round(v, 2) for v in x[near].tolist()]
+    return pd.Series(out).where(~np.isnan(x), None)
 
 
 def close_and_round(kept: DataFrame) -> DataFrame:
@@ -271,8 +281,8 @@ def close_and_round(kept: DataFrame) -> DataFrame:
 
 def drop_small_rings(v: DataFrame, min_points: int = 4) -> DataFrame:
     """Drop rings with fewer than ``min_points`` vertices (empty polygons/features go with them)."""
-    big = vertex_counts(v).where(F.col("vertices") >= min_points).select(*RING)
-    return v.join(big, RING, "left_semi")
+    small = vertex_counts(v).where(F.col("vertices") < min_points).select(*RING)
+    return _salted_join(v, small, RING, "left_anti")
 
 
 def simplify_rings(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
@@ -284,7 +294,7 @@ def simplify_rings(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFr
 
 def map_labels(features: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Features whose label maps to a region (inner, broadcast dictionary) and the unmapped labels."""
-    lab = F.broadcast(labels)
+    lab = labels                  # Spark broadcasts it where its size allows
     mapped = features.join(lab, features.feature == lab.label).drop("label")
     unmapped = features.join(lab, features.feature == lab.label, "left_anti").select("feature").distinct()
     return mapped, unmapped
@@ -294,7 +304,7 @@ def region_names(agg_region: DataFrame, feature_props: DataFrame, names: DataFra
     """J1 + M2 + M1: region rows with names (feature > dictionary > 'Region <id>'), rank and share."""
     fp = feature_props.groupBy("region_id").agg(F.min(F.struct("region_name", "region_short")).alias("fp"))
     nm = names.select("region_id", F.struct("region_name", "region_short").alias("nm"))
-    joined = agg_region.join(F.broadcast(fp), "region_id", "left").join(F.broadcast(nm), "region_id", "left")
+    joined = agg_region.join(fp, "region_id", "left").join(nm, "region_id", "left")
     rid = F.col("region_id")
     return joined.select(
         *[c for c in agg_region.columns],

@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.sources.tables import spread
 
 # The deny list of meta departments and the dirt rules' moduli.
 DENIED_DEPARTMENTS = ("Automatic Appropriations", "New General Appropriations")
@@ -35,7 +34,7 @@ def _code2(c: Column) -> Column:
 
 def base_lines(t) -> DataFrame:
     """lineitem joined to its order, part and supplier's nation (one row per line)."""
-    l = spread(t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    l = (t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                     "l_extendedprice", "l_returnflag", "l_linestatus"))
     o = t["orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")

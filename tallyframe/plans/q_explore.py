@@ -51,6 +51,20 @@ def _t4(c):
     return explore.page(c.detail, "amount_php", True, 2, filters={"expense_category": "PS"}, text="ring")
 
 
+_AMOUNT_TIES = ("department_short", "agency_name", "program_description", "expense_category", "object_description")
+
+
+@query("t4_page_keyset", sql(f"""SELECT {_PAGE_COLS} FROM detail
+  ORDER BY amount_php DESC, department_short, agency_name NULLS LAST, program_description, expense_category,
+           object_description
+  LIMIT 50 OFFSET 50""", "detail"))
+def _t4k(c):
+    """The second page by the first one's last row; full ties of a page's end are the same rows."""
+    last = explore.page(c.detail, "amount_php", True, 0).collect()[-1]
+    rows = c.detail.select("amount_php", *_AMOUNT_TIES)
+    return explore.page_after(rows, "amount_php", tuple(last[x] for x in ("amount_php", *_AMOUNT_TIES)), 50, True, _AMOUNT_TIES)
+
+
 @query("t4_page_department_asc", sql(f"""SELECT {_PAGE_COLS} FROM detail
   ORDER BY department_short, agency_name NULLS LAST, program_description, expense_category,
            object_description, amount_php

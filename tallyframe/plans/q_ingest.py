@@ -135,6 +135,23 @@ def _s1(c):
     return read_csv_text(c.spark, path)
 
 
+@query("s1_csv_quoted", """SELECT CAST(o_orderkey AS VARCHAR) AS id,
+    'a "' || o_orderpriority || '", b' AS note, o_orderstatus || chr(10) || 'x' AS lines FROM orders""")
+def _s1q(c):
+    """Cells with quotes, commas and line breaks, as any CSV writer quotes them."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.session import scratch_path
+    from tallyframe.sources.text import read_csv_text
+
+    path = scratch_path(c.spark, "quoted_csv")
+    (c.t["orders"].select(F.col("o_orderkey").cast("string").alias("id"),
+                          F.concat(F.lit('a "'), "o_orderpriority", F.lit('", b')).alias(" note"),
+                          F.concat("o_orderstatus", F.lit("\nx")).alias("lines"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    return read_csv_text(c.spark, path, multiline=True)
+
+
 @query("s8_series_json", sql("""SELECT department, CAST(total AS DOUBLE) AS total FROM (
   SELECT department, CAST(SUM(amount) AS DECIMAL(38,2)) AS total FROM wclean
   GROUP BY department ORDER BY total DESC, department LIMIT 10)""", "wclean"))

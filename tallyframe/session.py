@@ -35,7 +35,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
+    if memory := os.environ.get("TALLY_DRIVER_MEMORY"):      # else the deployment's setting
+        builder = builder.config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -52,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        master = spark.conf.get("spark.master", "local")
+        master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: point it at a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="tally-ckpt-")

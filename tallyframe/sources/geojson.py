@@ -21,17 +21,20 @@ COLLECTION = T.StructType([T.StructField("type", T.StringType()),
                            T.StructField("features", T.ArrayType(FEATURE))])
 
 
+def _features(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    if multiline:
+        return (spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+                .select(F.explode("features").alias("f")).select("f.*"))
+    return spark.read.schema(FEATURE).json(path)
+
+
 def read_features(spark: SparkSession, path: str, label: str = "REGION", multiline: bool = False) -> DataFrame:
     """S5 + G1: features -> vertex rows (feature, gtype, poly_no, ring_no, pos, x, y).
 
     Polygons are normalised to one-polygon MultiPolygons; other geometry
-    types have no rings and yield no vertices.
+    types have no rings and yield no vertices (``read_other_geometries``).
     """
-    if multiline:
-        feats = (spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-                 .select(F.explode("features").alias("f")).select("f.*"))
-    else:
-        feats = spark.read.schema(FEATURE).json(path)
+    feats = _features(spark, path, multiline)
     g = F.col("geometry")
     polys = (F.when(g.type == "Polygon", F.array(F.from_json(g.coordinates, "array<array<array<double>>>")))
              .when(g.type == "MultiPolygon", F.from_json(g.coordinates, "array<array<array<array<double>>>>")))
@@ -43,11 +46,20 @@ def read_features(spark: SparkSession, path: str, label: str = "REGION", multili
                     F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
 
 
-def feature_lines(v: DataFrame, props: DataFrame) -> DataFrame:
+def read_other_geometries(spark: SparkSession, path: str, label: str = "REGION", multiline: bool = False) -> DataFrame:
+    """Features without rings (points, lines) as (feature, gtype, coordinates), to be passed through."""
+    feats = _features(spark, path, multiline)
+    g = F.col("geometry")
+    return (feats.where(~g.type.isin("Polygon", "MultiPolygon"))
+            .select(F.col("properties")[label].alias("feature"), g.type.alias("gtype"), g.coordinates.alias("coordinates")))
+
+
+def feature_lines(v: DataFrame, props: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """One GeoJSON Feature text per feature, with ``region_id`` for ordering.
 
     ``v``: vertex rows (feature, poly_no, ring_no, pos, x, y); ``props``:
-    (feature, gtype, region_id, region_name, region_short).
+    (feature, gtype, region_id, region_name, region_short); ``others``: features
+    whose coordinates pass through as they are.
     """
     pts = v.groupBy("feature", "poly_no", "ring_no").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.array("x", "y").alias("xy")))).alias("pts"))
@@ -57,8 +69,12 @@ def feature_lines(v: DataFrame, props: DataFrame) -> DataFrame:
     polys = polys.select("feature", "poly_no", F.transform("rs", lambda r: r["ring"]).alias("poly"))
     feats = polys.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("poly_no", "poly"))).alias("ps"))
     feats = feats.select("feature", F.transform("ps", lambda p: p["poly"]).alias("polys"))
-    j = feats.join(props, "feature")
     coords = F.when(F.col("gtype") == "Polygon", F.to_json(F.col("polys")[0])).otherwise(F.to_json("polys"))
+    j = feats.join(props, "feature").withColumn("coords", coords)
+    if others is not None:
+        j = j.select(*props.columns, "coords").unionByName(
+            others.select("feature", "gtype", F.col("coordinates").alias("coords")).join(props, ["feature", "gtype"]))
+    coords = F.col("coords")
     text = F.concat(F.lit('{"type":"Feature","properties":'),
                     F.to_json(F.struct("region_id", "region_name", "region_short")),
                     F.lit(',"geometry":{"type":"'), F.col("gtype"), F.lit('","coordinates":'), coords, F.lit("}}"))

@@ -43,18 +43,3 @@ def register_views(spark: SparkSession, frames: dict[str, DataFrame | str]) -> l
         df.createOrReplaceTempView(name)
         names.append(name)
     return names
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame whose scan has fewer splits than the cluster has cores.
-
-    A small file with one row group scans as one task, so every narrow step
-    after it would run single-threaded. On large inputs the scan already has
-    at least ``defaultParallelism`` splits and this is a no-op (no shuffle).
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD access, e.g. Spark Connect: leave the plan as is)
-        return df
-    return df.repartition(want) if have < want else df

@@ -88,3 +88,16 @@ def test_keyset_page_equals_offset_page(spark):
     nxt = explore.page_after(df, "amount_php", first[-1].amount_php, 50).collect()
     by_offset = df.orderBy(F.col("amount_php").desc()).offset(50).limit(50).collect()
     assert [r.amount_php for r in nxt] == [r.amount_php for r in by_offset]
+
+
+@pytest.mark.parametrize("desc", [True, False])
+def test_keyset_pages_keep_ties_and_nulls(spark, desc):
+    rows = [(i, None if i % 11 == 0 else i % 7, None if i % 5 == 0 else f"a{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, amount_php long, a string")
+    want = [r.k for r in explore.top_k(df, "amount_php", None, ("a", "k"), desc).collect()]
+    got, page = [], explore.top_k(df, "amount_php", 17, ("a", "k"), desc).collect()
+    while page:
+        got += [r.k for r in page]
+        last = (page[-1].amount_php, page[-1].a, page[-1].k)
+        page = explore.page_after(df, "amount_php", last, 17, desc, ("a", "k")).collect()
+    assert got == want

@@ -14,13 +14,15 @@ from tests.conftest import SF001
 
 
 def seg_dist(p, a, b):
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    if dx == 0 and dy == 0:
-        return math.sqrt((p[0] - a[0]) * (p[0] - a[0]) + (p[1] - a[1]) * (p[1] - a[1]))
-    t = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)
-    t = max(0.0, min(1.0, t))
-    qx, qy = a[0] + t * dx, a[1] + t * dy
-    return math.sqrt((p[0] - qx) * (p[0] - qx) + (p[1] - qy) * (p[1] - qy))
+    """Smallest distance over the chord: at an end, or |area| / base where the foot lies inside."""
+    ends = min(math.dist(p, a), math.dist(p, b))
+    base = math.dist(a, b)
+    if base == 0:
+        return ends
+    foot = sum((q - s) * (e - s) for q, s, e in zip(p, a, b, strict=True)) / base
+    if not 0 <= foot <= base:
+        return ends
+    return abs((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) / base
 
 
 def brute_dp(pts, eps):
@@ -127,6 +129,21 @@ def test_distributed_rounds_equal_local_finish(vertices):
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
+def test_no_round_limit_on_a_zigzag(spark):
+    rows = [("z", 0, 0, i, float(i), float(i % 2) * (1 + i * 0.01)) for i in range(60)]
+    v = spark.createDataFrame(rows, "feature string, poly_no long, ring_no long, pos long, x double, y double")
+    a, b = geo.simplify(v, 0.01, local_points=3), geo.simplify(v, 0.01)
+    assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_nan_vertices_are_skipped_on_both_paths(spark):
+    ys = [0.0, 1.0, float("nan"), 2.0, 0.5, 0.0]
+    rows = [("n", 0, 0, i, float(i), y) for i, y in enumerate(ys)]
+    v = spark.createDataFrame(rows, "feature string, poly_no long, ring_no long, pos long, x double, y double")
+    kept = [sorted(r.pos for r in geo.simplify(v, 0.1, local_points=n).collect()) for n in (0, 50)]
+    assert kept[0] == kept[1] and 2 not in kept[0] and 3 in kept[0]
+
+
 def test_feature_lines_input_and_other_geometry_types(spark, tmp_path):
     lines = [
         {"type": "Feature", "properties": {"REGION": "Metropolitan Manila"},
@@ -140,3 +157,9 @@ def test_feature_lines_input_and_other_geometry_types(spark, tmp_path):
     got = {(r.feature, r.gtype): r.n for r in v.groupBy("feature", "gtype").count().withColumnRenamed("count", "n").collect()}
     assert got == {("Metropolitan Manila", "Polygon"): 301}
     assert v.select("poly_no").distinct().count() == 1 and v.agg(F.max("pos")).first()[0] == 300
+    others = geojson.read_other_geometries(spark, str(src))
+    feats = v.select("feature", "gtype").unionAll(others.select("feature", "gtype")).distinct()
+    mapped, _ = geo.map_labels(feats, geo.label_table(spark))
+    out = [json.loads(r.json) for r in geojson.feature_lines(geo.simplify_rings(v, 0.015), mapped, others).collect()]
+    points = [d for d in out if d["geometry"]["type"] == "Point"]
+    assert len(out) == 2 and points[0]["geometry"]["coordinates"] == [125.5, 9.0]

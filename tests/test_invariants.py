@@ -109,12 +109,6 @@ def test_duplicate_rows_exact(spark):
     assert gates.duplicate_rows(df.distinct()).first().duplicates == 0
 
 
-def test_fingerprint_ingest_equals_distinct(led):
-    from tallyframe.operators import clean
-    a, b = clean.ingest(led.raw), clean.ingest(led.raw, dedup="fingerprint")
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
-
-
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "hot"]), st.integers(0, 30)), min_size=1, max_size=400))
 def test_exact_median_matches_brute_force(spark, pairs):
