@@ -248,7 +248,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; overlapping spans become one."""
+    """The documents with each span replaced by its kind in brackets; overlapping spans become one.
+
+    A null text becomes an empty one.
+    """
     others = [c for c in docs.columns if c != "text"]
     d = detect(docs, *others)
     ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["s"].alias("s"), (-s["e"]).alias("e"), s["kind"].alias("kind"))))
