@@ -130,7 +130,7 @@ def test_distributed_rounds_equal_local_finish(vertices):
 
 
 def test_no_round_limit_on_a_zigzag(spark):
-    rows = [("z", 0, 0, i, float(i), float(i % 2) * (1 + i * 0.01)) for i in range(60)]
+    rows = [("z", 0, 0, i, float(i), float(i % 2) * (1 + i * 0.01)) for i in range(24)]
     v = spark.createDataFrame(rows, "feature string, poly_no long, ring_no long, pos long, x double, y double")
     a, b = geo.simplify(v, 0.01, local_points=3), geo.simplify(v, 0.01)
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()
