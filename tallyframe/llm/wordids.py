@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-MAX_CHUNKS = 800_000       # distinct chunks kept; beyond that the table starts afresh
+MAX_CHUNKS = 800_000       # distinct chunks kept; those of later batches are forgotten after each
+STALE = 0.3                # share of new chunks in a batch at which a full table starts afresh
 
 
 class _Codes(dict):
@@ -68,14 +69,14 @@ class ChunkIds:
                 gc.enable()
 
     def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.codes) > self.max_chunks:
-            self._reset()
+        known, used = len(self.codes), self.used
         get = self.codes.__getitem__
         coded, n = [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
             chunks = self.split(t)
             n[k] = len(chunks)
             coded.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+        new = self.codes.new
         self._learn()
         code = np.concatenate(coded) if coded else np.zeros(0, np.int64)
         size = self.size[code]
@@ -83,6 +84,14 @@ class ChunkIds:
         flat = self.ids[np.repeat(self.start[code] - total[:-1], size) + np.arange(total[-1])]
         ends = np.cumsum(n)
         per = total[ends] - total[ends - n]
+        if len(self.codes) > self.max_chunks:
+            if len(new) > STALE * len(code):
+                self._reset()
+            else:
+                for chunk in new:               # codes are given out in order: the last ones go
+                    del self.codes[chunk]
+                self.used = used
+            assert len(self.codes) in (0, known)
         return flat, per
 
 
