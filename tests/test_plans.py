@@ -5,14 +5,14 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
 from tallyframe.operators import clean, explore
 from tallyframe.plans import ledger
+from tallyframe.plans.catalog import spark_callables
 from tallyframe.sources.parquet import DETAIL_PARTITIONS, write_parquet
 from tallyframe.sources.tables import Tables
 from tests.conftest import SF001
 
-QUERIES = E.queries()
+QUERIES = spark_callables()
 
 
 def plan(df) -> str:
