@@ -81,7 +81,8 @@ _ADMITTED = f"""SELECT p.* FROM parsed p ANTI JOIN (VALUES {", ".join(f"('{d}')"
 _DETAIL0 = "SELECT " + ", ".join(_column(*pair) for pair in RAW_TO_DETAIL) + " FROM admitted GROUP BY ALL"
 
 # The text between the first opening and the next closing bracket, else the whole name.
-SHORT_SQL = "coalesce(nullif(regexp_extract({c}, '^[^(]*\\(([^)]*)\\)', 1), ''), {c})"
+_BRACKETED = "'^[^(]*\\(([^)]*)\\)'"
+SHORT_SQL = f"CASE WHEN regexp_matches({{c}}, {_BRACKETED}) THEN regexp_extract({{c}}, {_BRACKETED}, 1) ELSE {{c}} END"
 
 _CLASSES = ", ".join(f"('{c}', '{code}')" for c, code in EXPENSE_CATEGORY.items())
 _DETAIL = f"""SELECT d.*, 1000 * d.amount_thousands AS amount_php,

@@ -54,7 +54,8 @@ def test_labels(spark):
         "₱4.08T", "₱2.56T", "₱156.8M", "₱320K", "₱999", "₱89.1M", "₱1.50B"]
     assert one(spark, lambda c: abbrev(c, DASHBOARD_DECIMALS), vals, "double") == [
         "₱4.08T", "₱2.56T", "₱157M", "₱320,000", "₱999", "₱89M", "₱1.5B"]
-    assert one(spark, thousands, [1234567.0, 12.5], "double") == ["1,234,567", "13"]
+    assert one(spark, thousands, [1234567.0, 12.5, 999.5, 0.0004, -1234.5678], "double") == [
+        "1,234,567", "12.5", "999.5", "0", "-1,234.568"]
     assert one(spark, lambda c: truncate_label(c, 40, 38), ["x" * 41, "y" * 40]) == ["x" * 38 + "…", "y" * 40]
 
 

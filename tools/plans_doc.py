@@ -69,7 +69,6 @@ def main():
              "* one-row aggregates were attached by broadcast cross joins; they are scalar subqueries now,",
              "  merged by Catalyst into one subquery per source.",
              "* the gates scanned the detail once per gate; one shared summary row now serves V1/V2/V4/V5.",
-             "* single-row-group inputs scanned as one task; `spread` round-robins such scans only.",
              "* category pages scanned the whole detail; the published detail is partitioned by",
              "  expense_category, and the page plan shows the PartitionFilters.",
              "* ranks and medians used a fixed range-partition count; AQE now sizes them (it only merges",
