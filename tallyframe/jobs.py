@@ -18,6 +18,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tallyframe.operators import brief, clean, explore, gates, geo, profile, rollup
+from tallyframe.session import checkpoint_dir
 from tallyframe.sources import geojson, jsonio
 from tallyframe.sources.parquet import DETAIL_PARTITIONS, ingest_stage_counts, publish, write_parquet
 from tallyframe.sources.text import read_csv_text, read_parquet_text
@@ -30,11 +31,10 @@ def ingest(spark: SparkSession, raw_path: str, out: str) -> dict[str, str]:
     raw = read_parquet_text(spark, raw_path)
     detail_path = write_parquet(clean.ingest(raw), f"{out}/budget_detail.parquet", partition_by=DETAIL_PARTITIONS)
     detail = spark.read.parquet(detail_path)
-    paths = {"budget_detail": detail_path, **publish(rollup.rollups(detail), out)}
-    tables = {k: spark.read.parquet(p) for k, p in paths.items()}
-    detail = tables.pop("budget_detail")
-    ingest_stage_counts(raw, clean.castable_amount_rows(raw), detail, tables).show(truncate=False)
-    return paths
+    rollups = publish(rollup.rollups(detail), out)
+    tables = {k: spark.read.parquet(p) for k, p in rollups.items()}
+    ingest_stage_counts(clean.ingest_counts(raw), tables).show(truncate=False)
+    return {"budget_detail": detail_path, **rollups}
 
 
 def validate(spark: SparkSession, data: str) -> None:
@@ -45,7 +45,8 @@ def validate(spark: SparkSession, data: str) -> None:
         gates.enforce(files)
     detail = spark.read.parquet(paths["budget_detail"])
     aggs = {t: spark.read.parquet(p) for t, p in paths.items() if t != "budget_detail"}
-    checks = gates.all_gates(detail, aggs, file_checks=files)
+    checkpoint_dir(spark)
+    checks = gates.all_gates(detail, aggs, file_checks=files).checkpoint()    # shown and enforced
     checks.show(40, truncate=False)
     gates.enforce(checks)
 

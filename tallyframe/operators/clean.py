@@ -43,15 +43,24 @@ RAW_TO_DETAIL = (
 STRICT_TYPES = {"sort_order": "bigint", "program_level": "int"}
 
 
-def admit(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
-    """Amount castable and > 0; department name present, non-empty, not denied."""
+def _rule(deny) -> Column:
     amt = tolerant_bigint(F.col("AMT"))
     dept = F.trim(F.col("UACS_DPT_DSC"))
-    return raw.where(F.col("AMT").isNotNull() & amt.isNotNull() & (amt > 0)
-                     & dept.isNotNull() & (dept != "") & ~dept.isin(*deny))
+    return (F.col("AMT").isNotNull() & amt.isNotNull() & (amt > 0)
+            & dept.isNotNull() & (dept != "") & ~dept.isin(*deny))
 
 
-def project(raw: DataFrame) -> DataFrame:
+def admit(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
+    """Amount castable and > 0; department name present, non-empty, not denied."""
+    return raw.where(_rule(deny))
+
+
+def admitted(deny=DENIED_DEPARTMENTS) -> Column:
+    """The rule of P4 as a flag that is never NULL."""
+    return F.coalesce(_rule(deny), F.lit(False))
+
+
+def detail_columns() -> list[Column]:
     """P1 + P2 + P3: rename to snake_case, trim text, strict/tolerant casts."""
     cols = []
     for src, dst in RAW_TO_DETAIL:
@@ -61,7 +70,11 @@ def project(raw: DataFrame) -> DataFrame:
             cols.append(strict_cast(F.col(src), STRICT_TYPES[dst]).alias(dst))
         else:
             cols.append(F.trim(F.col(src)).alias(dst))
-    return raw.select(cols)
+    return cols
+
+
+def project(raw: DataFrame) -> DataFrame:
+    return raw.select(detail_columns())
 
 
 def enrich(cleaned: DataFrame) -> DataFrame:
@@ -79,14 +92,33 @@ def ingest(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
     return enrich(project(admit(raw, deny)).distinct())
 
 
-def castable_amount_rows(raw: DataFrame) -> DataFrame:
-    """Rows whose amount is castable (the 'before' of D4 in the ingest)."""
-    return raw.where(F.col("AMT").isNotNull() & tolerant_bigint(F.col("AMT")).isNotNull())
+def castable(amt: Column) -> Column:
+    """Amounts that the tolerant cast takes (the 'before' of D4 in the ingest)."""
+    return amt.isNotNull() & tolerant_bigint(amt).isNotNull()
 
 
-def ingest_removed(raw: DataFrame, detail: DataFrame) -> DataFrame:
+def ingest_counts(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
+    """S11 + D4 (ingest) in one pass: rows raw, castable, and distinct after admission.
+
+    The DISTINCT of the ingest as a count per distinct admitted row; rows that are not admitted carry
+    NULLs there and collapse into two groups map-side.
+    """
+    ok = raw.select("*", castable(F.col("AMT")).alias("_castable"), admitted(deny).alias("_admitted"))
+    names = [dst for _, dst in RAW_TO_DETAIL]
+    cols = [F.when(F.col("_admitted"), c).alias(dst) for c, dst in zip(detail_columns(), names, strict=True)]
+    groups = (ok.select("_castable", "_admitted", *cols)
+              .groupBy("_castable", "_admitted", *names)
+              .agg(F.count(F.lit(1)).alias("_n")))
+    zero = F.lit(0).cast("bigint")
+    return groups.agg(F.coalesce(F.sum("_n"), zero).alias("raw"),
+                      F.coalesce(F.sum(F.when(F.col("_castable"), F.col("_n"))), zero).alias("castable"),
+                      F.count_if("_admitted").alias("final"))
+
+
+def ingest_removed(raw: DataFrame) -> DataFrame:
     """D4 (ingest): castable rows before vs final rows, and the difference."""
-    return removed_rows(castable_amount_rows(raw), detail)
+    return ingest_counts(raw).select(F.col("castable").alias("before_rows"), F.col("final").alias("after_rows"),
+                                     (F.col("castable") - F.col("final")).alias("removed_rows"))
 
 
 # ---------------------------------------------------------------- workshop
@@ -131,3 +163,11 @@ def removed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     after_rows = after.agg(F.count(F.lit(1))).scalar()
     return b.select("before_rows", after_rows.alias("after_rows"),
                     (F.col("before_rows") - after_rows).alias("removed_rows"))
+
+
+def keyed_removed(df: DataFrame, keys=("department", "agency", "amount", "category")) -> DataFrame:
+    """D4 of the keyed dedup (D2) in one pass: a count per key gives the rows before and after."""
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return per_key.select("_n").agg(
+        F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")).alias("before_rows"), F.count(F.lit(1)).alias("after_rows"),
+        (F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")) - F.count(F.lit(1))).alias("removed_rows"))

@@ -1,13 +1,19 @@
 """Post-query analytics over roll-ups.
 
-Ranks are exact global row numbers computed without a single-partition
-window: the frame is range-partitioned on the ordering, numbered inside each
-partition, and offset by the (tiny, one row per partition) prefix counts.
-Shares divide by a scalar-subquery total (computed once), not by a window.
+Ranks (M2, and the picks of M6) are exact global row numbers computed without
+a single-partition window: the frame is range-partitioned on the ordering,
+numbered inside each partition, and offset by the (tiny, one row per
+partition) prefix counts. The Gini coefficient needs only one row of sums per
+range, and the tiers only the first rows, so neither runs a job while its
+plan is built. Shares divide by a scalar-subquery total (computed once), not
+by a window.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +42,36 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rank",
     prefix-summed into offsets and broadcast back. No task ever holds more
     than its own partition.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    ranged = _ranged(df, order, partitions)
+    offsets = df.sparkSession.createDataFrame([(p, off) for p, _, off in _extents(ranged)], "_pid int, _off long")
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, (F.col("_off") + F.col("_pos") + 1).cast("bigint"))
+            .drop("_pid", "_pos", "_off"))
+
+
+def _positions(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """Ordered ranges in consecutive partitions: ``_pid``, and the 0-based ``_pos`` inside it."""
     # without an explicit count AQE may coalesce adjacent ranges (order is kept)
-    ranged = (df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    # per-partition counts: one row per partition (bounded), prefix-summed on the driver
+    return (df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+
+
+def _ranged(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """``_positions``, checkpointed for frames that are read more than once."""
+    checkpoint_dir(df.sparkSession)
+    return _positions(df, order, partitions).checkpoint(eager=True)
+
+
+def _extents(ranged: DataFrame) -> list[tuple[int, int, int]]:
+    """(pid, rows, rows before it) of each partition: one row per partition, prefix-summed on the driver."""
     counts = sorted((r["_pid"], r["_n"]) for r in
                     ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
-    rows, acc = [], 0
-    for pid, cnt in counts:
-        rows.append((pid, acc))
-        acc += cnt
-    offsets = spark.createDataFrame(rows, "_pid int, _off long")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_off") + local + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    out, before = [], 0
+    for pid, n in counts:
+        out.append((pid, n, before))
+        before += n
+    return out
 
 
 def rank_by(df: DataFrame, value: str, tie=(), out: str = "rank", ascending: bool = False) -> DataFrame:
@@ -95,20 +112,24 @@ def relative_to_max(df: DataFrame, value: str, out: str = "rel_to_max", digits:
 QUANTILES = (0.2, 0.4, 0.6, 0.8)
 
 
-def _breaks(df: DataFrame, key: str, value: str, outlier_key, qs=QUANTILES) -> tuple[DataFrame, DataFrame]:
+def _breaks(df: DataFrame, key: str, value: str, outlier_key, qs=QUANTILES) -> DataFrame:
     """Break j = value at 0-based index floor(q_j * (n - 1)) of the rows other than ``outlier_key``.
 
-    Returns (one-row frame b0..b{k-1}, one-row frame _n).
+    One row b0..b{k-1} and ``_n``, the number of those rows (a NULL key is such a row). The row of
+    each index is known from the partitions' row counts, so the picks are a filter.
     """
-    rest = df.where(F.col(key) != F.lit(outlier_key))
-    n = rest.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_by(rest, value, tie=(key,), out="_r", ascending=True)
-    want = n.select(F.explode(F.array(*[
-        F.struct(F.lit(j).alias("j"), (F.floor(F.lit(q) * (F.col("_n") - 1)) + 1).cast("bigint").alias("_r"))
-        for j, q in enumerate(qs)])).alias("w")).select("w.*")          # len(qs) rows
-    picked = ranked.join(F.broadcast(want), "_r")
-    breaks = picked.agg(*[F.max(F.when(F.col("j") == j, F.col(value))).alias(f"b{j}") for j in range(len(qs))])
-    return breaks, n
+    rest = df.where(~F.col(key).eqNullSafe(F.lit(outlier_key))).select(key, value)
+    ranged = _ranged(rest, [F.col(value).asc_nulls_last(), F.col(key).asc_nulls_last()])
+    extents = _extents(ranged)
+    n = sum(rows for _, rows, _ in extents)
+    at = []
+    for q in qs:
+        i = math.floor(q * (n - 1))
+        pid, before = next(((p, b) for p, rows, b in extents if b <= i < b + rows), (-1, 0))
+        at.append((F.col("_pid") == pid) & (F.col("_pos") == i - before))
+    picked = ranged.where(reduce(Column.__or__, at))               # len(qs) rows
+    return picked.agg(*[F.max(F.when(c, F.col(value))).alias(f"b{j}") for j, c in enumerate(at)],
+                      F.lit(n).alias("_n"))
 
 
 def _outlier_value(df: DataFrame, key: str, value: str, outlier_key) -> Column:
@@ -125,12 +146,12 @@ def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: floa
     number of breaks <= value (0..4). Breaks and the outlier value are scalar
     subqueries.
     """
-    breaks, n = _breaks(df, key, value, outlier_key, qs)
+    breaks = _breaks(df, key, value, outlier_key, qs)
     b = [breaks.select(f"b{j}").scalar() for j in range(len(qs))]
     outlier = _outlier_value(df, key, value, outlier_key)
     v = F.col(value)
     # no other rows: everything takes the lowest bin (nothing to compare against)
-    bin_ = (F.when(n.select("_n").scalar() == 0, F.lit(0))
+    bin_ = (F.when(breaks.select("_n").scalar() == 0, F.lit(0))
             .when(v.cast("double") >= outlier.cast("double") * F.lit(factor), F.lit(5)))
     for j in reversed(range(len(qs))):
         bin_ = bin_.when(v >= b[j], F.lit(j + 1))
@@ -140,7 +161,7 @@ def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: floa
 
 def bin_legend(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9) -> DataFrame:
     """M7: lower/upper bound and label of the six bins (legend of M6)."""
-    breaks, _ = _breaks(df, key, value, outlier_key)
+    breaks = _breaks(df, key, value, outlier_key)
     row = breaks.select("*", _outlier_value(df, key, value, outlier_key).alias("_o"))
     lab = lambda c: abbrev(F.col(c), DASHBOARD_DECIMALS)
     null = F.lit(None).cast("decimal(38,0)")
@@ -181,37 +202,46 @@ def leader_gap(df: DataFrame, key: str, value: str, tie_tolerance: float = 0.001
 TIERS = ((1, 5, "Tier 1 (top 5)"), (6, 15, "Tier 2 (6-15)"), (16, None, "Tier 3 (16+)"))
 
 
-def _tier_of(rank: Column) -> Column:
-    t = None
-    for i, (lo, hi, _) in enumerate(TIERS, start=1):
-        cond = rank <= hi if hi is not None else F.lit(True)
-        t = F.when(cond, F.lit(i)) if t is None else t.when(cond, F.lit(i))
-    return t
-
-
 def tiers(df: DataFrame, name: str, value: str, key=None, show: int = 5) -> DataFrame:
     """M9 + M12: rank tiers 1-5 / 6-15 / 16+: members, total, share, first names.
 
-    Only the first ``show`` names per tier are collected (bounded); the rest
-    is a count, rendered as '+N more'.
+    Only the first rows have to be ranked: those of the closed tiers and the ``show`` names of the
+    open one. They are a top-k of fixed size, numbered as one array; the open tier's members and
+    total are what the closed tiers leave of all rows. Values sort descending, NULLs last.
     """
     key = key or name
-    ranked = rank_by(df, value, tie=(key,) if key == name else (key, name))
-    ranked = ranked.withColumn("tier", _tier_of(F.col("rank")))
-    starts = F.array(*[F.lit(lo) for lo, _, _ in TIERS])
-    pos = F.col("rank") - F.element_at(starts, F.col("tier")) + 1
-    g = ranked.groupBy("tier").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.sum(value).alias("total"),
-        F.sort_array(F.collect_list(F.when(pos <= show, F.struct(pos.alias("p"), F.col(name).alias("n"))))).alias("_first"))
-    labels = F.array(*[F.lit(lbl) for _, _, lbl in TIERS])
-    first = F.array_join(F.transform(F.col("_first"), lambda s: s["n"]), ", ")
+    closed = max(hi for _, hi, _ in TIERS if hi)
+    by = [F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last(), F.col(name).asc_nulls_last()]
+    head = df.select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(value).alias("v")).orderBy(*by).limit(closed + show)
+    listed = head.agg(F.sort_array(F.collect_list(F.struct(
+        F.col("v").isNull().alias("no_v"), (-F.col("v")).alias("neg"), F.col("k").isNull().alias("no_k"), "k",
+        F.col("n").isNull().alias("no_n"), "n", "v"))).alias("_head"))
+    row = listed.select(F.posexplode("_head").alias("_i", "_r")).select(
+        (F.col("_i") + 1).alias("rank"), F.col("_r.n").alias("n"), F.col("_r.v").alias("v"))
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("values"), F.sum(value).alias("sum"))
+    rows, values, total = (whole.select(c).scalar() for c in ("rows", "values", "sum"))
+    inside = lambda hi: F.col("rank") <= (hi if hi else closed)
+    aggs = []
+    for i, (lo, hi, _) in enumerate(TIERS):
+        mine = F.when((F.col("rank") >= lo) & inside(hi), F.col("v")) if hi else F.when(inside(None), F.col("v"))
+        named = (F.col("rank") >= lo) & (F.col("rank") < lo + show) & (inside(hi) if hi else F.lit(True))
+        aggs += [F.sum(mine).alias(f"_t{i}"), F.count(mine).alias(f"_c{i}"),
+                 F.sort_array(F.collect_list(F.when(named, F.struct("rank", "n")))).alias(f"_f{i}")]
+    one = row.agg(*aggs)
+    out = []
+    for i, (lo, hi, label) in enumerate(TIERS):
+        members = (F.least(rows, F.lit(hi)) if hi else rows) - F.lit(lo - 1)
+        left = F.when(values > F.col(f"_c{i}"), total - F.coalesce(F.col(f"_t{i}"), F.lit(0)))
+        out.append(F.struct(F.lit(i + 1).alias("tier"), F.lit(label).alias("tier_label"),
+                            members.cast("bigint").alias("members"),
+                            (F.col(f"_t{i}") if hi else left).cast("decimal(38,0)").alias("total"),
+                            F.col(f"_f{i}").alias("first")))
+    g = one.select(F.explode(F.array(*out)).alias("r")).select("r.*").where(F.col("members") > 0)
+    first = F.array_join(F.transform(F.col("first"), lambda s: s["n"]), ", ")
     more = F.when(F.col("members") > show, F.concat(F.lit(" +"), (F.col("members") - show).cast("string"),
                                                       F.lit(" more"))).otherwise(F.lit(""))
-    return with_total(g, "total").select(
-        "tier", F.element_at(labels, F.col("tier")).alias("tier_label"), "members", "total",
-        pct(F.col("total"), F.col("_total"), 1).alias("pct"),
-        F.concat(first, more).alias("names"))
+    return g.select("tier", "tier_label", "members", "total", pct(F.col("total"), total, 1).alias("pct"),
+                    F.concat(first, more).alias("names"))
 
 
 def tier_summary(tier_df: DataFrame) -> DataFrame:
@@ -231,10 +261,21 @@ def gini(df: DataFrame, value: str, key: str) -> DataFrame:
     O(n^2) pairs: the numerator 2*sum(i*x) - (n+1)*sum(x) is summed exactly in
     decimal, then divided once.
     """
-    ranked = rank_by(df, value, tie=(key,), out="_i", ascending=True)
+    order = [F.col(value).asc_nulls_last(), F.col(key).asc_nulls_last()]
     x = F.col(value).cast("decimal(38,0)")
-    agg = ranked.agg(F.sum(F.col("_i") * x).alias("_s"), F.sum(x).alias("_t"),
-                     F.count(F.lit(1)).alias("n"))
+    # one row of sums per range: its ranks are the rows before it plus the positions inside it
+    part = (_positions(df.select(key, value), order).groupBy("_pid")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(x).cast("decimal(38,0)").alias("t"),
+                 F.sum((F.col("_pos") + 1) * x).cast("decimal(38,0)").alias("s")))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,0)"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("decimal(38,0)").alias("t"),
+                     F.lit(0).cast("decimal(38,0)").alias("s"))
+    add = lambda a, p: F.struct(
+        (a["n"] + p["n"]).alias("n"), (a["t"] + zero(p["t"])).cast("decimal(38,0)").alias("t"),
+        (a["s"] + a["n"] * zero(p["t"]) + zero(p["s"])).cast("decimal(38,0)").alias("s"))
+    agg = (part.agg(F.sort_array(F.collect_list(F.struct("_pid", "n", "t", "s"))).alias("_p"))
+           .select(F.aggregate("_p", start, add).alias("_a"))
+           .select(F.col("_a.n").alias("n"), F.col("_a.t").alias("_t"), F.col("_a.s").alias("_s")))
     num = (F.col("_s") * 2 - (F.col("n") + 1) * F.col("_t")).cast("double")
     den = F.col("n").cast("double") * F.col("_t").cast("double")
     return agg.select("n", dround(num / F.nullif(den, F.lit(0.0)), 6).alias("gini"))

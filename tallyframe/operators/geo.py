@@ -319,11 +319,14 @@ def features_with_budget(feature_props: DataFrame, agg_region: DataFrame) -> Dat
 
 # ---------------------------------------------------------------- test-data rings
 
+SPREAD = 999_983      # a prime: the vertex angle is a line key's remainder by it
+
+
 def ring_vertices(t) -> DataFrame:
     """Rings derived from the test tables: one ring per supplier, one vertex per line item.
 
-    The vertex angle comes from a hash of the line key (so ``pos`` orders the
-    ring), the radius wobbles with the discount; one supplier in seven gets a
+    The vertex angle comes from the line key's remainder (so ``pos``, remainder then key, orders the
+    ring and is unique in it), the radius wobbles with the discount; one supplier in seven gets a
     tiny ring that simplifies below 4 points. Nations with key % 3 == 0 are
     Polygons (suppliers are rings of one polygon), the rest MultiPolygons.
     """
@@ -331,8 +334,10 @@ def ring_vertices(t) -> DataFrame:
     s = t["supplier"].select("s_suppkey", "s_nationkey")
     n = t["nation"].select("n_nationkey", "n_name")
     j = l.join(s, l.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
-    pos = F.shiftright(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), 1)
-    theta = (pos.cast("double") + F.lit(2.0 ** 62)) / F.lit(2.0 ** 63) * F.lit(2 * math.pi)
+    line = F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")
+    key = line * 1_000_003 + F.col("l_partkey")
+    turn = key % SPREAD
+    theta = turn.cast("double") * F.lit(2 * math.pi / SPREAD)
     k = F.col("s_suppkey")
     cx = F.lit(118.0) + (k % 9).cast("double") * 1.1
     cy = F.lit(5.0) + (F.floor(k / 9) % 13).cast("double") * 1.2
@@ -344,9 +349,10 @@ def ring_vertices(t) -> DataFrame:
         F.when(polygon, F.lit("Polygon")).otherwise(F.lit("MultiPolygon")).alias("gtype"),
         F.when(polygon, F.lit(0).cast("bigint")).otherwise(k).alias("poly_no"),
         F.when(polygon, k).otherwise(F.lit(0).cast("bigint")).alias("ring_no"),
-        pos.alias("pos"), (cx + r * F.cos(theta)).alias("x"), (cy + r * F.sin(theta)).alias("y"))
-    first = v.groupBy("feature", "gtype", *RING[1:]).agg(F.min(F.struct("pos", "x", "y")).alias("f"))
-    closing = first.select("feature", "gtype", *RING[1:], F.lit(CLOSING_POS).alias("pos"), "f.x", "f.y")
+        (F.shiftleft(turn, 42) + key % (1 << 42)).alias("pos"),
+        (cx + r * F.cos(theta)).alias("x"), (cy + r * F.sin(theta)).alias("y"))
+    ends = v.groupBy("feature", "gtype", *RING[1:]).agg(*[F.min_by(c, "pos").alias(c) for c in ("x", "y")])
+    closing = ends.select("feature", "gtype", *RING[1:], F.lit(CLOSING_POS).alias("pos"), "x", "y")
     return v.unionByName(closing)
 
 

@@ -4,133 +4,42 @@ Exact medians without collecting a group and without a join on the group
 key (a hot group would put all its rows in one task):
 
 1. equal values are combined into ``(group, value, count)`` rows (map-side);
-2. a range-partitioned global sort on (group, value) places every group in
-   consecutive partitions, each partition sorted; one pandas pass per
-   partition computes local running counts and a boundary summary (first and
-   last group, their local extents) -- one row per partition;
-3. the summaries (bounded by the partition count) give each partition its
-   global offset and the true start/end of groups crossing partition edges;
-4. a second pass per partition finds the one or two middle rows of each
-   group it holds, so the median is a filter, not a gather.
+2. a range-partitioned sort on (group, value) places every group in
+   consecutive partitions; a streaming pass adds the running count inside the
+   partition, batch by batch, and the result is checkpointed;
+3. each (partition, group) pair is one row with its first and last running
+   count. A partition's offset is the rows of those before it (one number
+   per partition, prefix-summed on the driver), and a group's extent the
+   smallest and largest count of its pairs: at most one pair more per
+   partition than there are groups;
+4. the middle rows of each group are a filter on the running count, joined
+   on (partition, group), so a hot group stays spread over its partitions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.session import checkpoint_dir
 
-_SUMMARY = T.StructType([
-    T.StructField("_pid", T.IntegerType()), T.StructField("rows", T.LongType()),
-    T.StructField("weight", T.LongType()),
-    T.StructField("first_group", T.StringType()), T.StructField("first_end", T.LongType()),
-    T.StructField("last_group", T.StringType()), T.StructField("last_start", T.LongType())])
 
-
-_NULL_KEY = "\u0000null"
-
-
-def _keys(s: pd.Series) -> pd.Series:
-    """Group keys as strings, NULL kept distinct from any text."""
-    return s.astype(object).where(s.notna(), _NULL_KEY).astype(str)
-
-
-def _local_pass(batches):
-    """Running weight per partition (rows arrive sorted by group, value)."""
+def _running(batches):
+    """Running count inside a partition (rows arrive sorted by group, value)."""
     total = 0
     for pdf in batches:
-        c = pdf["_w"].cumsum() + total
-        total = int(c.iloc[-1]) if len(c) else total
-        pdf["_cum"] = c.astype("int64")
+        pdf["_hi"] = (pdf["_w"].cumsum() + total).astype("int64")
+        total = int(pdf["_hi"].iloc[-1]) if len(pdf) else total
         yield pdf
 
 
-def _summaries(batches):
-    """One row per partition: weight, first group's local end, last group's local start."""
-    parts = [pdf for pdf in batches if len(pdf)]
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-    g = _keys(pdf["_g"])
-    first, last = g.iloc[0], g.iloc[-1]
-    first_end = int(pdf.loc[g == first, "_cum"].max())
-    last_start = int((pdf.loc[g == last, "_cum"] - pdf.loc[g == last, "_w"]).min())
-    yield pd.DataFrame([{"_pid": int(pdf["_pid"].iloc[0]), "rows": len(pdf), "weight": int(pdf["_cum"].iloc[-1]),
-                         "first_group": first, "first_end": first_end, "last_group": last,
-                         "last_start": last_start}])
-
-
-def _group_extents(summary: pd.DataFrame) -> dict[int, tuple[int, int | None, int | None]]:
-    """Per partition: global offset, true start of its first group, true end of its last group.
+def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: runs (n) and the median (middle value, or mean of the two middle values).
 
-    Works on the boundary summaries only (one row per non-empty partition).
+    A NULL group is a group of its own; NULL values are no measurements.
     """
-    s = summary.sort_values("_pid").reset_index(drop=True)
-    offs, acc = [], 0
-    for w in s["weight"]:
-        offs.append(acc)
-        acc += int(w)
-    out = {}
-    # true start of each partition's first group: walk back while the group continues
-    starts = []
-    for i in range(len(s)):
-        g = s.at[i, "first_group"]
-        j, start = i, None
-        while j > 0 and s.at[j - 1, "last_group"] == g:
-            j -= 1
-            start = offs[j] + int(s.at[j, "last_start"])
-            if s.at[j, "first_group"] != g:
-                break
-        starts.append(start)
-    # true end of each partition's last group: walk forward while the group continues
-    ends = []
-    for i in range(len(s)):
-        g = s.at[i, "last_group"]
-        j, end = i, None
-        while j + 1 < len(s) and s.at[j + 1, "first_group"] == g:
-            j += 1
-            end = offs[j] + int(s.at[j, "first_end"])
-            if s.at[j, "last_group"] != g:
-                break
-        ends.append(end)
-    for i in range(len(s)):
-        out[int(s.at[i, "_pid"])] = (offs[i], starts[i], ends[i])
-    return out
-
-
-def _middle_rows(extents: dict, value_type: str):
-    def run(batches):
-        parts = [pdf for pdf in batches if len(pdf)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-        off, first_start, last_end = extents[int(pdf["_pid"].iloc[0])]
-        hi = pdf["_cum"] + off
-        lo = hi - pdf["_w"]
-        g = _keys(pdf["_g"])
-        start = lo.groupby(g).transform("min")
-        end = hi.groupby(g).transform("max")
-        if first_start is not None:
-            start = start.where(g != g.iloc[0], first_start)
-        if last_end is not None:
-            end = end.where(g != g.iloc[-1], last_end)
-        n = end - start
-        k1 = start + (n - 1) // 2
-        k2 = start + n // 2
-        hit1 = (lo <= k1) & (k1 < hi)
-        hit2 = (lo <= k2) & (k2 < hi)
-        keep = hit1 | hit2
-        yield pd.DataFrame({"_g": pdf.loc[keep, "_g"], "n": n[keep].astype("int64"),
-                            "_v": pdf.loc[keep, "_v"], "_a": hit1[keep], "_b": hit2[keep]})
-    return run
-
-
-def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: runs (n) and the median (middle value, or mean of the two middle values)."""
-    spark: SparkSession = df.sparkSession
+    spark = df.sparkSession
     checkpoint_dir(spark)
     vals = (df.where(F.col(value).isNotNull())
             .groupBy(F.col(group).cast("string").alias("_g"), F.col(value).cast("double").alias("_v"))
@@ -138,15 +47,28 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
     # no explicit count: AQE may coalesce adjacent ranges, which keeps the global order
     ranged = (vals.repartitionByRange("_g", "_v").sortWithinPartitions("_g", "_v")
               .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_cum", T.LongType())])
-    local = ranged.mapInPandas(_local_pass, schema).checkpoint(eager=True)
-    summary = local.mapInPandas(_summaries, _SUMMARY).toPandas()   # one row per partition
-    extents = _group_extents(summary)
-    out_schema = "_g string, n long, _v double, _a boolean, _b boolean"
-    mid = local.mapInPandas(_middle_rows(extents, "double"), out_schema)
-    med = mid.groupBy("_g", "n").agg(F.max(F.when(F.col("_a"), F.col("_v"))).alias("_x"),
-                                     F.max(F.when(F.col("_b"), F.col("_v"))).alias("_y"))
-    return med.select(F.col("_g").alias(group), F.col("n").alias("runs"),
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_hi", T.LongType())])
+    local = ranged.mapInPandas(_running, schema).checkpoint(eager=True)
+
+    pairs = local.groupBy("_pid", "_g").agg(F.min(F.col("_hi") - F.col("_w")).alias("_from"), F.max("_hi").alias("_to"))
+    offsets, before = [], 0
+    for pid, weight in sorted((r["_pid"], r["_to"]) for r in local.groupBy("_pid").agg(F.max("_hi").alias("_to")).collect()):
+        offsets.append((pid, before))
+        before += weight
+    off = F.broadcast(spark.createDataFrame(offsets, "_pid int, _off long"))     # one row per partition
+    pairs = pairs.join(off, "_pid")
+    extent = pairs.groupBy("_g").agg(F.min(F.col("_from") + F.col("_off")).alias("_start"),
+                                     F.max(F.col("_to") + F.col("_off")).alias("_end"))
+    extent = extent.withColumnRenamed("_g", "_k")
+    spans = (pairs.join(extent, pairs["_g"].eqNullSafe(extent["_k"]))
+             .select(F.col("_pid").alias("_p"), "_k", "_off", "_start", (F.col("_end") - F.col("_start")).alias("n")))
+    rows = local.join(spans, (local["_pid"] == spans["_p"]) & local["_g"].eqNullSafe(spans["_k"]))
+    hi = F.col("_hi") + F.col("_off") - F.col("_start")          # of the group's sorted values: (hi - w) <= index < hi
+    holds = lambda i: (hi - F.col("_w") <= i) & (i < hi)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    med = (rows.where(holds(low) | holds(high)).groupBy("_k", "n")
+           .agg(F.max(F.when(holds(low), F.col("_v"))).alias("_x"), F.max(F.when(holds(high), F.col("_v"))).alias("_y")))
+    return med.select(F.col("_k").alias(group), F.col("n").alias("runs"),
                       ((F.col("_x") + F.col("_y")) / F.lit(2.0)).alias("median_value"))
 
 

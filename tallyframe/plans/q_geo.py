@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tallyframe.operators import geo
 from tallyframe.plans.catalog import query
 from tallyframe.plans.oracle import define, sql
@@ -15,6 +17,42 @@ _RINGS = """SELECT n.n_name AS feature, n.n_nationkey, n.n_regionkey, s.s_suppke
     CASE WHEN n.n_nationkey % 3 = 0 THEN s.s_suppkey ELSE 0 END AS ring_no
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey"""
 define("ring_lines", _RINGS)
+# The rings' vertices, and their simplification as a recursion over chords: each round finds the
+# farthest vertex of every open chord (the smallest position of equals) and splits the chord there.
+define("ring_points", f"""WITH k AS (SELECT n.n_name AS feature, s.s_suppkey AS s, n.n_nationkey AS nk, l.l_discount AS d,
+      (l.l_orderkey * 8 + l.l_linenumber) * 1000003 + l.l_partkey AS key
+    FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey),
+  a AS (SELECT *, CAST(key % {geo.SPREAD} AS DOUBLE) * {2 * math.pi / geo.SPREAD!r}::DOUBLE AS theta,
+      CASE WHEN s % 7 = 0 THEN 0.006::DOUBLE ELSE 0.4::DOUBLE END AS size FROM k),
+  p AS (SELECT *, size * (1 + 0.15::DOUBLE * sin(theta * 5) + 0.3::DOUBLE * CAST(d AS DOUBLE)) AS r FROM a),
+  v AS (SELECT feature, CASE WHEN nk % 3 = 0 THEN 0 ELSE s END AS poly_no, CASE WHEN nk % 3 = 0 THEN s ELSE 0 END AS ring_no,
+      (key % {geo.SPREAD}) * {1 << 42} + key % {1 << 42} AS pos,
+      118 + CAST(s % 9 AS DOUBLE) * 1.1::DOUBLE + r * cos(theta) AS x,
+      5 + CAST((s // 9) % 13 AS DOUBLE) * 1.2::DOUBLE + r * sin(theta) AS y FROM p)
+  SELECT feature, poly_no, ring_no, CAST(pos AS BIGINT) AS pos, x, y FROM v
+  UNION ALL SELECT feature, poly_no, ring_no, {geo.CLOSING_POS}, arg_min(x, pos), arg_min(y, pos) FROM v GROUP BY ALL""")
+_APART = """CASE WHEN along <= 0 THEN pow(x - sx, 2) + pow(y - sy, 2)
+    WHEN along >= span THEN pow(x - tx, 2) + pow(y - ty, 2)
+    ELSE pow((tx - sx) * (y - sy) - (ty - sy) * (x - sx), 2) / span END"""
+define("ring_kept", f"""WITH RECURSIVE
+  chord AS (SELECT feature, poly_no, ring_no, min(pos) AS lo, arg_min(x, pos) AS sx, arg_min(y, pos) AS sy,
+      max(pos) AS hi, arg_max(x, pos) AS tx, arg_max(y, pos) AS ty FROM ring_points GROUP BY ALL
+    UNION ALL
+    SELECT feature, poly_no, ring_no, CASE WHEN half = 0 THEN lo ELSE m.pos END, CASE WHEN half = 0 THEN sx ELSE m.x END,
+      CASE WHEN half = 0 THEN sy ELSE m.y END, CASE WHEN half = 0 THEN m.pos ELSE hi END,
+      CASE WHEN half = 0 THEN m.x ELSE tx END, CASE WHEN half = 0 THEN m.y ELSE ty END
+    FROM (SELECT feature, poly_no, ring_no, lo, sx, sy, hi, tx, ty,
+            min({{'near': -({_APART}), 'pos': pos, 'x': x, 'y': y}}) AS m
+          FROM (SELECT c.*, p.pos, p.x, p.y, (x - sx) * (tx - sx) + (y - sy) * (ty - sy) AS along,
+                  pow(tx - sx, 2) + pow(ty - sy, 2) AS span FROM chord c JOIN ring_points p
+                ON c.feature = p.feature AND c.poly_no = p.poly_no AND c.ring_no = p.ring_no AND p.pos > c.lo AND p.pos < c.hi)
+          GROUP BY ALL), (VALUES (0), (1)) h(half)
+    WHERE -m.near > {TOLERANCE * TOLERANCE!r}::DOUBLE)
+  SELECT DISTINCT feature, poly_no, ring_no, unnest([lo, hi]) AS pos FROM chord""", "ring_points")
+define("rings_simplified", f"""WITH kept AS (SELECT p.* FROM ring_points p JOIN ring_kept USING (feature, poly_no, ring_no, pos)),
+  small AS (SELECT feature, poly_no, ring_no FROM kept GROUP BY ALL HAVING count(*) < 4)
+  SELECT feature, poly_no, ring_no, pos, round(x, 2) AS x, round(y, 2) AS y FROM kept
+  ANTI JOIN small USING (feature, poly_no, ring_no)""", "ring_points", "ring_kept")
 define("test_labels", """SELECT n.n_name AS label, lpad(CAST(n.n_regionkey AS VARCHAR), 2, '0') AS region_id,
     r.r_name AS region_name, 'R' || CAST(n.n_regionkey AS VARCHAR) AS region_short
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_regionkey >= 2""")
@@ -40,12 +78,14 @@ def _g1(c):
     return geo.vertex_counts(_vertices(c))
 
 
-@query("g2_g4_simplified_rings", None)
+@query("g2_g4_simplified_rings", sql("SELECT * FROM rings_simplified", "rings_simplified"))
 def _g2(c):
     return geo.simplify_rings(_vertices(c), TOLERANCE)
 
 
-@query("g5_vertex_totals", None)
+@query("g5_vertex_totals", sql("""SELECT before, after, ROUND(CAST(after * 100.0 / before AS DECIMAL(38,10)), 1)::DOUBLE AS pct_kept
+  FROM (SELECT count(*) AS before FROM ring_points), (SELECT count(*) AS after FROM rings_simplified)""",
+    "ring_points", "rings_simplified"))
 def _g5(c):
     v = _vertices(c)
     return geo.vertex_totals(v, geo.simplify_rings(v, TOLERANCE))

@@ -61,14 +61,14 @@ def _d2(c):
      AND TRY_CAST(ROUND(TRY_CAST(AMT AS DECIMAL(38,10))) AS BIGINT) IS NOT NULL)
   - (SELECT COUNT(*) FROM detail) AS removed_rows""", "raw", "detail"))
 def _d4(c):
-    return clean.ingest_removed(c.raw, c.detail)
+    return clean.ingest_removed(c.raw)
 
 
 @query("d4_workshop_removed", sql("""SELECT (SELECT COUNT(*) FROM wraw) AS before_rows,
   (SELECT COUNT(*) FROM wclean) AS after_rows,
   (SELECT COUNT(*) FROM wraw) - (SELECT COUNT(*) FROM wclean) AS removed_rows""", "wraw", "wclean"))
 def _d4w(c):
-    return clean.removed_rows(c.wraw, c.wclean)
+    return clean.keyed_removed(c.wstaged)
 
 
 @query("s11_stage_counts", sql("""
@@ -83,7 +83,7 @@ UNION ALL SELECT 'agg_agency', COUNT(*) FROM agg_agency
 UNION ALL SELECT 'agg_region', COUNT(*) FROM agg_region""",
     "raw", "detail", "agg_department", "agg_expense", "agg_agency", "agg_region"))
 def _s11(c):
-    return ingest_stage_counts(c.raw, clean.castable_amount_rows(c.raw), c.detail, c.agg)
+    return ingest_stage_counts(clean.ingest_counts(c.raw), c.agg)
 
 
 # ---------------------------------------------------------------- A19 on events

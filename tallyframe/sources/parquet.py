@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,13 +42,13 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ingest_stage_counts(raw: DataFrame, castable: DataFrame, detail: DataFrame,
-                        rollups: dict[str, DataFrame]) -> DataFrame:
-    """S11 for the ingest: raw, cleaned, removed (castable - cleaned), final, and each roll-up."""
-    counts = stage_counts({"raw": raw, "cleaned": detail, "final": detail, **rollups})
-    removed = castable.agg((F.count(F.lit(1)) - detail.agg(F.count(F.lit(1))).scalar()).alias("rows"))
-    return counts.unionByName(removed.select(F.lit("removed").alias("stage"), "rows"))
+def ingest_stage_counts(counts: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:
+    """S11 for the ingest: raw, cleaned, removed (castable - cleaned), final, and each roll-up.
 
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    ``counts`` is the one row of ``clean.ingest_counts``.
+    """
+    rows = [F.struct(F.lit(stage).alias("stage"), value.alias("rows")) for stage, value in (
+        ("raw", F.col("raw")), ("cleaned", F.col("final")), ("final", F.col("final")),
+        ("removed", F.col("castable") - F.col("final")))]
+    own = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return own.unionByName(stage_counts(rollups))

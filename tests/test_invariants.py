@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyframe.operators import concentration
+from tallyframe.operators import concentration, measure
 from tallyframe.plans.context import Ledger
 from tests.conftest import SF001
 
@@ -112,7 +112,6 @@ def test_duplicate_rows_exact(spark):
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "hot"]), st.integers(0, 30)), min_size=1, max_size=400))
 def test_exact_median_matches_brute_force(spark, pairs):
-    from tallyframe.operators import measure
     pairs = pairs + [("hot", v % 7) for v in range(300)]          # one group holds most rows
     df = spark.createDataFrame([(g, float(v)) for g, v in pairs], "g string, v double").repartition(5)
     got = {r.g: (r.runs, r.median_value) for r in measure.exact_median(df, "g", "v").collect()}
@@ -126,7 +125,6 @@ def test_exact_median_matches_brute_force(spark, pairs):
 
 def test_exact_median_group_across_all_partitions(spark):
     import random
-    from tallyframe.operators import measure
     rnd = random.Random(7)
     rows = [("hot", float(rnd.randint(0, 5000))) for _ in range(4000)]
     rows += [("a", 1.0), ("a", 3.0), (None, 2.0), (None, 4.0), ("z", 9.0)]
@@ -162,3 +160,34 @@ def test_ties_at_topk_page_and_tier_cuts(spark):
     p1 = [r.department_short for r in explore.page(det, "amount_php", True, 1, page_size=50).collect()]
     p1b = [r.department_short for r in explore.page(det.repartition(9), "amount_php", True, 1, page_size=50).collect()]
     assert p1 == p1b and len(p1) == 50
+
+
+def test_tiers_of_few_rows_and_missing_values(spark):
+    schema = "k string, v long"
+    few = concentration.tiers(spark.createDataFrame([("b", 4), ("a", 4), (None, 2)], schema), "k", "v").collect()
+    assert [(r.tier, r.members, int(r.total), r.names) for r in few] == [(1, 3, 10, "a, b")]
+    rows = [(f"k{i:02d}", 100 - i) for i in range(18)] + [("x", None), (None, None)]
+    many = concentration.tiers(spark.createDataFrame(rows, schema), "k", "v").orderBy("tier").collect()
+    assert [(r.members, int(r.total)) for r in many] == [(5, 490), (10, 905), (5, 252)]
+    assert many[1].names == "k05, k06, k07, k08, k09 +5 more" and many[2].names == "k15, k16, k17, x"
+    assert concentration.tiers(spark.createDataFrame([], schema), "k", "v").count() == 0
+
+
+def test_a_null_key_counts_among_the_rows_of_the_breaks(spark):
+    rows = [(None, 1), ("a", 2), ("b", 3), ("c", 4), ("d", 5), ("out", 100)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r.k: r.bin for r in concentration.quantile_bins(df, "k", "v", "out").collect()}
+    # breaks of 1..5 at indexes 0, 1, 2, 3
+    assert got == {None: 1, "a": 2, "b": 3, "c": 4, "d": 4, "out": 5}
+
+
+def test_exact_median_of_a_group_over_many_partitions(spark):
+    rows = [("hot", float(v % 1009)) for v in range(20011)] + [(None, 3.0), (None, 8.0), ("one", 2.5), ("none", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: (r.runs, r.median_value) for r in
+               measure.exact_median(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = sorted(v % 1009 for v in range(20011))
+    assert got == {"hot": (20011, float(hot[10005])), None: (2, 5.5), "one": (1, 2.5)}

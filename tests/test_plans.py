@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from tallyframe.operators import clean, explore
+from tallyframe.operators import clean, concentration, explore
 from tallyframe.plans import ledger
 from tallyframe.plans.catalog import spark_callables
 from tallyframe.sources.parquet import DETAIL_PARTITIONS, write_parquet
@@ -38,3 +38,25 @@ def test_category_page_prunes_partitions_and_columns(spark, tmp_path):
     read = [line for line in p.splitlines() if line.startswith("ReadSchema")][0]
     assert "sort_order" not in read and "fund_code" not in read
     assert "TakeOrderedAndProject" in p
+
+
+@pytest.mark.parametrize("name, most", [("d4_ingest_removed", 1), ("d4_workshop_removed", 1), ("s11_stage_counts", 1)])
+def test_counts_read_the_line_items_once(spark, name, most):
+    assert plan(QUERIES[name](spark, SF001)).count("lineitem.parquet") <= most
+
+
+@pytest.mark.parametrize("build", [
+    lambda df: concentration.tiers(df, "k", "v"),
+    lambda df: concentration.tier_summary(concentration.tiers(df, "k", "v")),
+    lambda df: concentration.gini(df, "v", "k"),
+])
+def test_tiers_and_gini_run_no_job_while_built(spark, build):
+    df = spark.range(40).selectExpr("cast(id as string) k", "cast(id * id % 97 as decimal(38,0)) v")
+    sc = spark.sparkContext
+    sc.setJobGroup("built", "plans only")
+    try:
+        out = build(df)
+        assert list(sc.statusTracker().getJobIdsForGroup("built")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() >= 1
