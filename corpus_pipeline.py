@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyframe.llm import crf, forest, packing, pii, queries, rules
 from tallyframe.llm.store import stage, table
 
+# Workers keep the packing stage's table of chunks while later work runs in the same executors, so
+# it is smaller here than where packing runs alone.
+PACK_CHUNKS = 100_000
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model scores as bad go."""
@@ -36,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows: one row for each piece of a document."""
-    return packing.pack(docs, queries.tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, queries.tokenizer("word_bpe_49k.json"), max_chunks=PACK_CHUNKS)
 
 
 STAGES = [

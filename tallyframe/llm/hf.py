@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from tallyframe.llm.store import per_worker
-from tallyframe.llm.wordids import ChunkIds
+from tallyframe.llm.wordids import MAX_CHUNKS, ChunkIds
 
 GROUP = 2000
 # Letters and digits below U+0250; pre-tokenizers always break between these and other symbols.
@@ -45,15 +45,15 @@ def word_chunks(text: str) -> list[str]:
     return PARTS.findall(text.lower())
 
 
-def chunk_ids(path: str, spaced: bool) -> ChunkIds:
+def chunk_ids(path: str, spaced: bool, max_chunks: int = MAX_CHUNKS) -> ChunkIds:
     """The encoder of a tokenizer file; made once in each Python worker.
 
     ``spaced``: white space belongs to the token after it (byte-level), else it is dropped.
     """
-    return per_worker(("ids", path, spaced), lambda: _make(path, spaced))
+    return per_worker(("ids", path, spaced, max_chunks), lambda: _make(path, spaced, max_chunks))
 
 
-def _make(path: str, spaced: bool) -> ChunkIds:
+def _make(path: str, spaced: bool, max_chunks: int) -> ChunkIds:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -94,4 +94,4 @@ def _make(path: str, spaced: bool) -> ChunkIds:
         first[order] = np.cumsum(size[order]) - size[order]
         return flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
-    return ChunkIds(byte_level_chunks if spaced else word_chunks, encode)
+    return ChunkIds(byte_level_chunks if spaced else word_chunks, encode, max_chunks)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.hf import chunk_ids
 from tallyframe.llm.store import documents
-from tallyframe.llm.wordids import batches_of
+from tallyframe.llm.wordids import MAX_CHUNKS
 
 WINDOW = 4096
 END_ID = 2
@@ -117,10 +117,10 @@ class Packer:
                 self._close(out)
 
 
-def _pack_batches(path: str, size: int):
+def _pack_batches(path: str, size: int, max_chunks: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = chunk_ids(path, False)
+        ids_of = chunk_ids(path, False, max_chunks)
         base = TaskContext.get().partitionId() << 36
         rows, totals = [], []
 
@@ -161,7 +161,10 @@ def batches_of_arrow(texts: pa.Array, max_bytes: int = 1 << 21):
     return slices(texts, max_bytes)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW) -> DataFrame:
-    """One row for each piece of a document in a sequence."""
+def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """One row for each piece of a document in a sequence.
+
+    ``max_chunks`` bounds the table of known chunks that each Python worker keeps; ids don't depend on it.
+    """
     rows = documents(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_pack_batches(tokenizer_path, size), PIECES)
+    return rows.mapInArrow(_pack_batches(tokenizer_path, size, max_chunks), PIECES)
