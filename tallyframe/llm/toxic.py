@@ -1,11 +1,16 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Both dictionaries hold the content most common in ordinary text, at the same places; the toxic one
-also holds the words that mark toxic text, the ordinary one neutral filler of the same size. A text is
-cut into windows of about ``WINDOW`` bytes at word ends, each is compressed with both, and the bytes
-the toxic dictionary saves are summed up per document (largest, sum of the largest three, mean, sum
-and numbers of windows over thresholds). A logistic curve over these, fitted on documents that were
-not used for the dictionaries, gives the score.
+Each class's dictionary is learnt from its labelled texts: the words, word stems and phrases of two or
+three words that its documents hold more often than the other's, surest first, up to ``CLASS_BYTES``. They
+need a G squared above a share of 2 ln of the number of segments tried and odds between the classes; of
+``LEVELS``, those whose curve fits the labelled documents kept back best. Near copies of a text count once. Behind them both
+hold the same common words of either class, up to ``SHARED_BYTES``, so that ordinary language costs the
+same with both. The contents are raw; zstandard's own trainer is not used, as it keeps what is frequent
+and not what tells the classes apart (figures in the README). A text is cut into windows of about
+``WINDOW`` bytes at word ends, each is compressed with both, and the bytes the toxic dictionary saves are
+summed up per document (largest, sum of the largest three, mean, sum and numbers of windows over
+thresholds). A logistic curve over these, fitted on documents that were not used for the dictionaries,
+gives the score.
 
 Learning uses at most ``FIT_DOCS`` labelled documents, half of each label, in the order of a hash of
 doc_id, and at most ``FIT_CHARS`` characters of each; scoring reads every window of every text.
@@ -24,18 +29,27 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.crf import labelled_sample
 from tallyframe.llm.store import documents
-from tallyframe.llm.textbuf import TextBuffer, slices
+from tallyframe.llm.textbuf import TextBuffer, grams, mix, slices, with_doc
 
 WINDOW = 64
 FIT_DOCS = 4000
 FIT_CHARS = 20_000
-COMMON_WORDS = 2500
-TOXIC_WORDS = 120
+CLASS_BYTES = 16 << 10     # a class's own segments
+SHARED_BYTES = 40 << 10    # common words in both dictionaries
+LEAST = 3                  # documents that hold a segment
+# evidence that a segment needs, as a share of the largest by chance, and its odds between the classes
+LEVELS = ((1.0, 3), (1.0, 8), (0.7, 8), (0.45, 8))
+FLOOR = (0.45, 3)
 STEMS = (4, 6, 8, 10)
+PHRASES = (2, 3)
+HASHES = 6
+PHRASE_BYTES = 16 << 20    # text whose phrases are counted at once
 CUT = 0.5
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+_plain = _lower.copy()
+_plain[[ord(c) for c in ".,!?;:"]] = 32
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 
@@ -59,7 +73,7 @@ def windows(tb: TextBuffer):
 def compressors(model: dict):
     import zstandard as zs
 
-    p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, min_match=3, window_log=16, hash_log=15, chain_log=15,
+    p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, min_match=3, window_log=17, hash_log=16, chain_log=16,
                                      search_log=8, target_length=64, write_content_size=False, write_checksum=False,
                                      write_dict_id=False)
     out = []
@@ -101,11 +115,20 @@ def features(tb: TextBuffer, coders) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return [w.strip(".,!?;:") for w in text.encode().translate(bytes(_lower)).decode().split()]
+    return text.encode().translate(_plain.tobytes()).decode().split()
 
 
-def build(toxic: list[str], ordinary: list[str]) -> dict:
-    """The two dictionaries' contents, from document frequencies of words and their stems."""
+def evidence(a, b, n_a: int, n_b: int):
+    """G squared of a segment in ``a`` of ``n_a`` texts of one class and ``b`` of ``n_b`` of the other; negative if the other leads."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    e = (a + b) / (n_a + n_b)
+    term = lambda k, n: k * np.log(np.maximum(k, 1e-9) / np.maximum(e * n, 1e-9))
+    rest = lambda k, n: (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum((1 - e) * n, 1e-9))
+    return 2 * (term(a, n_a) + term(b, n_b) + rest(a, n_a) + rest(b, n_b)) * np.sign(a * n_b - b * n_a)
+
+
+def word_counts(toxic: list[str], ordinary: list[str]):
+    """(words and stems, documents of each class that hold them)."""
     counts = []
     for texts in (toxic, ordinary):
         c = Counter()
@@ -113,17 +136,110 @@ def build(toxic: list[str], ordinary: list[str]) -> dict:
             words = set(words_of(t))
             c.update(words | {w[:k] for w in words for k in STEMS if len(w) > k})
         counts.append(c)
-    a, b = counts
-    na, nb = max(len(toxic), 1), max(len(ordinary), 1)
-    odds = lambda w: (a[w] / na) / ((b[w] + 0.3) / nb)
-    common = sorted((w for w in b if len(w) >= 3 and b[w] >= 3 and odds(w) < 3),
-                    key=lambda w: (-b[w] * (len(w) - 1.5), w))[:COMMON_WORDS]
-    marks = sorted((w for w in a if len(w) >= 4 and a[w] >= 3 and odds(w) > 8),
-                   key=lambda w: (-a[w] * np.log(odds(w)), w))[:TOXIC_WORDS]
-    content = lambda words: (" ".join(reversed(words)) + " ").encode()
-    special, shared = content(marks), content(common)
-    filler = bytes(1 + i * 7 % 5 for i in range(len(special)))
-    return {"toxic": special + shared, "ordinary": filler + shared}
+    names = sorted(counts[0].keys() | counts[1].keys())
+    return names, *(np.array([c[w] for w in names]) for c in counts)
+
+
+def phrase_counts(tb: TextBuffer, toxic: np.ndarray, n: int):
+    """(an occurrence's first and end byte, documents of each class) of the phrases of n words in ``LEAST`` documents or more."""
+    starts, ends, docs = tb.words()
+    at, g = grams(tb.word_hash(), docs, n)
+    parts = 1 + len(tb.data) // PHRASE_BYTES
+    out = []
+    for p in range(parts):                       # equal phrases fall in the same part
+        here = np.flatnonzero(g % np.uint64(parts) == p)
+        here = here[np.unique(with_doc(g[here], docs[at[here]]), return_index=True)[1]]
+        _, first, inv = np.unique(g[here], return_index=True, return_inverse=True)
+        y = toxic[docs[at[here]]]
+        a, b = np.bincount(inv, y, len(first)), np.bincount(inv, ~y, len(first))
+        many = a + b >= LEAST
+        word = at[here[first[many]]]
+        out.append((starts[word], ends[word + n - 1], a[many], b[many]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def fill(segments: list[str], limit: int) -> bytes:
+    """The segments in their order, as far as ``limit`` bytes go, the first one last; none that is in one before it."""
+    out, size, held = [], 0, " "
+    for s in segments:
+        if f" {s}" in held or any(f" {w} " in held for w in s.split()[:-1] + s.split()[1:]):
+            continue
+        size += len(s.encode()) + 1
+        if size > limit:
+            break
+        out.append(s)
+        held += s + " "
+    return (" ".join(reversed(out)) + " ").encode()
+
+
+def originals(texts: list[str]) -> list[str]:
+    """The texts without near copies of an earlier one: those that share a MinHash of their 4-word windows."""
+    tb = TextBuffer(pa.array([" ".join(words_of(t)) for t in texts], pa.string()))
+    at, g = grams(tb.word_hash(), tb.words()[2], 4)
+    docs = tb.words()[2][at]
+    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else docs
+    copy = np.zeros(tb.n, bool)
+    for k in range(HASHES):
+        least = np.minimum.reduceat(mix(g + np.uint64(k)), starts) if len(starts) else g
+        _, first = np.unique(least, return_index=True)
+        later = np.ones(len(starts), bool)
+        later[first] = False
+        copy[docs[starts[later]]] = True
+    return [t for t, c in zip(texts, copy, strict=True) if not c]
+
+
+def segments(toxic: list[str], ordinary: list[str]):
+    """(evidence for toxic, its share of what chance gives, odds, segment) of all that lean to a class, and the common words by rank."""
+    toxic, ordinary = originals(toxic), originals(ordinary)
+    n = max(len(toxic), 1), max(len(ordinary), 1)
+    names, a, b = word_counts(toxic, ordinary)
+    often = np.flatnonzero(a + b >= LEAST)
+    names, a, b = [names[i] for i in often], a[often], b[often]
+    found = []
+
+    def add(a, b, text_of):
+        g = evidence(a, b, *n)
+        level = np.abs(g) / (2 * np.log(max(len(g), 2)))     # of as many tries, the largest by chance is about 1
+        odds = a / n[0] / ((b + 0.3) / n[1]), b / n[1] / ((a + 0.3) / n[0])
+        odds = np.where(g > 0, *odds)
+        found.extend((g[i], level[i], odds[i], text_of(i)) for i in np.flatnonzero((level > FLOOR[0]) & (odds > FLOOR[1])))
+    add(a, b, names.__getitem__)
+    tb = TextBuffer(pa.array([" ".join(words_of(t)) for t in toxic + ordinary], pa.string()))
+    for k in PHRASES:
+        lo, hi, *counts = phrase_counts(tb, np.arange(tb.n) < len(toxic), k)
+        add(*counts, lambda i: tb.data[lo[i]:hi[i]].tobytes().decode())  # noqa: B023
+    share = a / n[0] + b / n[1]
+    common = sorted((-share[i] * (len(w) - 1.5), w) for i, w in enumerate(names) if len(w) >= 3)
+    return found, [w for _, w in common]
+
+
+def build(found, common, level: float, least_odds: float) -> dict:
+    """The two dictionaries' contents, of the segments above the level and odds."""
+    found = [(g, w) for g, x, odds, w in found if x > level and odds > least_odds]
+    own = [fill([w for _, w in sorted((-sign * g, w) for g, w in found if sign * g > 0)], CLASS_BYTES) for sign in (1, -1)]
+    marks = {w for _, w in found}
+    shared = fill([w for w in common if w not in marks], SHARED_BYTES)
+    # the shorter one starts with filler, so that what both hold lies at the same distance
+    size = max(map(len, own))
+    toxic_own, ordinary_own = (bytes(1 + i * 7 % 5 for i in range(size - len(x))) + x for x in own)
+    return {"toxic": toxic_own + shared, "ordinary": ordinary_own + shared}
+
+
+def learn(own: list[tuple], rest: list[tuple], share: float) -> dict:
+    """The dictionaries from ``own`` and the curve from ``rest``, (text, label) both, at the level that fits ``rest`` best."""
+    found, common = segments([t for t, y in own if y == 1], [t for t, y in own if y == 0])
+    tb, y = TextBuffer(pa.array([t for t, _ in rest])), np.array([y for _, y in rest], float)
+    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    best = None
+    for level, odds in LEVELS:
+        model = build(found, common, level, odds)
+        x = features(tb, compressors(model))
+        model |= _logistic(x, y, weight)
+        p = np.clip(curve(x, model), 1e-9, 1 - 1e-9)
+        fits = float(weight @ (y * np.log(p) + (1 - y) * np.log(1 - p)))
+        if best is None or fits > best[0]:
+            best = fits, model
+    return best[1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray):
@@ -154,12 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, fit_docs: int = FIT_DOCS) ->
     own = [r for r in rows if r[3]] or rows
     rest = [r for r in rows if not r[3]]
     rest = rest if len({r[2] for r in rest}) == 2 else rows
-    model = build([r[1] for r in own if r[2] == 1], [r[1] for r in own if r[2] == 0])
-    x = features(TextBuffer(pa.array([r[1] for r in rest])), compressors(model))
-    y = np.array([r[2] for r in rest], float)
     share = (labels.where(F.col("toxic").isin(0, 1) & usable("doc_id")).agg(F.avg("toxic")).first()[0]) or 0.5
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    return model | _logistic(x, y, weight)
+    return learn([r[1:3] for r in own], [r[1:3] for r in rest], share)
 
 
 def _score_batches(model):

@@ -276,6 +276,26 @@ def test_toxicity_model(spark):
     assert np.mean([p == y for _, p, y in pairs]) >= 0.9
 
 
+def test_toxic_dictionaries_learn_every_marker_of_both_classes():
+    rnd = random.Random(5)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    plain = [word(6) for _ in range(300)]
+    marks, own = [word(7) for _ in range(200)], [word(7) for _ in range(150)]
+    texts = {}
+    for y, words in ((1, marks), (0, own)):
+        texts[y] = [" ".join([*rnd.choices(plain, k=60), *rnd.sample(words, 40)] + (["zqx", "go", "far", "off"] if y else ["far", "go", "off"]))
+                    for _ in range(200)]
+    model = toxic.build(*toxic.segments(texts[1], texts[0]), 1.0, 3)
+    a, b = (set(model[k].lstrip(bytes(range(1, 6))).decode().split()) for k in ("toxic", "ordinary"))
+    assert set(marks) <= a and not set(marks) & b           # more than 120
+    assert set(own) <= b and not set(own) & a
+    assert "zqx" in a and b"far off" in model["toxic"] and b"far off" not in model["ordinary"]
+    assert len(model["toxic"]) == len(model["ordinary"])
+    once = toxic.segments(texts[1] + ["copied only here " * 3 + texts[1][0]] * 50, texts[0])
+    assert b"copied" not in toxic.build(*once, 1.0, 3)["toxic"]     # copies of one text are one document
+    assert toxic.build(*toxic.segments([], texts[0]), 1.0, 3) and toxic.build(*toxic.segments([], []), 1.0, 3)
+
+
 def test_chain_marginals_match_enumeration():
     rnd = np.random.default_rng(2)
     docs = np.array([0, 0, 0, 1, 2, 2])
