@@ -2,8 +2,8 @@
 
 Every line is normalised (words joined by one space, ASCII letters in lower case, digits as 0)
 and hashed. A line's frequency is the number of documents of one host (``source``) that hold it.
-A line above the host's limit is taken out of every document of that host but its first carrier
-(the smallest doc_id), so one copy of whatever is repeated stays. A document that keeps less than
+A line in more than ``min_docs`` of them is taken out of every document of that host but its first carrier
+(the smallest doc_id), whatever the size of the host, so one copy of whatever is repeated stays. A document that keeps less than
 ``min_share`` of its words is depleted and rejected, as is one that fails the base rules.
 
 Null and empty texts have no words and fail the base rules; a null source is a host of its own.
@@ -25,7 +25,7 @@ from tallyframe.llm.textbuf import (
 )
 
 MIN_DOCS = 10          # a line in this many documents of a host or fewer is never removed
-HOST_SHARE = 0.01      # limit as a share of the host's documents, where that is more
+HOST_SHARE = 0.0       # a caller's further limit as a share of the host's documents; none, as it would grow with the host
 MIN_SHARE = 1 / 3      # words a document must keep
 MIN_WORDS = 50
 MAX_REPEATED_PCT = 50
@@ -106,11 +106,13 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, line, n_docs, first_doc) of the lines above their host's limit."""
+    """(host, line, n_docs, first_doc) of the lines above the limit."""
     lines = measured.select("host", "doc_id", F.explode(F.array_distinct("line")).alias("line"))
     freq = (lines.groupBy("host", "line")
             .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
             .where(F.col("n_docs") > min_docs))
+    if not host_share:
+        return freq.select("host", "line", "n_docs", "first_doc")
     hosts = measured.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs"))
     return (freq.join(hosts, F.col("host").eqNullSafe(F.col("h")))
             .where(F.col("n_docs") > F.col("host_docs") * host_share)

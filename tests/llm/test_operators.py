@@ -162,6 +162,15 @@ def test_base_rules_and_frequent_lines(spark, docs):
     assert left[0].text == texts[0] and left[5].text == own[5] and left[5].n_chars == len(own[5])
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    rnd = random.Random(3)
+    own = [" ".join("".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(60)) for _ in range(3000)]
+    texts = [f"{t}\nplanted line" if i < 50 and i % 2 else f"{t}\nrare line" if i < 20 else t for i, t in enumerate(own)]
+    for n in (50, 3000):
+        out = by_id(rules.line_rules(spark.createDataFrame(rows_of(texts[:n], ["hot"] * n), SCHEMA)))
+        assert [i for i in range(n) if out[i].n_removed_lines] == list(range(3, 50, 2))   # 25 carriers; 10 of the other are not enough
+
+
 def test_near_duplicates_match_all_pairs(spark):
     rnd = random.Random(11)
     base = [[rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 4) for _ in range(80)] for _ in range(12)]
