@@ -2,9 +2,9 @@
 
 A paragraph is a run of text up to a line break or a sentence's end; blank ones do not count. Each is
 hashed to a wide vector of 0/1 lanes, and a document's fingerprint is the sum of its paragraphs'
-vectors with their number, three 16-bit lanes to a 64-bit word. Sums do not depend on order; a
-paragraph is inserted or deleted by adding or subtracting its vector (``combine``). A word's upper
-lane has 31 bits, so no text within Spark's limit of 2 GB can overflow it.
+vectors with their number, two 32-bit lanes to a 64-bit word. Sums do not depend on order; a
+paragraph is inserted or deleted by adding or subtracting its vector (``combine``). A text
+within Spark's limit of 2 GB has at most 2^30 paragraphs, so no lane and no difference of two leaves 31 bits.
 
 Read as +-1 vectors, the mean square of a difference of two fingerprints estimates the number of
 paragraphs in which the multisets differ, and that of one its size; likeness is one minus the first
@@ -23,7 +23,8 @@ from tallyframe.llm.store import documents
 
 HASHES = 2                     # 64 lanes each
 LANES = 64 * HASHES
-PER_WORD = 3
+PER_WORD = 2
+BITS = 32                      # of a lane
 WORDS = -(-LANES // PER_WORD)
 BREAK = r"\n|(?<=[.!?])[\x20\t]+"
 
@@ -37,7 +38,7 @@ def lane_words(h: list) -> list:
             lane = w * PER_WORD + j
             if lane < LANES:
                 bit = F.shiftrightunsigned(h[lane // 64], lane % 64).bitwiseAND(F.lit(1).cast("long"))
-                bit = F.shiftleft(bit, 16 * j) if j else bit
+                bit = F.shiftleft(bit, BITS * j) if j else bit
                 word = bit if word is None else word.bitwiseOR(bit)
         out.append(word)
     return out
@@ -55,11 +56,11 @@ def _lane(word, j: int):
     """Signed lane j of a difference of words."""
     rest = word
     for k in range(j + 1):
-        low = rest.bitwiseAND(F.lit(0xFFFF).cast("long"))
-        signed = F.when(low >= 0x8000, low - 0x10000).otherwise(low)
+        low = rest.bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+        signed = F.when(low >= 1 << (BITS - 1), low - (1 << BITS)).otherwise(low)
         if k == j or k == PER_WORD - 1:
             return signed if k < PER_WORD - 1 else rest
-        rest = F.shiftright(rest - signed, 16)
+        rest = F.shiftright(rest - signed, BITS)
     return rest
 
 
