@@ -1,10 +1,11 @@
-"""Jaccard join on word n-grams by a MinHash LSH forest, with exact verification.
+"""Jaccard join on word n-grams by MinHash banding in place of an LSH forest, with exact verification.
 
 A document's set holds its distinct windows of ``SHINGLE`` words (``[^\\x20\\x09-\\x0D]+``, as they
 stand); a shorter text is one window of all its words. Documents with the same set are copies and
-enter the join once. The forest has ``TREES`` tries over MinHash signatures. Two texts meet in a tree
-if they share a prefix; prefixes start at ``DEPTH`` symbols and are shortened until a pair just at
-the threshold meets in some tree with probability ``RECALL`` or more. Pairs that meet are compared by
+enter the join once. There are no sorted tries and no descent by the data: each of ``TREES`` trees is a
+band, and two texts meet in it if they share its key. The key's length is computed once from the
+threshold: the longest, up to ``DEPTH`` symbols, at which a pair just at the threshold meets in some
+band with probability ``RECALL`` or more. Pairs that meet are compared by
 all their signature symbols, which discards pairs far below the threshold (a pair at the threshold is
 lost with a probability below 1e-8), and the rest form candidate groups. Within a group every pair
 is verified on the exact sets.
