@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import codes, crf, fingerprint, forest, license, packing, pii, piece, rules, toxic
-from tallyframe.llm.store import table
+from tallyframe.llm import audit, chat, codes, crf, fingerprint, forest, infill, license, packing, pii, piece, rules, toxic
+from tallyframe.llm.store import exact, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,26 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+SAID = "</s>[INST] ok [/INST]"        # the contract's conversation -7
+
+
+@query
+def op11_chat_format(spark, sf_dir):
+    convs = exact(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)], convs.schema)
+    return chat.read_back(chat.format_conversations(convs.unionAll(own)))
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = audit.oracle()
+
+
+@query
+def op13_infill(spark, sf_dir):
+    return infill.digests(table(spark, sf_dir, "documents"))

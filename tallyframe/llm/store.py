@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyframe.session import scratch_path
 
@@ -24,12 +25,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(df: DataFrame, *extra: str) -> DataFrame:
-    """The columns an operator works on; other columns of the input never reach it.
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """These columns by their exact names (of equal ones the first); no other column reaches an operator.
 
-    Names are resolved exactly, so extra columns whose names differ only by case do not clash.
+    Columns are picked by position, so names that differ only by case or that an operator uses itself don't clash.
     """
-    return df.select(*[df[f"`{c}`"] for c in ("doc_id", "text", *extra)])
+    at = [df.columns.index(c) for c in names]
+    by_place = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return by_place.select(*[F.col(f"_{i}").alias(c) for i, c in zip(at, names, strict=True)])
+
+
+def documents(df: DataFrame, *extra: str) -> DataFrame:
+    """The columns an operator on documents works on."""
+    return exact(df, "doc_id", "text", *extra)
 
 
 def per_worker(key, make):
