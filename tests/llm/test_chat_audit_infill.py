@@ -241,9 +241,9 @@ def test_chat_equals_brute_force(spark, partitions):
 def test_chat_tables(spark):
     none = spark.createDataFrame([], CONVS)
     assert chat.read_back(chat.format_conversations(none)).count() == 0
-    part = "struct('image' AS type, cast(null AS string) AS text, 'a.png' AS ref, 10 AS width, 20 AS height, 0d AS seconds, 0 AS pages)"
-    text = "struct('text', '<s>', cast(null AS string), 0, 0, 0d, 0)"
-    typed = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'assistant' AS role, array({text}, {part}, {text}) AS content, 'other' AS text")
+    mark, image = ("text", "<s>", None, None, None, None, None), ("image", None, "a.png", 10, 20, None, None)
+    typed = spark.createDataFrame([(1, 0, "assistant", [mark, image, mark], "other")],
+                                  f"conv_id long, turn long, role string, content {chat.PARTS}, text string")
     row = chat.format_conversations(typed).first()
     assert row.formatted == "<s><\\s>[IMAGE]<\\s></s>" and row.tokens == 256
     assert [(a.ref, a.start, a.end) for a in row.attachments] == [("a.png", 7, 14)]
