@@ -1,26 +1,21 @@
 """Post-query analytics over roll-ups.
 
-Ranks (M2, and the picks of M6) are exact global row numbers computed without
-a single-partition window: the frame is range-partitioned on the ordering,
-numbered inside each partition, and offset by the (tiny, one row per
-partition) prefix counts. The Gini coefficient needs only one row of sums per
-range, and the tiers only the first rows, so neither runs a job while its
-plan is built. Shares divide by a scalar-subquery total (computed once), not
+Ranks (M2) and breaks (M6) are exact and come from counts of ranges
+(``selection``), the Gini coefficient from one row of sums per range, the
+tiers from the first rows: none sorts a frame in one task, checkpoints or
+runs a job while its plan is built. Shares divide by a scalar-subquery total (computed once), not
 by a window.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.format import DASHBOARD_DECIMALS, abbrev
 from tallyframe.functions.money import dround, pct
 from tallyframe.functions.util import as_col
-from tallyframe.session import checkpoint_dir
+from tallyframe.operators.selection import order_statistics, row_numbers
 
 
 def _order(cols, desc_first: bool) -> list[Column]:
@@ -31,24 +26,6 @@ def _order(cols, desc_first: bool) -> list[Column]:
     return out
 
 
-def global_row_number(df: DataFrame, order: list[Column], out: str = "rank",
-                      partitions: int | None = None) -> DataFrame:
-    """Exact 1-based row number over a total order, distributed.
-
-    ``repartitionByRange`` puts ordered key ranges in consecutive partitions;
-    the frame is checkpointed so both uses below see the same partitioning;
-    ``monotonically_increasing_id`` numbers rows within a partition; the
-    per-partition counts (one row per partition, a bounded collect) are
-    prefix-summed into offsets and broadcast back. No task ever holds more
-    than its own partition.
-    """
-    ranged = _ranged(df, order, partitions)
-    offsets = df.sparkSession.createDataFrame([(p, off) for p, _, off in _extents(ranged)], "_pid int, _off long")
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_pos") + 1).cast("bigint"))
-            .drop("_pid", "_pos", "_off"))
-
-
 def _positions(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """Ordered ranges in consecutive partitions: ``_pid``, and the 0-based ``_pos`` inside it."""
     # without an explicit count AQE may coalesce adjacent ranges (order is kept)
@@ -57,27 +34,9 @@ def _positions(df: DataFrame, order: list[Column], partitions: int | None = None
             .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
 
 
-def _ranged(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """``_positions``, checkpointed for frames that are read more than once."""
-    checkpoint_dir(df.sparkSession)
-    return _positions(df, order, partitions).checkpoint(eager=True)
-
-
-def _extents(ranged: DataFrame) -> list[tuple[int, int, int]]:
-    """(pid, rows, rows before it) of each partition: one row per partition, prefix-summed on the driver."""
-    counts = sorted((r["_pid"], r["_n"]) for r in
-                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
-    out, before = [], 0
-    for pid, n in counts:
-        out.append((pid, n, before))
-        before += n
-    return out
-
-
 def rank_by(df: DataFrame, value: str, tie=(), out: str = "rank", ascending: bool = False) -> DataFrame:
     """M2: rank = position in the list sorted by ``value`` (desc by default), no ties."""
-    first = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    return global_row_number(df, [first, *_order(tie, False)], out)
+    return row_numbers(df, value, tie, out, ascending)
 
 
 def with_total(df: DataFrame, value: str, alias: str = "_total") -> DataFrame:
@@ -113,23 +72,9 @@ QUANTILES = (0.2, 0.4, 0.6, 0.8)
 
 
 def _breaks(df: DataFrame, key: str, value: str, outlier_key, qs=QUANTILES) -> DataFrame:
-    """Break j = value at 0-based index floor(q_j * (n - 1)) of the rows other than ``outlier_key``.
-
-    One row b0..b{k-1} and ``_n``, the number of those rows (a NULL key is such a row). The row of
-    each index is known from the partitions' row counts, so the picks are a filter.
-    """
-    rest = df.where(~F.col(key).eqNullSafe(F.lit(outlier_key))).select(key, value)
-    ranged = _ranged(rest, [F.col(value).asc_nulls_last(), F.col(key).asc_nulls_last()])
-    extents = _extents(ranged)
-    n = sum(rows for _, rows, _ in extents)
-    at = []
-    for q in qs:
-        i = math.floor(q * (n - 1))
-        pid, before = next(((p, b) for p, rows, b in extents if b <= i < b + rows), (-1, 0))
-        at.append((F.col("_pid") == pid) & (F.col("_pos") == i - before))
-    picked = ranged.where(reduce(Column.__or__, at))               # len(qs) rows
-    return picked.agg(*[F.max(F.when(c, F.col(value))).alias(f"b{j}") for j, c in enumerate(at)],
-                      F.lit(n).alias("_n"))
+    """One row: ``b``, the break values at 0-based index floor(q_j * (n - 1)) of the rows other than
+    ``outlier_key``, and ``n``, the number of those rows (a NULL key is such a row)."""
+    return order_statistics(df.where(~F.col(key).eqNullSafe(F.lit(outlier_key))).select(value), value, qs)
 
 
 def _outlier_value(df: DataFrame, key: str, value: str, outlier_key) -> Column:
@@ -140,29 +85,22 @@ def quantile_bins(df: DataFrame, key: str, value: str, outlier_key, factor: floa
                   qs=QUANTILES) -> DataFrame:
     """M6: outlier-aware quantile bins.
 
-    Rows other than ``outlier_key`` are sorted ascending; break j is the value
-    at 0-based index floor(q_j * (n - 1)). A row is in the outlier bin (5)
-    when value >= factor * outlier's value (0 when absent), else in bin b =
-    number of breaks <= value (0..4). Breaks and the outlier value are scalar
-    subqueries.
+    A row is in the outlier bin (5) when value >= factor * outlier's value (0 when absent), else in
+    bin b = number of breaks <= value (0..4). Without other rows everything takes the lowest bin.
+    Breaks and the outlier's value are scalar subqueries.
     """
-    breaks = _breaks(df, key, value, outlier_key, qs)
-    b = [breaks.select(f"b{j}").scalar() for j in range(len(qs))]
-    outlier = _outlier_value(df, key, value, outlier_key)
-    v = F.col(value)
-    # no other rows: everything takes the lowest bin (nothing to compare against)
-    bin_ = (F.when(breaks.select("_n").scalar() == 0, F.lit(0))
-            .when(v.cast("double") >= outlier.cast("double") * F.lit(factor), F.lit(5)))
-    for j in reversed(range(len(qs))):
-        bin_ = bin_.when(v >= b[j], F.lit(j + 1))
-    bin_ = bin_.otherwise(F.lit(0))
-    return df.select(key, value, bin_.cast("int").alias("bin"))
+    breaks = _breaks(df, key, value, outlier_key, qs).select(F.struct("n", "b"))
+    found = df.select(key, value, breaks.scalar().alias("_s"), _outlier_value(df, key, value, outlier_key).alias("_o"))
+    return found.select(key, value, F.expr(
+        f"""CASE WHEN _s.n = 0 THEN 0 WHEN CAST(`{value}` AS DOUBLE) >= CAST(_o AS DOUBLE) * {float(factor)!r}D THEN 5
+            ELSE size(filter(_s.b, b -> b <= `{value}`)) END AS bin"""))
 
 
 def bin_legend(df: DataFrame, key: str, value: str, outlier_key, factor: float = 0.9) -> DataFrame:
     """M7: lower/upper bound and label of the six bins (legend of M6)."""
     breaks = _breaks(df, key, value, outlier_key)
-    row = breaks.select("*", _outlier_value(df, key, value, outlier_key).alias("_o"))
+    row = breaks.select(*[F.col("b")[j].alias(f"b{j}") for j in range(4)],
+                        _outlier_value(df, key, value, outlier_key).alias("_o"))
     lab = lambda c: abbrev(F.col(c), DASHBOARD_DECIMALS)
     null = F.lit(None).cast("decimal(38,0)")
     bins = F.array(
