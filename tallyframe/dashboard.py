@@ -1,6 +1,6 @@
 """The dashboard's questions over a published folder, as DataFrame methods.
 
-    d = Dashboard(spark, "/data/published")       # budget_detail + four roll-ups
+    d = Dashboard(spark, "/data/published")       # budget_detail, four roll-ups, lattice
     d.kpis().show(); d.line_items(page_no=2, search="school", category="PS").show()
 
 Each method composes the operators (no new logic); everything stays lazy
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import brief, concentration, explore, geo
+from tallyframe.operators import brief, concentration, explore, geo, lattice, rollup
 
 ROLLUPS = ("agg_department", "agg_expense", "agg_agency", "agg_region")
 
@@ -24,6 +24,7 @@ class Dashboard:
         self.spark = spark
         self.detail = spark.read.parquet(f"{root}/budget_detail.parquet")
         self.agg = {t: spark.read.parquet(f"{root}/{t}.parquet") for t in ROLLUPS}
+        self.totals = lattice.load(self.detail, f"{root}/lattice", rollup.LEDGER_DIMENSIONS, rollup.LEDGER_MEASURES)
         if cache_rollups:
             self.agg = {t: df.cache() for t, df in self.agg.items()}
 
@@ -53,7 +54,7 @@ class Dashboard:
                             text=search)
 
     def line_item_count(self, search: str | None = None, category: str | None = None) -> DataFrame:
-        return explore.filtered_count(self.detail, {"expense_category": category}, text=search)
+        return explore.filtered_count(self.totals, {"expense_category": category}, text=search)
 
     # executive view
     def brief(self, region_id: str, region_label: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ class Dashboard:
                                   region_id, region_label)
 
     def special_funds(self, exclude: str, k: int = 15) -> DataFrame:
-        return explore.special_funds(self.detail, exclude, k)
+        return explore.special_funds(self.totals, exclude, k)
 
     def tiers(self) -> DataFrame:
         return concentration.tiers(self.agg["agg_department"], "department_short", "total_php")
@@ -87,7 +88,7 @@ class Dashboard:
         return concentration.split_shares(concentration.point_lookup(self.agg["agg_region"], "region_id", region_id))
 
     def distinct(self, column: str) -> DataFrame:
-        return explore.distinct_options(self.detail, column)
+        return explore.distinct_options(self.totals, column)
 
     def value_of(self, df: DataFrame, column: str):
         """Convenience for scripts: the single value of a one-row result (collects one row)."""
@@ -95,20 +96,25 @@ class Dashboard:
 
 
 class WorkshopView:
-    """The workshop dashboard over a cleaned dataset: options, grouped totals, counts, drill-downs."""
+    """The workshop dashboard over a cleaned dataset: options, grouped totals, counts, drill-downs.
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``lattice_path``: the dataset's lattice as ``jobs.workshop`` writes it; without one the dataset answers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, lattice_path: str | None = None):
         self.data = spark.read.parquet(path)
+        self.totals = self.data if lattice_path is None else lattice.load(
+            self.data, lattice_path, rollup.WORKSHOP_DIMENSIONS, rollup.WORKSHOP_MEASURES)
 
     def options(self, column: str) -> DataFrame:
-        return explore.distinct_options(self.data, column)
+        return explore.distinct_options(self.totals, column)
 
     def group(self, dim: str = "department", region: str = explore.ALL, category: str = explore.ALL,
               k: int = 20) -> DataFrame:
-        return explore.dynamic_group(self.data, dim, region, category, k)
+        return explore.dynamic_group(self.totals, dim, region, category, k)
 
     def count(self, region: str = explore.ALL, category: str = explore.ALL) -> DataFrame:
-        return explore.filtered_count(self.data, {"region": region, "category": category})
+        return explore.filtered_count(self.totals, {"region": region, "category": category})
 
     def brief(self) -> DataFrame:
         return brief.workshop_brief(self.data)

@@ -17,7 +17,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tallyframe.operators import brief, clean, explore, gates, geo, profile, rollup
+from tallyframe.operators import brief, clean, explore, gates, geo, lattice, profile, rollup
 from tallyframe.session import checkpoint_dir
 from tallyframe.sources import geojson, jsonio
 from tallyframe.sources.parquet import DETAIL_PARTITIONS, ingest_stage_counts, publish, write_parquet
@@ -27,11 +27,12 @@ TABLES = ("budget_detail", "agg_department", "agg_expense", "agg_agency", "agg_r
 
 
 def ingest(spark: SparkSession, raw_path: str, out: str) -> dict[str, str]:
-    """All-text raw ledger -> budget_detail + roll-ups, ZSTD parquet; prints stage counts."""
+    """All-text raw ledger -> budget_detail + roll-ups (ZSTD parquet) + lattice; prints stage counts."""
     raw = read_parquet_text(spark, raw_path)
     detail_path = write_parquet(clean.ingest(raw), f"{out}/budget_detail.parquet", partition_by=DETAIL_PARTITIONS)
     detail = spark.read.parquet(detail_path)
     rollups = publish(rollup.rollups(detail), out)
+    lattice.build(detail, f"{out}/lattice", rollup.LEDGER_DIMENSIONS, rollup.LEDGER_MEASURES)
     tables = {k: spark.read.parquet(p) for k, p in rollups.items()}
     ingest_stage_counts(clean.ingest_counts(raw), tables).show(truncate=False)
     return {"budget_detail": detail_path, **rollups}
@@ -68,10 +69,11 @@ def workshop(spark: SparkSession, csv: str, out: str) -> None:
     gates.round_trip(cleaned, f"{out}/cleaned_dataset.parquet").show(truncate=False)
     data = spark.read.parquet(f"{out}/cleaned_dataset.parquet")
     explore.top_k(data, "amount", 5, tie=("id",)).show(truncate=False)
-    jsonio.write_series(explore.totals_by(data, "department", k=10), f"{out}/charts/layer1_top_allocations")
-    jsonio.write_series(explore.totals_by(data, "category"), f"{out}/charts/layer2_composition")
-    jsonio.write_series(explore.totals_by(data, "region"), f"{out}/charts/layer3_regional")
-    jsonio.write_series(explore.totals_by(data, "agency", k=10, filters={"category": "Capital Outlays"}),
+    totals = lattice.build(data, f"{out}/lattice", rollup.WORKSHOP_DIMENSIONS, rollup.WORKSHOP_MEASURES)
+    jsonio.write_series(explore.totals_by(totals, "department", k=10), f"{out}/charts/layer1_top_allocations")
+    jsonio.write_series(explore.totals_by(totals, "category"), f"{out}/charts/layer2_composition")
+    jsonio.write_series(explore.totals_by(totals, "region"), f"{out}/charts/layer3_regional")
+    jsonio.write_series(explore.totals_by(totals, "agency", k=10, filters={"category": "Capital Outlays"}),
                         f"{out}/charts/layer4_priority")
     jsonio.write_brief(brief.workshop_brief(data), f"{out}/charts/layer5_brief")
 

@@ -16,6 +16,7 @@ from tallyframe.functions.format import billions
 from tallyframe.functions.money import money_sum
 from tallyframe.functions.text import truncate_label
 from tallyframe.functions.util import as_col
+from tallyframe.operators.lattice import COUNT, Lattice
 
 SEARCH_COLUMNS = ("object_description", "agency_name", "program_description", "department_short")
 GROUP_DIMENSIONS = ("department", "category", "region", "agency")
@@ -31,12 +32,17 @@ def _order(cols, desc=False) -> list[Column]:
     return out
 
 
+def active_filters(filters: dict | None) -> dict:
+    """The filters that filter: None and 'All' mean none."""
+    return {c: v for c, v in (filters or {}).items() if v is not None and v != ALL}
+
+
 def equality_filter(df: DataFrame, filters: dict | None = None) -> DataFrame:
     """AND of ``col == value`` for each given filter; None/'All' means no filter.
 
     Values are bound as literals, never spliced into SQL text.
     """
-    conds = [F.col(c) == F.lit(v) for c, v in (filters or {}).items() if v is not None and v != ALL]
+    conds = [F.col(c) == F.lit(v) for c, v in active_filters(filters).items()]
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
@@ -61,8 +67,11 @@ def search(df: DataFrame, text: str | None, columns=SEARCH_COLUMNS, wildcards: b
 
 def not_equal_not_null(df: DataFrame, column: str, value) -> DataFrame:
     """``column != value AND column IS NOT NULL``."""
-    c = F.col(column)
-    return df.where((c != F.lit(value)) & c.isNotNull())
+    return df.where(_not_equal_not_null(column, value))
+
+
+def _not_equal_not_null(column: str, value) -> Column:
+    return (F.col(column) != F.lit(value)) & F.col(column).isNotNull()
 
 
 def top_k(df: DataFrame, by: str, k: int | None, tie=(), desc: bool = True) -> DataFrame:
@@ -81,16 +90,29 @@ def sum_amount(c: str = "amount") -> Column:
     return F.sum(F.col(c)).cast("decimal(38,2)")
 
 
-def totals_by(df: DataFrame, dim: str, label: str | None = None, k: int | None = None,
+def totals_by(df: DataFrame | Lattice, dim: str, label: str | None = None, k: int | None = None,
               filters: dict | None = None, amount: str = "amount") -> DataFrame:
-    """SUM(amount) per ``dim`` under optional filters, top k by total."""
-    out = equality_filter(df, filters).groupBy(dim).agg(sum_amount(amount).alias("total"))
+    """SUM(amount) per ``dim`` under optional filters, top k by total.
+
+    A lattice answers from its smallest grain that has the columns.
+    """
+    if isinstance(df, Lattice):
+        out = df.totals([dim], active_filters(filters)).select(dim, F.col(amount).alias("total"))
+    else:
+        out = equality_filter(df, filters).groupBy(dim).agg(sum_amount(amount).alias("total"))
     if label:
         out = out.withColumnRenamed(dim, label)
     return top_k(out, "total", k, tie=(label or dim,))
 
 
-def dynamic_group(df: DataFrame, dim: str, region: str | None = ALL, category: str | None = ALL,
+def total(df: DataFrame | Lattice, filters: dict | None = None, amount: str = "amount") -> DataFrame:
+    """SUM(amount) of all rows under optional filters."""
+    if isinstance(df, Lattice):
+        return df.totals((), active_filters(filters)).select(F.col(amount).alias("total"))
+    return equality_filter(df, filters).agg(sum_amount(amount).alias("total"))
+
+
+def dynamic_group(df: DataFrame | Lattice, dim: str, region: str | None = ALL, category: str | None = ALL,
                   k: int = 20) -> DataFrame:
     """One of four dimensions (checked against an allow-list) as ``label``, top 20."""
     if dim not in GROUP_DIMENSIONS:
@@ -98,16 +120,24 @@ def dynamic_group(df: DataFrame, dim: str, region: str | None = ALL, category: s
     return totals_by(df, dim, label="label", k=k, filters={"region": region, "category": category})
 
 
-def filtered_count(df: DataFrame, filters: dict | None = None, text: str | None = None,
+def filtered_count(df: DataFrame | Lattice, filters: dict | None = None, text: str | None = None,
                    page_size: int = PAGE_SIZE) -> DataFrame:
-    """A12 + T5: filtered row count and the number of pages."""
+    """A12 + T5: filtered row count and the number of pages. A search reads the detail of a lattice."""
+    if isinstance(df, Lattice):
+        if text is None or not text.strip():
+            n = F.coalesce(F.col(COUNT), F.lit(0).cast("bigint"))
+            return df.totals((), active_filters(filters)).select(
+                n.alias("rows"), F.ceil(n / F.lit(page_size)).cast("bigint").alias("pages"))
+        df = df.detail
     n = F.count(F.lit(1))
     return search(equality_filter(df, filters), text).agg(
         n.alias("rows"), F.ceil(n / F.lit(page_size)).cast("bigint").alias("pages"))
 
 
-def distinct_options(df: DataFrame, column: str) -> DataFrame:
+def distinct_options(df: DataFrame | Lattice, column: str) -> DataFrame:
     """Distinct values of a dimension, sorted."""
+    if isinstance(df, Lattice):
+        df = df.totals([column])
     return df.select(column).distinct().orderBy(F.col(column).asc_nulls_last())
 
 
@@ -152,12 +182,17 @@ def page_after(df: DataFrame, order_by: str, last, page_size: int = PAGE_SIZE, d
     return df.where(cond).orderBy(*_order([order_by], desc), *_order(tie)).limit(page_size)
 
 
-def special_funds(detail: DataFrame, exclude: str, k: int = 15) -> DataFrame:
+def special_funds(detail: DataFrame | Lattice, exclude: str, k: int = 15) -> DataFrame:
     """A6 (+P14, F2, M17): funds other than ``exclude``; count, total, top 15; labels."""
-    out = not_equal_not_null(detail, "fund_subcategory", exclude).groupBy("fund_subcategory").agg(
-        F.count(F.lit(1)).alias("line_items"), money_sum("amount_php").alias("total_php"))
-    out = top_k(out, "total_php", k, tie=("fund_subcategory",))
-    return out.select("*", truncate_label("fund_subcategory", 40, 38).alias("label"),
+    fund = "fund_subcategory"
+    if isinstance(detail, Lattice):
+        out = detail.totals([fund], where=_not_equal_not_null(fund, exclude), where_columns=[fund]).select(
+            fund, F.col(COUNT).alias("line_items"), F.col("amount_php").alias("total_php"))
+    else:
+        out = not_equal_not_null(detail, fund, exclude).groupBy(fund).agg(
+            F.count(F.lit(1)).alias("line_items"), money_sum("amount_php").alias("total_php"))
+    out = top_k(out, "total_php", k, tie=(fund,))
+    return out.select("*", truncate_label(fund, 40, 38).alias("label"),
                       billions("total_php", 1).alias("total_b"))
 
 

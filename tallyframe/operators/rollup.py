@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tallyframe.functions.money import money_sum
 
 DEPT_KEYS = ("department_code", "department_name", "department_short")
+# dimensions and sums of the roll-up lattices (operators/lattice.py)
+WORKSHOP_DIMENSIONS = ("department", "agency", "category", "region")
+WORKSHOP_MEASURES = {"amount": "decimal(38,2)"}
+LEDGER_DIMENSIONS = ("department_short", "agency_name", "expense_category", "region_id", "fund_subcategory")
+LEDGER_MEASURES = {"amount_php": "decimal(38,0)"}
 CATEGORY_COLUMNS = (("PS", "ps_php"), ("MOOE", "mooe_php"), ("CO", "co_php"), ("FE", "fe_php"))
 
 

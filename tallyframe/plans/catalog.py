@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.plans.context import Ledger
+from tallyframe.session import session_id
+from tallyframe.sources.tables import snapshot
 
 QUERIES: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {}
 
@@ -26,15 +28,21 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
-_CONTEXTS: dict[tuple[int, str], Ledger] = {}
+_CONTEXTS: dict[tuple[str, str], tuple[tuple, Ledger]] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Ledger:
-    key = (id(spark), sf_dir)
-    ctx = _CONTEXTS.get(key)
-    if ctx is None or ctx.spark is not spark:
-        ctx = _CONTEXTS[key] = Ledger(spark, sf_dir)
-    return ctx
+    """The frames over a folder, kept while its files stay the same.
+
+    Frames hold written tables (roll-ups, lattices), so a folder whose files have other sizes or times
+    gets new ones; a stopped session's are not found by the next one, which has another id.
+    """
+    key = session_id(spark), sf_dir
+    files = snapshot(spark, sf_dir)
+    held = _CONTEXTS.get(key)
+    if held is None or held[0] != files:
+        held = _CONTEXTS[key] = files, Ledger(spark, sf_dir)
+    return held[1]
 
 
 def spark_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,8 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.operators import clean, rollup
+from tallyframe.operators import clean, lattice, rollup
 from tallyframe.plans import ledger
+from tallyframe.session import scratch_path
 from tallyframe.sources.tables import Tables
 
 
@@ -58,3 +59,15 @@ class Ledger:
     @cached_property
     def wclean(self) -> DataFrame:
         return clean.dedup_keyed(self.wstaged)
+
+    @cached_property
+    def wlattice(self) -> lattice.Lattice:
+        """Totals of the cleaned workshop table at every useful grain, in the shared scratch folder."""
+        return lattice.build(self.wclean, scratch_path(self.spark, "workshop-lattice"),
+                             rollup.WORKSHOP_DIMENSIONS, rollup.WORKSHOP_MEASURES)
+
+    @cached_property
+    def lattice(self) -> lattice.Lattice:
+        """Totals of the detail at every useful grain, in the shared scratch folder."""
+        return lattice.build(self.detail, scratch_path(self.spark, "ledger-lattice"),
+                             rollup.LEDGER_DIMENSIONS, rollup.LEDGER_MEASURES)

@@ -97,7 +97,7 @@ def _a12(c):
 @query("a12_workshop_count", sql(f"""SELECT COUNT(*) AS rows, CAST(CEIL(COUNT(*) / 50) AS BIGINT) AS pages
   FROM wclean WHERE region = '{W_REGION}' AND category = '{W_CATEGORY}'""", "wclean"))
 def _a12w(c):
-    return explore.filtered_count(c.wclean, {"region": W_REGION, "category": W_CATEGORY})
+    return explore.filtered_count(c.wlattice, {"region": W_REGION, "category": W_CATEGORY})
 
 
 @query("a6_special_funds", sql(f"""SELECT fund_subcategory, line_items, total_php,
@@ -108,7 +108,7 @@ def _a12w(c):
         FROM detail WHERE fund_subcategory != '{EXCLUDED_FUND}' AND fund_subcategory IS NOT NULL
         GROUP BY fund_subcategory ORDER BY total_php DESC, fund_subcategory LIMIT 15)""", "detail"))
 def _a6(c):
-    return explore.special_funds(c.detail, EXCLUDED_FUND)
+    return explore.special_funds(c.lattice, EXCLUDED_FUND)
 
 
 @query("m16_displayed_total", sql(f"""SELECT CAST(SUM(total_php) AS DECIMAL(38,0)) AS displayed_total
@@ -116,7 +116,7 @@ def _a6(c):
         FROM detail WHERE fund_subcategory != '{EXCLUDED_FUND}' AND fund_subcategory IS NOT NULL
         GROUP BY fund_subcategory ORDER BY total_php DESC, fund_subcategory LIMIT 15)""", "detail"))
 def _m16(c):
-    return explore.displayed_total(explore.special_funds(c.detail, EXCLUDED_FUND))
+    return explore.displayed_total(explore.special_funds(c.lattice, EXCLUDED_FUND))
 
 
 def _wtop(dim, where="", k=None, label=None):
@@ -150,54 +150,54 @@ def _a8(c):
 
 @query("a9_region_totals", _wtop("region"))
 def _a9(c):
-    return explore.totals_by(c.wclean, "region")
+    return explore.totals_by(c.wlattice, "region")
 
 
 @query("a10_priority_capital", _wtop("agency", "WHERE category = 'Capital Outlays'", 10))
 def _a10(c):
-    return explore.totals_by(c.wclean, "agency", k=10, filters={"category": "Capital Outlays"})
+    return explore.totals_by(c.wlattice, "agency", k=10, filters={"category": "Capital Outlays"})
 
 
 @query("a11_dynamic_group", _wtop("agency", f"WHERE region = '{W_REGION}' AND category = '{W_CATEGORY}'",
                                   20, label="label"))
 def _a11(c):
-    return explore.dynamic_group(c.wclean, "agency", region=W_REGION, category=W_CATEGORY)
+    return explore.dynamic_group(c.wlattice, "agency", region=W_REGION, category=W_CATEGORY)
 
 
 @query("a11_dynamic_group_all", _wtop("category", "", 20, label="label"))
 def _a11b(c):
-    return explore.dynamic_group(c.wclean, "category")
+    return explore.dynamic_group(c.wlattice, "category")
 
 
 @query("a13_region_options", sql("SELECT DISTINCT region FROM wclean", "wclean"))
 def _a13(c):
-    return explore.distinct_options(c.wclean, "region")
+    return explore.distinct_options(c.wlattice, "region")
 
 
 @query("a18_by_department", _wtop("department"))
 def _a18a(c):
-    return explore.totals_by(c.wclean, "department")
+    return explore.totals_by(c.wlattice, "department")
 
 
 @query("a18_region_filter_by_category", _wtop("category", f"WHERE region = '{W_REGION}'"))
 def _a18b(c):
-    return explore.totals_by(c.wclean, "category", filters={"region": W_REGION})
+    return explore.totals_by(c.wlattice, "category", filters={"region": W_REGION})
 
 
 @query("a18_category_filter_by_department", _wtop("department", f"WHERE category = '{W_CATEGORY}'"))
 def _a18c(c):
-    return explore.totals_by(c.wclean, "department", filters={"category": W_CATEGORY})
+    return explore.totals_by(c.wlattice, "department", filters={"category": W_CATEGORY})
 
 
 @query("a18_two_filters_by_agency", _wtop(
     "agency", f"WHERE region = '{W_REGION}' AND category = 'Personnel Services'"))
 def _a18d(c):
-    return explore.totals_by(c.wclean, "agency", filters={"region": W_REGION, "category": "Personnel Services"})
+    return explore.totals_by(c.wlattice, "agency", filters={"region": W_REGION, "category": "Personnel Services"})
 
 
 @query("a18_grand_total", sql("SELECT CAST(SUM(amount) AS DECIMAL(38,2)) AS total FROM wclean", "wclean"))
 def _a18e(c):
-    return c.wclean.agg(explore.sum_amount().alias("total"))
+    return explore.total(c.wlattice)
 
 
 @query("t6_sample_top5", sql("SELECT * FROM wclean ORDER BY amount DESC, id, region LIMIT 5", "wclean"))
@@ -248,7 +248,7 @@ def _t4deep(c):
   FROM (SELECT COUNT(*) FILTER (WHERE expense_category = 'CO' AND region_id = '02') AS n FROM detail)""",
     "detail"))
 def _p12(c):
-    return explore.filtered_count(c.detail, {"expense_category": "CO", "region_id": "02"})
+    return explore.filtered_count(c.lattice, {"expense_category": "CO", "region_id": "02"})
 
 
 @query("a6_special_funds_top2", sql(f"""SELECT fund_subcategory, line_items, total_php,
@@ -259,13 +259,13 @@ def _p12(c):
         FROM detail WHERE fund_subcategory != '1-URGENT' AND fund_subcategory IS NOT NULL
         GROUP BY fund_subcategory ORDER BY total_php DESC, fund_subcategory LIMIT 2)""", "detail"))
 def _a6b(c):
-    return explore.special_funds(c.detail, "1-URGENT", k=2)
+    return explore.special_funds(c.lattice, "1-URGENT", k=2)
 
 
 @query("a11_dynamic_group_department_capital", _wtop("department", "WHERE category = 'Capital Outlays'", 20,
                                                      label="label"))
 def _a11c(c):
-    return explore.dynamic_group(c.wclean, "department", category="Capital Outlays")
+    return explore.dynamic_group(c.wlattice, "department", category="Capital Outlays")
 
 
 @query("t3_drill_down_lowercase_variant", sql(f"""SELECT agency_name, expense_category, total_php FROM agg_agency

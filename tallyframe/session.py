@@ -67,6 +67,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def session_id(spark: SparkSession) -> str:
+    """An id that no other session has, also not a later one at the same place in memory."""
+    return f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder."""
     import uuid

@@ -8,12 +8,34 @@ TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
+# those from which the ledger's frames are made
+LEDGER_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem", "events")
+
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """S3: a parquet scan. Projection and filters written later reach the scan."""
     return spark.read.parquet(path)
 
 
+def snapshot(spark: SparkSession, folder: str) -> tuple:
+    """(path, size, time of change) of each of the ledger's table files in a folder: a key of what frames over it hold.
+
+    Listed by Spark's own file system classes, so it works for any store that Spark reads. No data is read.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for table in LEDGER_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(root, f"{table}.parquet")
+        if fs.exists(path):
+            files = fs.listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 class Tables:
     """Lazy name -> DataFrame map over ``{root}/{name}.parquet``.
 
