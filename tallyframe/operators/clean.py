@@ -44,10 +44,9 @@ STRICT_TYPES = {"sort_order": "bigint", "program_level": "int"}
 
 
 def _rule(deny) -> Column:
-    amt = tolerant_bigint(F.col("AMT"))
+    # NULL text and text that does not cast make NULL comparisons, which admit nothing: one cast is enough
     dept = F.trim(F.col("UACS_DPT_DSC"))
-    return (F.col("AMT").isNotNull() & amt.isNotNull() & (amt > 0)
-            & dept.isNotNull() & (dept != "") & ~dept.isin(*deny))
+    return (tolerant_bigint(F.col("AMT")) > 0) & (dept != "") & ~dept.isin(*deny)
 
 
 def admit(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
@@ -94,7 +93,7 @@ def ingest(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
 
 def castable(amt: Column) -> Column:
     """Amounts that the tolerant cast takes (the 'before' of D4 in the ingest)."""
-    return amt.isNotNull() & tolerant_bigint(amt).isNotNull()
+    return tolerant_bigint(amt).isNotNull()
 
 
 def ingest_counts(raw: DataFrame, deny=DENIED_DEPARTMENTS) -> DataFrame:
