@@ -4,8 +4,8 @@ Each line is labelled good (1) or bad (0) from its own features and those of its
 forward-backward marginals, weighted by line length, make the share of good text, which a logistic
 curve fitted on the same sample turns into the score. Lines take their document's label in training.
 
-Training uses at most ``FIT_DOCS`` labelled documents, half of each label, taken in the order of a
-hash of doc_id, and at most ``FIT_LINES`` lines of each; scoring covers every line of every text.
+Training uses at most ``FIT_DOCS`` labelled documents of ``FIT_BYTES`` together, half of each label, taken
+whole in the order of a hash of doc_id; scoring covers every line of every text.
 A null or empty text is one empty line. With no usable labels every score is 0.5.
 """
 
@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyframe.llm.rules import line_words
-from tallyframe.llm.store import documents
+from tallyframe.llm.store import documents, exact, packed, unpacked
 from tallyframe.llm.textbuf import U64, TextBuffer, class_of, mix, repeats, slices, span_sums, with_doc
 
 FIT_DOCS = 3000
-FIT_LINES = 256
+FIT_BYTES = 8 << 20
 ROUNDS = 250
 CUT = 0.7
 
@@ -185,56 +185,55 @@ def fold(col: str):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, size: int) -> DataFrame:
-    """At most ``size`` labelled documents, up to half of each label, in the order of a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, size: int, max_bytes: int) -> list[Row]:
+    """Labelled rows (doc_id, text, y), whole texts, at most ``size`` of them and ``max_bytes`` together.
 
-    The ids are bounded by ``size``, so their broadcast is too; the texts are not shuffled.
+    Up to half of each label, in the order of a hash of doc_id; equal rows count once. Places and lengths
+    are chosen first, so the driver never holds more than the bounds; the ids that are broadcast are
+    bounded by ``size`` too, and no text is shuffled.
     """
-    y = (labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    y = (exact(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
          .where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & usable("id")))
     ids = None
     for v in (0, 1):
         part = y.where(F.col("y") == v).distinct().orderBy(F.xxhash64("id"), "id").limit(size // 2)
         ids = part if ids is None else ids.unionAll(part)
     ids = ids.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
-    return documents(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
-
-
-def _feature_batches(limit: int):
-    def run(batches):
-        for b in batches:
-            for i, j in slices(b.column("text")):
-                part = b.slice(i, j - i)
-                f, size, docs = line_features(TextBuffer(part.column("text")))
-                off = np.searchsorted(docs, np.arange(len(part) + 1))
-                for k in range(len(part)):
-                    lo, hi = off[k], min(off[k + 1], off[k] + limit)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").slice(k, 1), part.column("y").slice(k, 1),
-                         pa.array([f[lo:hi].tobytes()], pa.binary()),
-                         pa.array([size[lo:hi].astype(np.int64).tobytes()], pa.binary())],
-                        names=["doc_id", "y", "features", "sizes"])
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, usable, fit_docs: int = FIT_DOCS) -> dict | None:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents(docs).select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h"))
+    places = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(
+        "id", "h", "y", F.octet_length("text").alias("bytes"))
+    first = places.distinct().orderBy(F.xxhash64("id"), "id", "h").limit(size).collect()
+    chosen, total = [], 0
+    for r in first:                         # a text that does not fit any more is left out, none is cut
+        if total + r["bytes"] <= max_bytes:
+            chosen.append((r["id"], r["h"], r["y"]))
+            total += r["bytes"]
+    if not chosen:
+        return []
+    chosen = docs.sparkSession.createDataFrame(chosen, "id long, g long, y int")
+    picked = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("g")))
+    out = picked.dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "y").limit(size).collect()
+    return sorted(out, key=lambda r: (r["doc_id"], r["text"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> dict | None:
     """Train on the bounded labelled sample. ``usable(column name)`` selects the rows to learn from."""
-    sample = labelled_sample(docs, labels, "quality", usable, fit_docs)
-    rows = (sample.mapInArrow(_feature_batches(FIT_LINES), "doc_id long, y int, features binary, sizes binary")
-            .collect())
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
+    rows = labelled_sample(docs, labels, "quality", usable, fit_docs, fit_bytes)
     if not rows:
         return None
-    f = [np.frombuffer(r["features"], np.float32).reshape(-1, N_OWN) for r in rows]
     y = np.array([r["y"] for r in rows])
-    n = np.array([len(x) for x in f])
-    docs_of, f = np.repeat(np.arange(len(rows)), n), np.concatenate(f)
+    texts, parts = pa.array([r["text"] for r in rows], pa.large_string()), []
+    for i, j in slices(texts):
+        f, size, docs_of = line_features(TextBuffer(texts.slice(i, j - i)))
+        parts.append((f, size, docs_of + i))
+    f, line_size, docs_of = (np.concatenate(x) for x in zip(*parts, strict=True))
     model = train(f, docs_of, y[docs_of])
     s = np.zeros((len(f), 2))
     s[:, 1] = with_neighbours(f, docs_of) @ model["w"]
     p, _, _ = Chains(docs_of).marginals(s, model["trans"])
-    size = np.maximum(np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in rows]), 1)
-    share = np.bincount(docs_of, p * size) / np.bincount(docs_of, size)
+    size = np.maximum(line_size, 1)
+    share = np.bincount(docs_of, p * size, len(rows)) / np.maximum(np.bincount(docs_of, size, len(rows)), 1)
     # both labels weigh the same: the sample's shares of them are not the corpus's
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     model["a"], model["b"] = calibrate(share, y, weight)
@@ -266,10 +265,10 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 def _keep_batches(model, cut):
     def run(batches):
         for b in batches:
-            for i, j in slices(b.column("_scored")):
+            for i, j in slices(b.column("text")):
                 part = b.slice(i, j - i)
-                share = good_share(TextBuffer(part.column("_scored")), model)
-                yield part.filter(pa.array(curve(share, model) >= cut)).drop_columns(["_scored"])
+                share = good_share(TextBuffer(part.column("text")), model)
+                yield part.filter(pa.array(curve(share, model) >= cut))
     return run
 
 
@@ -277,4 +276,5 @@ def keep_good(docs: DataFrame, model: dict | None, cut: float = CUT) -> DataFram
     """The documents scored at ``cut`` or above, in the columns of the input; all of them without a model."""
     if model is None:
         return docs
-    return docs.withColumn("_scored", docs["text"].cast("string")).mapInArrow(_keep_batches(model, cut), docs.schema)
+    rows = packed(docs, "text").withColumn("text", F.col("text").cast("string"))
+    return unpacked(rows.mapInArrow(_keep_batches(model, cut), rows.schema), docs, "text")

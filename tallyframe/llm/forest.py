@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.store import documents, stage
+from tallyframe.llm.store import documents, packed, stage, unpacked
 from tallyframe.llm.textbuf import _ODD, U64, TextBuffer, grams, mix, repeats, slices, with_doc
 
 SHINGLE = 5
@@ -325,8 +325,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         _signature_batches(symbols),
         "row_id long, doc_id long, text_hash long, set_key binary, n long, sig binary"), "signatures")
     worded = signed.where("n > 0")
-    reps = worded.groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("min_doc"),
-                                         F.count(F.lit(1)).alias("w"))
+    # the set's first document: the smallest id, and of its texts the one with the smallest hash
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
+    reps = worded.groupBy("set_key").agg(F.min("row_id").alias("node"), low.alias("low"), F.count(F.lit(1)).alias("w"))
+    reps = reps.select("set_key", "node", F.col("low.doc_id").alias("min_doc"), F.col("low.text_hash").alias("min_hash"), "w")
     reps = stage(reps.join(worded.select("row_id", "sig"), F.col("node") == F.col("row_id")).drop("row_id"), "texts")
 
     keys = stage(reps.select("node", "sig").mapInArrow(_key_batches(k), "key long, node long"), "prefixes")
@@ -342,11 +344,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
     groups = candidates.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
     members = candidates.join(groups, F.col("root") == F.col("comp")).select(F.col("node").alias("n"), "comp", "size")
-    members = stage(members.join(reps.select("node", "set_key", "min_doc", "w"), F.col("n") == F.col("node")).drop("n"), "members")
+    members = stage(members.join(reps.select("node", "set_key", "min_doc", "min_hash", "w"), F.col("n") == F.col("node")).drop("n"), "members")
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    sets = (rows.join(side, F.col("doc_id").eqNullSafe(F.col("min_doc")))
-            .select("text", "node", "comp", "size", "w", "set_key")
-            .mapInArrow(_set_batches(symbols), "node long, comp long, size long, w long, set binary, sketch binary"))
+    # by id and text, so that rows which share an id (or have none) meet only the set of their own text
+    own = F.col("doc_id").eqNullSafe(F.col("min_doc")) & (F.xxhash64("text") == F.col("min_hash"))
+    sets = (rows.join(side, own).select("text", "node", "comp", "size", "w", "set_key")
+            .mapInArrow(_set_batches(symbols), "node long, comp long, size long, w long, set binary, sketch binary")
+            .dropDuplicates(["node"]))                   # repeated rows
     sets = in_blocks(sets, "size", BLOCK).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
     links = stage(sets.mapInArrow(_verify_batches(symbols, least, threshold),
                                   "a long, b long, links long, texts long"), "links")
@@ -385,8 +389,8 @@ def _sketch_batches(batches):
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with one of each class left, in the columns of the input."""
-    kept = near_duplicates(docs, **parameters).where("keep").select("doc_id", "text_hash").distinct()
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept"))
-    out = left.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    kept = near_duplicates(docs, **parameters).where("keep").select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("kept_hash")).distinct()
+    left = packed(docs, "doc_id", "text").withColumn("hash", F.xxhash64(F.col("text").cast("string")))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("kept_hash"))
+    return unpacked(left.join(kept, own, "left_semi").dropDuplicates(["doc_id", "hash"]), docs, "doc_id", "text")

@@ -14,7 +14,9 @@ GROUP = 2000
 WORD = "0-9A-Za-zª²³µ¹º¼-¾À-ÖØ-öø-ɏ"
 # Beyond that alphabet, with contractions, or with white space that libraries class differently,
 # only the breaks before plain white space are sure; other odd white space leaves none.
-HARD = re.compile("<[|]|['ɐ-\U0010ffff\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0İ]")
+# So are letters whose lower case is no letter below U+0250, since lower-casing is done before cutting.
+_LEAVING = "".join(c for c in map(chr, range(0x80, 0x250)) if re.fullmatch(f"[{WORD}]", c) and not re.fullmatch(f"[{WORD}]+", c.lower()))
+HARD = re.compile("<[|]|['ɐ-\U0010ffff\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0" + _LEAVING + "]")
 ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 SPACED = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 SPACED_PARTS = re.compile(f"[ \n\t\r]*(?:[{WORD}]+|[^ \n\t\r{WORD}]+)|[ \n\t\r]+")
@@ -22,13 +24,15 @@ PARTS = re.compile(f"[{WORD}]+|[^ \n\t\r{WORD}]+")
 
 
 # Bytes of texts without hard places; any other byte makes the pattern decide.
-SURE = bytes(b for b in range(0x80) if not HARD.search(chr(b))) + bytes(range(0x80, 0xC0)) + bytes(range(0xC3, 0xC9))
+_LEADS = {c.encode()[0] for c in _LEAVING}
+SURE = (bytes(b for b in range(0x80) if not HARD.search(chr(b))) + bytes(range(0x80, 0xC0))
+        + bytes(b for b in range(0xC3, 0xC9) if b not in _LEADS))
 
 
 def is_hard(text: str) -> bool:
     if text.encode("utf-8", "surrogatepass").translate(None, SURE):
         return bool(HARD.search(text))
-    return "<|" in text or "İ" in text
+    return "<|" in text
 
 
 def byte_level_chunks(text: str) -> list[str]:

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.store import documents, packed, text_columns, unpacked
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "number", "secret")
 
@@ -123,7 +125,7 @@ def _votes(s, text):
 def spans(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` with ``text``, its base spans and its candidates for further ones."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(*[docs[f"`{c}`"] for c in keep], t.alias("text"))
+    d = docs.select(*keep, t.alias("text"))
     digit = F.col("text").rlike("[0-9]")
     guards = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": digit & F.col("text").contains("+"),
               "address": F.col("text").rlike(r"[(\[ ]dot[)\] ]"), "number": digit, "secret": digit}
@@ -239,7 +241,7 @@ def _listed(array, kinds):
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts and places of the spans of every document."""
-    d = detect(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), "doc_id")
+    d = detect(documents(docs).select(F.col("doc_id").cast("long"), "text"), "doc_id")
     base = _listed(F.col("base"), BASE)
     return d.select(
         "doc_id", *[F.size(_of(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in BASE],
@@ -252,8 +254,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     A null text becomes an empty one.
     """
-    others = [c for c in docs.columns if c != "text"]
-    d = detect(docs, *others)
+    names = text_columns(docs)
+    d = detect(packed(docs, *names), *names[1:], "other_columns")
     ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["s"].alias("s"), (-s["e"]).alias("e"), s["kind"].alias("kind"))))
 
     def step(acc, s):
@@ -265,6 +267,6 @@ def redact(docs: DataFrame) -> DataFrame:
     whole = F.aggregate(ordered, start, step, lambda a: F.concat(
         a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
     d = d.withColumn("text", F.when(F.size(ordered) > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in others:
+    if "n_chars" in names:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    return unpacked(d, docs, *names)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.store import documents, stage
+from tallyframe.llm.store import documents, packed, stage, text_columns, unpacked
 from tallyframe.llm.textbuf import (
     FOLDED, U64, TextBuffer, class_of, grams, mix, repeats, slices, span_sums, with_doc,
 )
@@ -146,14 +146,29 @@ def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HO
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("r", "removed_words")
 
 
+def _without_lines(batches):
+    """Texts without their removed lines, in the order of the lines: linear in the text."""
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        texts, removed = b.column("text").to_pylist(), b.column("removed_lines").to_pylist()
+        for i, gone in enumerate(removed):
+            if gone:
+                lines = texts[i].split("\n")
+                left = np.ones(len(lines), bool)
+                left[gone] = False
+                texts[i] = "\n".join([lines[k] for k in np.flatnonzero(left)])
+        yield b.set_column(at, "text", pa.array(texts, b.schema.field(at).type))
+
+
 def apply_rules(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that are kept, without their removed lines, in the columns of the input."""
     found = (line_rules(docs, **parameters).where("kept").dropDuplicates(["doc_id", "text_hash"])
-             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept"), F.col("removed_lines").alias("_lines")))
-    left = docs.withColumn("_hash", F.xxhash64(docs["text"].cast("string")))
-    d = left.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_kept")))
-    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
-    d = d.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    if "n_chars" in docs.columns:
+             .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("kept_hash"), "removed_lines"))
+    names = text_columns(docs)
+    left = packed(docs, "doc_id", *names).withColumn("hash", F.xxhash64(F.col("text").cast("string")))
+    d = left.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("kept_hash")))
+    d = d.select("doc_id", F.col("text").cast("string"), *names[1:], "other_columns", "removed_lines")
+    d = d.mapInArrow(_without_lines, d.schema)
+    if "n_chars" in names:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    return unpacked(d, docs, "doc_id", *names)

@@ -35,6 +35,26 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
     return by_place.select(*[F.col(f"_{i}").alias(c) for i, c in zip(at, names, strict=True)])
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """These columns by their exact names, and all others in one struct, so that no name of theirs can clash."""
+    at = [df.columns.index(c) for c in names]
+    by_place = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    others = [F.col(f"_{i}") for i in range(len(df.columns)) if i not in at]
+    return by_place.select(*[F.col(f"_{i}").alias(c) for i, c in zip(at, names, strict=True)],
+                           F.struct(F.lit(0).alias("_"), *others).alias("other_columns"))
+
+
+def unpacked(rows: DataFrame, df: DataFrame, *names: str) -> DataFrame:
+    """``packed`` rows in the columns of ``df`` again, with what ``names`` hold now."""
+    at = {df.columns.index(c): c for c in names}
+    return rows.select(*[F.col(at[i] if i in at else f"other_columns._{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def text_columns(df: DataFrame) -> tuple[str, ...]:
+    """The columns that a change of the text changes."""
+    return ("text", "n_chars") if "n_chars" in df.columns else ("text",)
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """The columns an operator on documents works on."""
     return exact(df, "doc_id", "text", *extra)

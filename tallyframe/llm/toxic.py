@@ -12,8 +12,8 @@ summed up per document (largest, sum of the largest three, mean, sum and numbers
 thresholds). A logistic curve over these, fitted on documents that were not used for the dictionaries,
 gives the score.
 
-Learning uses at most ``FIT_DOCS`` labelled documents, half of each label, in the order of a hash of
-doc_id, and at most ``FIT_CHARS`` characters of each; scoring reads every window of every text.
+Learning uses at most ``FIT_DOCS`` labelled documents of ``FIT_BYTES`` together, half of each label, whole and
+in the order of a hash of doc_id; scoring reads every window of every text.
 Null and empty texts have no windows and get the curve's value at zero. Without toxic and ordinary
 labels every score is 0.
 """
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.crf import labelled_sample
-from tallyframe.llm.store import documents
+from tallyframe.llm.store import documents, exact
 from tallyframe.llm.textbuf import TextBuffer, grams, mix, slices, with_doc
 
 WINDOW = 64
 FIT_DOCS = 4000
-FIT_CHARS = 20_000
+FIT_BYTES = 10 << 20
 CLASS_BYTES = 16 << 10     # a class's own segments
 SHARED_BYTES = 40 << 10    # common words in both dictionaries
 LEAST = 3                  # documents that hold a segment
@@ -259,18 +259,22 @@ def curve(x: np.ndarray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, fit_docs: int = FIT_DOCS) -> dict | None:
+def first_part(doc_id: int) -> bool:
+    """Three of five ids: their texts make the dictionaries, the others choose among them and fit the curve."""
+    return int(mix(np.array([doc_id & (2 ** 64 - 1)], np.uint64))[0] % np.uint64(5)) < 3
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> dict | None:
     """Dictionaries from three fifths of the bounded sample, the curve from the rest."""
-    sample = labelled_sample(docs, labels, "toxic", usable, fit_docs)
-    rows = sample.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"), "y",
-                         (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) < 3).alias("first")).collect()
-    rows = sorted((r["doc_id"], r["text"] or "", r["y"], r["first"]) for r in rows)
+    rows = [(r["doc_id"], r["text"], r["y"], first_part(r["doc_id"]))
+            for r in labelled_sample(docs, labels, "toxic", usable, fit_docs, fit_bytes)]
     if len({r[2] for r in rows}) < 2:
         return None
     own = [r for r in rows if r[3]] or rows
     rest = [r for r in rows if not r[3]]
     rest = rest if len({r[2] for r in rest}) == 2 else rows
-    share = (labels.where(F.col("toxic").isin(0, 1) & usable("doc_id")).agg(F.avg("toxic")).first()[0]) or 0.5
+    marked = exact(labels, "doc_id", "toxic")
+    share = (marked.where(F.col("toxic").isin(0, 1) & usable("doc_id")).agg(F.avg("toxic")).first()[0]) or 0.5
     return learn([r[1:3] for r in own], [r[1:3] for r in rest], share)
 
 
