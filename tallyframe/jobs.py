@@ -81,14 +81,14 @@ def workshop(spark: SparkSession, csv: str, out: str) -> None:
 def regions(spark: SparkSession, src: str, out: str, tolerance: float = 0.015,
             multiline: bool = True) -> None:
     """Region polygons: map labels (report unmapped), simplify, write features by region_id."""
-    v = geojson.read_features(spark, src, multiline=multiline)
-    others = geojson.read_other_geometries(spark, src, multiline=multiline)
+    read = geojson.features(spark, src, multiline)
+    v, others = geojson.vertices(read), geojson.other_geometries(read)
     feats = v.select("feature", "gtype").unionAll(others.select("feature", "gtype")).distinct()
     mapped, unmapped = geo.map_labels(feats, geo.label_table(spark))
     unmapped.show(truncate=False)
     v = v.join(mapped.select("feature"), "feature", "left_semi")
     kept = geo.simplify_rings(v, tolerance)
-    geojson.write_features(geojson.feature_lines(kept, mapped, others), f"{out}/regions")
+    geojson.write_collection(kept, mapped, f"{out}/regions", others)
     geo.vertex_totals(v, kept).show(truncate=False)
 
 

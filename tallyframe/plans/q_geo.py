@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from tallyframe.operators import geo
 from tallyframe.plans.catalog import query
 from tallyframe.plans.oracle import define, sql
+from tallyframe.session import scratch_path
 from tallyframe.sources import geojson
 
 TOLERANCE = 0.015
@@ -91,9 +94,40 @@ def _g5(c):
     return geo.vertex_totals(v, geo.simplify_rings(v, TOLERANCE))
 
 
-@query("s10_feature_lines", None)
+# positions, rings and polygons counted anew within what holds them, as a written document has them
+define("written_vertices", """SELECT p.region_id, p.region_name, p.region_short, p.gtype, v.feature,
+    dense_rank() OVER (PARTITION BY v.feature ORDER BY v.poly_no) - 1 AS poly_no,
+    dense_rank() OVER (PARTITION BY v.feature, v.poly_no ORDER BY v.ring_no) - 1 AS ring_no,
+    row_number() OVER (PARTITION BY v.feature, v.poly_no, v.ring_no ORDER BY v.pos) - 1 AS pos, v.x, v.y
+  FROM rings_simplified v JOIN feature_props p ON v.feature = p.feature""", "rings_simplified", "feature_props")
+
+
+def _written(c) -> str:
+    """The simplified features as one document in the shared scratch folder."""
+    return geojson.write_collection(geo.simplify_rings(_vertices(c), TOLERANCE), _props(c), scratch_path(c.spark, "collection"))
+
+
+@query("s10_feature_lines", sql("""SELECT region_id, region_name, region_short, gtype, count(DISTINCT poly_no) AS polygons,
+    count(DISTINCT (poly_no, ring_no)) AS rings, count(*) AS vertices FROM written_vertices
+  GROUP BY feature, region_id, region_name, region_short, gtype""", "written_vertices"))
 def _s10(c):
-    return geojson.feature_lines(geo.simplify_rings(_vertices(c), TOLERANCE), _props(c))
+    """The written document read again: a row for each of its features."""
+    read = geojson.features(c.spark, _written(c), multiline=True)
+    gtype, coordinates = F.col("geometry.type"), F.col("geometry.coordinates")
+    polys = F.when(gtype == "Polygon", F.array(F.from_json(coordinates, "array<array<array<double>>>"))).otherwise(
+        F.from_json(coordinates, "array<array<array<array<double>>>>"))
+    rings = F.flatten("polys")
+    return read.select(*[F.col("properties")[n].alias(n) for n in ("region_id", "region_name", "region_short")],
+                       gtype.alias("gtype"), polys.alias("polys")).select(
+        "region_id", "region_name", "region_short", "gtype", F.size("polys").cast("bigint").alias("polygons"),
+        F.size(rings).cast("bigint").alias("rings"), F.size(F.flatten(rings)).cast("bigint").alias("vertices"))
+
+
+@query("s5_collection_scan", sql("SELECT region_id AS feature, gtype, poly_no, ring_no, pos, x, y FROM written_vertices",
+                                 "written_vertices"))
+def _s5(c):
+    """Every vertex of the one document, read by as many tasks as it has splits."""
+    return geojson.read_features(c.spark, _written(c), label="region_id", multiline=True)
 
 
 @query("j3_mapped_features", sql("SELECT * FROM feature_props", "feature_props"))

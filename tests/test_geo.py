@@ -92,6 +92,13 @@ def circle(cx, cy, r, n=2000):
     return pts + [pts[0]]
 
 
+def document(folder):
+    """The features of a written document: its part files in the order of their names."""
+    doc = json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+    assert doc["type"] == "FeatureCollection"
+    return doc["features"]
+
+
 def test_geojson_round_trip(spark, tmp_path):
     fc = {"type": "FeatureCollection", "features": [
         {"type": "Feature", "properties": {"REGION": "Metropolitan Manila"},
@@ -109,16 +116,15 @@ def test_geojson_round_trip(spark, tmp_path):
     mapped, unmapped = geo.map_labels(feats, geo.label_table(spark))
     assert [r.feature for r in unmapped.collect()] == ["Atlantis"]
     kept = geo.simplify_rings(v.join(mapped.select("feature"), "feature", "left_semi"), 0.015)
-    lines = geojson.feature_lines(kept, mapped)
-    out = geojson.write_features(lines, str(tmp_path / "out"))
-    docs = [json.loads(line) for p in sorted((tmp_path / "out").glob("part-*")) for line in p.read_text().splitlines()]
+    out = geojson.write_collection(kept, mapped, str(tmp_path / "out"))
+    docs = document(tmp_path / "out")
     assert [d["properties"]["region_id"] for d in docs] == ["13", "16"]
     ncr, caraga = docs
     assert ncr["geometry"]["type"] == "Polygon" and len(ncr["geometry"]["coordinates"]) == 1
     ring = ncr["geometry"]["coordinates"][0]
     assert ring[0] == ring[-1] and 4 <= len(ring) < 200
     assert caraga["geometry"]["type"] == "MultiPolygon" and len(caraga["geometry"]["coordinates"]) == 1
-    back = geojson.read_features(spark, out, label="region_id")
+    back = geojson.read_features(spark, out, label="region_id", multiline=True)
     assert back.count() == kept.count()
 
 
@@ -160,6 +166,7 @@ def test_feature_lines_input_and_other_geometry_types(spark, tmp_path):
     others = geojson.read_other_geometries(spark, str(src))
     feats = v.select("feature", "gtype").unionAll(others.select("feature", "gtype")).distinct()
     mapped, _ = geo.map_labels(feats, geo.label_table(spark))
-    out = [json.loads(r.json) for r in geojson.feature_lines(geo.simplify_rings(v, 0.015), mapped, others).collect()]
+    geojson.write_collection(geo.simplify_rings(v, 0.015), mapped, str(tmp_path / "out"), others)
+    out = document(tmp_path / "out")
     points = [d for d in out if d["geometry"]["type"] == "Point"]
     assert len(out) == 2 and points[0]["geometry"]["coordinates"] == [125.5, 9.0]

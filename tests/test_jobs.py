@@ -54,5 +54,5 @@ def test_regions_job(spark, tmp_path, capsys):
     jobs.regions(spark, str(src), str(tmp_path / "out"))
     out = capsys.readouterr().out
     assert "Nowhere" in out
-    docs = [json.loads(line) for p in (tmp_path / "out/regions").glob("part-*") for line in p.read_text().splitlines()]
+    docs = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out/regions").glob("part-*"))))["features"]
     assert [d["properties"]["region_short"] for d in docs] == ["NCR"]
