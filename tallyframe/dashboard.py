@@ -47,6 +47,9 @@ class Dashboard:
     def agency_pivot(self, department_short: str, k: int = 15) -> DataFrame:
         return concentration.pivot_top(self.agg["agg_agency"], department_short, k)
 
+    def agency_chart(self, department_short: str, k: int = 15) -> DataFrame:
+        return concentration.pivot_chart(self.agency_pivot(department_short, k))
+
     # line items
     def line_items(self, page_no: int = 0, search: str | None = None, category: str | None = None,
                    order_by: str = "amount_php", desc: bool = True) -> DataFrame:

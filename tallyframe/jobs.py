@@ -18,7 +18,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tallyframe.operators import brief, clean, explore, gates, geo, lattice, profile, rollup
-from tallyframe.session import checkpoint_dir
+from tallyframe.session import checkpoint_dir, scratch_path
 from tallyframe.sources import geojson, jsonio
 from tallyframe.sources.parquet import DETAIL_PARTITIONS, ingest_stage_counts, publish, write_parquet
 from tallyframe.sources.text import read_csv_text, read_parquet_text
@@ -53,19 +53,16 @@ def validate(spark: SparkSession, data: str) -> None:
 
 
 def audit(spark: SparkSession, csv: str) -> None:
-    """E4 step 1: schema, rows, missingness, duplicates, whitespace, categories, bad amounts."""
+    """E4 step 1: schema, a sample, rows, missingness, duplicates, whitespace, categories, bad amounts."""
     raw = read_csv_text(spark, csv)
-    for df in (profile.schema_listing(raw), profile.row_count(raw), profile.missingness(raw),
-               profile.duplicate_count(raw), profile.whitespace(raw),
-               profile.distinct_values(raw, "category"), profile.non_numeric(raw)):
+    for df in (profile.schema_listing(raw), profile.sample(raw), *profile.report(raw).values()):
         df.show(truncate=False)
 
 
 def workshop(spark: SparkSession, csv: str, out: str) -> None:
     """E4 steps 2-3: clean, assert (V8), export snappy + round trip (V9), chart series, brief."""
     raw = read_csv_text(spark, csv)
-    cleaned = clean.clean_workshop(raw)
-    gates.enforce(gates.pre_export(cleaned, raw))
+    cleaned = gates.checked_export(raw, clean.clean_workshop, scratch_path(spark, "cleaned"))
     gates.round_trip(cleaned, f"{out}/cleaned_dataset.parquet").show(truncate=False)
     data = spark.read.parquet(f"{out}/cleaned_dataset.parquet")
     explore.top_k(data, "amount", 5, tie=("id",)).show(truncate=False)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.format import DASHBOARD_DECIMALS, abbrev
 from tallyframe.functions.money import dround, pct
+from tallyframe.functions.text import truncate_label
 from tallyframe.functions.util import as_col
 from tallyframe.operators.selection import order_statistics, row_numbers
 
@@ -248,3 +249,9 @@ def pivot_top(agg_agency: DataFrame, department_short: str, k: int = 15,
     piv = (rows.join(F.broadcast(chosen.select("agency_name")), "agency_name", "left_semi")   # k rows
            .groupBy("agency_name").pivot("expense_category", list(categories)).agg(F.sum("total_php")))
     return piv.na.fill(0, subset=list(categories))
+
+
+def pivot_chart(pivot: DataFrame, categories=("PS", "MOOE", "CO", "FE", "Other")) -> DataFrame:
+    """The columns of the drill-down chart: the agency's label (over 30 characters: 28 and an ellipsis) and billions."""
+    return pivot.select("agency_name", truncate_label("agency_name", 30, 28).alias("label"),
+                        *[(F.col(c).cast("double") / F.lit(1e9)).alias(f"{c.lower()}_billions") for c in categories])

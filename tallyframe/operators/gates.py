@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,27 +204,55 @@ def enforce(check_frame: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- workshop
 
-def pre_export(cleaned: DataFrame, raw: DataFrame,
-               columns=("id", "department", "agency", "amount", "category", "region")) -> DataFrame:
-    """V8: no NULLs in the core columns; 0 < rows <= raw rows; no negative amount."""
+EXPORT_COLUMNS = ("id", "department", "agency", "amount", "category", "region")
+
+
+def export_measures(columns=EXPORT_COLUMNS) -> list[Column]:
+    """What V8 asks of the cleaned rows."""
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in columns])
-    one = cleaned.agg(nulls.alias("nulls"), F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.col("amount") < 0).alias("neg")).select(
-        "*", raw.agg(F.count(F.lit(1))).scalar().alias("raw_n"))
+    return [nulls.alias("nulls"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount") < 0).alias("neg")]
+
+
+def pre_export(cleaned: DataFrame, raw: DataFrame, columns=EXPORT_COLUMNS) -> DataFrame:
+    """V8: no NULLs in the core columns; 0 < rows <= raw rows; no negative amount."""
+    return export_checks(cleaned.agg(*export_measures(columns)).select(
+        "*", raw.agg(F.count(F.lit(1))).scalar().alias("raw_n")))
+
+
+def export_checks(one: DataFrame) -> DataFrame:
+    """V8 from one row of ``export_measures`` and ``raw_n``."""
     return checks(one, [
         ("V8", "zero nulls in core fields", F.col("nulls"), 0, 0),
         ("V8", "row count within [1, raw rows]", F.col("n"), F.lit(1), F.col("raw_n")),
         ("V8", "all amounts non-negative", F.col("neg"), 0, 0)])
 
 
+def checked_export(raw: DataFrame, clean, staging: str) -> DataFrame:
+    """V8 while the cleaned table is made: one run counts the raw rows, cleans, measures and writes.
+
+    Returns the staged table if every check passes, else raises; nothing is exported before.
+    """
+    spark, seen, kept = raw.sparkSession, Observation(), Observation()
+    cleaned = clean(raw.observe(seen, F.count(F.lit(1)).alias("raw_n")))
+    cleaned.observe(kept, *export_measures()).write.mode("overwrite").parquet(staging)
+    facts = {**kept.get, **seen.get}
+    enforce(export_checks(spark.createDataFrame([tuple(facts.values())], ", ".join(f"{c} long" for c in facts))))
+    return spark.read.schema(cleaned.schema).parquet(staging)
+
+
 def round_trip(cleaned: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
-    """S7 + V9: write parquet, re-read it, compare count and SUM(amount) with the frame written."""
-    cleaned.write.mode("overwrite").option("compression", codec).parquet(path)
+    """S7 + V9: write parquet, re-read it, compare count and SUM(amount) with the frame written.
+
+    The count and sum before are observed while the rows are written, so the frame runs once.
+    """
+    seen = Observation()
+    observed = cleaned.observe(seen, F.count(F.lit(1)).alias("rows_before"),
+                               F.sum("amount").cast("decimal(38,2)").alias("total_before"))
+    observed.write.mode("overwrite").option("compression", codec).parquet(path)
+    before = seen.get
     back = cleaned.sparkSession.read.parquet(path)
-    before = cleaned.agg(F.count(F.lit(1)).alias("rows_before"),
-                         F.sum("amount").cast("decimal(38,2)").alias("total_before"))
     after = back.agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("decimal(38,2)").alias("total"))
     return after.select(
-        "rows", "total", *[before.select(c).scalar().alias(c) for c in before.columns]).select(
-        "rows", "total", "rows_before", "total_before",
-        ((F.col("rows") == F.col("rows_before")) & (F.col("total") == F.col("total_before"))).alias("matches"))
+        "rows", "total", F.lit(before["rows_before"]).cast("bigint").alias("rows_before"),
+        F.lit(before["total_before"]).cast("decimal(38,2)").alias("total_before")).select(
+        "*", ((F.col("rows") == F.col("rows_before")) & F.col("total").eqNullSafe(F.col("total_before"))).alias("matches"))

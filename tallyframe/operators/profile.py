@@ -44,20 +44,27 @@ def _unpivot(agg: DataFrame, names: list[str], value: str) -> DataFrame:
 def missingness(df: DataFrame, columns=None, sentinels=MISSING_SENTINELS) -> DataFrame:
     """Q3: per column, rows that are NULL, blank or a sentinel; count and % (1 dp)."""
     names = list(columns or df.columns)
-    aggs = [F.count_if(F.col(c).isNull() | (F.trim(F.col(c)) == "")
-                       | F.upper(F.trim(F.col(c))).isin(*sentinels)).alias(f"_{i}")
+    return _missing_rows(df.agg(F.count(F.lit(1)).alias("total"), *_missing_counts(names, sentinels)), names)
+
+
+def _missing_counts(names, sentinels=MISSING_SENTINELS):
+    return [F.count_if(F.col(c).isNull() | (F.trim(F.col(c)) == "") | F.upper(F.trim(F.col(c))).isin(*sentinels)).alias(f"_{i}")
             for i, c in enumerate(names, start=1)]
-    agg = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
-    out = _unpivot(agg, names, "missing")
-    return out.select("position", "column_name", "missing", "total",
-                      pct(F.col("missing"), F.col("total"), 1).alias("pct"))
+
+
+def _missing_rows(agg: DataFrame, names: list[str]) -> DataFrame:
+    return _unpivot(agg, names, "missing").select(
+        "position", "column_name", "missing", "total", pct(F.col("missing"), F.col("total"), 1).alias("pct"))
 
 
 def whitespace(df: DataFrame, columns=("department", "category")) -> DataFrame:
     """Q4: per column, rows whose value differs from its trimmed value."""
     names = list(columns)
-    aggs = [F.count_if(F.col(c) != F.trim(F.col(c))).alias(f"_{i}") for i, c in enumerate(names, start=1)]
-    return _unpivot(df.agg(*aggs), names, "rows")
+    return _unpivot(df.agg(*_padded_counts(names)), names, "rows")
+
+
+def _padded_counts(names):
+    return [F.count_if(F.col(c) != F.trim(F.col(c))).alias(f"_{i}") for i, c in enumerate(names, start=1)]
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -67,9 +74,13 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def non_numeric(df: DataFrame, column: str = "amount") -> DataFrame:
     """Q6: present, non-blank values that do not parse as a number after comma removal."""
+    return df.agg(_bad_amounts(column))
+
+
+def _bad_amounts(column: str):
     c = F.col(column)
     bad = c.isNotNull() & (F.trim(c) != "") & F.replace(c, F.lit(","), F.lit("")).try_cast("double").isNull()
-    return df.agg(F.count_if(bad).alias("bad_amounts"))
+    return F.count_if(bad).alias("bad_amounts")
 
 
 def normalized_key(department="department", agency="agency", amount="amount", category="category"):
@@ -84,4 +95,21 @@ def normalized_key(department="department", agency="agency", amount="amount", ca
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """D3: COUNT(*) - COUNT(DISTINCT normalized key); a NULL key counts as a duplicate."""
-    return df.agg((F.count(F.lit(1)) - F.count_distinct(normalized_key())).alias("duplicate_rows"))
+    return df.agg(_repeated_rows())
+
+
+def _repeated_rows():
+    return (F.count(F.lit(1)) - F.count_distinct(normalized_key())).alias("duplicate_rows")
+
+
+def report(df: DataFrame, padded=("department", "category"), category: str = "category") -> dict[str, DataFrame]:
+    """Q2, Q3, D3, Q4 and Q6 of a table from one pass over it (one row), and Q5, which lists values, from its own."""
+    names, spark = list(df.columns), df.sparkSession
+    one = df.agg(F.count(F.lit(1)).alias("total"), *_missing_counts(names),
+                 *[c.alias(f"p{i}") for i, c in enumerate(_padded_counts(padded))], _bad_amounts("amount"), _repeated_rows())
+    facts = spark.createDataFrame([one.first()], one.schema)
+    padding = facts.select(*[F.col(f"p{i}").alias(f"_{i + 1}") for i in range(len(padded))])
+    return {"row_count": facts.select(F.col("total").alias("rows")),
+            "missingness": _missing_rows(facts.select("total", *[f"_{i}" for i in range(1, len(names) + 1)]), names),
+            "duplicates": facts.select("duplicate_rows"), "whitespace": _unpivot(padding, list(padded), "rows"),
+            "categories": distinct_values(df, category), "non_numeric": facts.select("bad_amounts")}

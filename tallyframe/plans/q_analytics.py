@@ -181,6 +181,51 @@ def _m13(c):
     return concentration.pivot_top(c.agg_agency, DRILL_DEPARTMENT)
 
 
+# the test agencies' names are short: the chart is asked for programs, whose descriptions are not
+define("program_rows", f"""SELECT department_short, program_description || ' (' || object_description || ')' AS agency_name,
+    expense_category, CAST(SUM(amount_php) AS DECIMAL(38,0)) AS total_php
+  FROM detail WHERE department_short = '{DRILL_DEPARTMENT}' GROUP BY ALL""", "detail")
+
+
+@query("m13_drill_down_chart", sql(f"""SELECT agency_name,
+    CASE WHEN length(agency_name) > 30 THEN substr(agency_name, 1, 28) || '…' ELSE agency_name END AS label, {', '.join(
+    f"CAST(COALESCE(SUM(CASE WHEN expense_category = '{k}' THEN total_php END), 0) AS DOUBLE) / 1e9 AS {k.lower()}_billions"
+    for k in _CATS)}
+  FROM program_rows WHERE agency_name IN (SELECT agency_name FROM program_rows GROUP BY agency_name
+    ORDER BY MAX(total_php) DESC, agency_name LIMIT 15)
+  GROUP BY agency_name""", "program_rows"))
+def _m13chart(c):
+    name = F.concat("program_description", F.lit(" ("), "object_description", F.lit(")"))
+    rows = (c.detail.where(F.col("department_short") == DRILL_DEPARTMENT)
+            .groupBy("department_short", name.alias("agency_name"), "expense_category")
+            .agg(F.sum(F.col("amount_php").cast("decimal(38,0)")).alias("total_php")))
+    return concentration.pivot_chart(concentration.pivot_top(rows, DRILL_DEPARTMENT))
+
+
+@query("f2_long_labels", sql("""SELECT DISTINCT name, CASE WHEN length(name) > 40 THEN substr(name, 1, 38) || '…' ELSE name END AS label
+  FROM (SELECT fund_subcategory || ' / ' || program_description || ' / ' || object_description AS name FROM detail)""", "detail"))
+def _f2(c):
+    """Fund labels of over 40 characters: the fund with its program and object."""
+    from tallyframe.functions.text import truncate_label
+
+    name = F.concat_ws(" / ", "fund_subcategory", "program_description", "object_description")
+    whole = F.when(F.col("fund_subcategory").isNotNull() & F.col("program_description").isNotNull()
+                   & F.col("object_description").isNotNull(), name)
+    return c.detail.select(whole.alias("name")).distinct().select("name", truncate_label("name", 40, 38).alias("label"))
+
+
+@query("f1_map_labels", sql(f"""SELECT region_id, {', '.join(
+    f"{sql_abbrev(f'{k}_php', (None, 1, 0, None))} AS {k}_label" for k in ('total', 'ps', 'mooe', 'co', 'fe'))},
+    {sql_abbrev('CAST(total_php AS DOUBLE) / 1000', (None, 1, 0, None))} AS thousandth_label
+  FROM agg_region""", "agg_region"))
+def _f1map(c):
+    from tallyframe.functions import format as fm
+
+    return c.agg_region.select("region_id", *[fm.abbrev(F.col(f"{k}_php"), fm.MAP_DECIMALS).alias(f"{k}_label")
+                                              for k in ("total", "ps", "mooe", "co", "fe")],
+                               fm.abbrev(F.col("total_php").cast("double") / 1000, fm.MAP_DECIMALS).alias("thousandth_label"))
+
+
 @query("m14_relative_to_max", sql(f"""SELECT *, {dround(
     'CAST(total_php AS DOUBLE) / NULLIF(CAST(MAX(total_php) OVER () AS DOUBLE), 0.0)', 4)} AS rel_to_max
   FROM (SELECT * FROM agg_department ORDER BY total_php DESC, department_code, department_name LIMIT 10)""",

@@ -58,8 +58,8 @@ def _q6(c):
     return profile.non_numeric(c.wraw)
 
 
-@query("d3_duplicate_count", sql("""SELECT CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows
-  FROM (SELECT COUNT(*) AS n FROM wraw GROUP BY lower(trim(department)), lower(trim(ifnull(agency, ''))),
+@query("d3_duplicate_count", sql("""SELECT CAST(SUM(CASE WHEN no_department THEN n ELSE n - 1 END) AS BIGINT) AS duplicate_rows
+  FROM (SELECT COUNT(*) AS n, department IS NULL AS no_department FROM wraw GROUP BY department IS NULL, lower(trim(department)), lower(trim(ifnull(agency, ''))),
         translate(trim(ifnull(amount, '')), ', ', ''), lower(trim(ifnull(category, ''))))""", "wraw"))
 def _d3(c):
     return profile.duplicate_count(c.wraw)
@@ -162,6 +162,17 @@ def _v0(c):
     return gates.files_readable(c.spark, paths)
 
 
+@query("v0_missing_file", """SELECT 'V0' AS gate, name || ' exists' AS "check", CAST(there AS DECIMAL(38,0)) AS observed,
+    CAST(1 AS DECIMAL(38,0)) AS lower, CAST(1 AS DECIMAL(38,0)) AS upper, there = 1 AS passed
+  FROM (VALUES ('agg_region', 1), ('agg_expense', 1), ('agg_nowhere', 0), ('broken', 0)) AS v(name, there)""")
+def _v0m(c):
+    """Two published files, one that is not there and one that is not Parquet."""
+    root = scratch_path(c.spark, "published-in-part")
+    paths = publish({"agg_region": c.agg_region, "agg_expense": c.agg_expense}, root)
+    c.agg_expense.select("expense_category").write.text(f"{root}/broken.parquet")
+    return gates.files_readable(c.spark, {**paths, "agg_nowhere": f"{root}/agg_nowhere.parquet", "broken": f"{root}/broken.parquet"})
+
+
 @query("v8_pre_export", sql(" UNION ALL ".join([
     _chk("V8", "zero nulls in core fields", " + ".join(
         f"COUNT(*) FILTER (WHERE {k} IS NULL)" for k in W_COLUMNS), 0, 0, "wclean"),

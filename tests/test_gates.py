@@ -102,3 +102,34 @@ def test_files_gate(spark, base, tmp_path):
     detail.limit(5).write.parquet(p)
     rows = gates.files_readable(spark, {"budget_detail": p, "missing": str(tmp_path / "nope")}).collect()
     assert [r.passed for r in rows] == [True, False]
+
+
+def test_checked_export_cleans_once_and_stops_before_the_export(spark, tmp_path):
+    from tallyframe.operators import clean
+    schema = "id string, department string, agency string, amount string, category string, region string"
+    raw = spark.createDataFrame([("1", "a", "x", "5", "MOOE", "N"), ("2", "a", "x", "5", "MOOE", "N"), ("3", "b", None, "1,000", None, "")], schema)
+    runs = []
+
+    def counted(df):
+        runs.append(1)
+        return clean.clean_workshop(df)
+
+    staged = gates.checked_export(raw, counted, str(tmp_path / "staged"))
+    assert len(runs) == 1 and sorted(r.id for r in staged.collect()) == [1, 3]
+    row = gates.round_trip(staged, str(tmp_path / "out")).first()
+    assert (row.rows, row.rows_before, row.matches) == (2, 2, True) and row.total == row.total_before == 1005
+    with pytest.raises(gates.GateFailure, match="row count"):
+        gates.checked_export(raw.limit(0), clean.clean_workshop, str(tmp_path / "none"))
+    empty = gates.round_trip(staged.limit(0), str(tmp_path / "empty")).first()
+    assert (empty.rows, empty.total, empty.matches) == (0, None, True)
+
+
+def test_a_report_of_one_pass_equals_its_parts(spark):
+    from tallyframe.operators import profile
+    from tallyframe.plans.context import Ledger
+    raw = Ledger(spark, SF001).wraw
+    got = profile.report(raw)
+    want = {"row_count": profile.row_count(raw), "missingness": profile.missingness(raw), "duplicates": profile.duplicate_count(raw),
+            "whitespace": profile.whitespace(raw), "categories": profile.distinct_values(raw, "category"), "non_numeric": profile.non_numeric(raw)}
+    for name, df in want.items():
+        assert got[name].columns == df.columns and sorted(map(tuple, got[name].collect())) == sorted(map(tuple, df.collect())), name
