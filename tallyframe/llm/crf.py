@@ -21,7 +21,8 @@ from tallyframe.llm.store import documents, exact, packed, unpacked
 from tallyframe.llm.textbuf import U64, TextBuffer, class_of, mix, repeats, slices, span_sums, with_doc
 
 FIT_DOCS = 3000
-FIT_BYTES = 8 << 20
+FIT_BYTES = 4 << 20
+FIT_SLICE = 1 << 18        # bytes whose features the driver makes at once
 ROUNDS = 250
 CUT = 0.7
 
@@ -224,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, fit_docs: int = FIT_DOCS, fi
         return None
     y = np.array([r["y"] for r in rows])
     texts, parts = pa.array([r["text"] for r in rows], pa.large_string()), []
-    for i, j in slices(texts):
+    for i, j in slices(texts, FIT_SLICE):
         f, size, docs_of = line_features(TextBuffer(texts.slice(i, j - i)))
         parts.append((f, size, docs_of + i))
     f, line_size, docs_of = (np.concatenate(x) for x in zip(*parts, strict=True))
