@@ -1,17 +1,20 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A paragraph is a run of text up to a line break or a sentence's end; blank ones do not count. Each is
-hashed to a wide vector of 0/1 lanes, and a document's fingerprint is the sum of its paragraphs'
-vectors with their number, two 32-bit lanes to a 64-bit word. Sums do not depend on order; a
-paragraph is inserted or deleted by adding or subtracting its vector (``combine``). A text
-within Spark's limit of 2 GB has at most 2^30 paragraphs, so no lane and no difference of two leaves 31 bits.
-
-Read as +-1 vectors, the mean square of a difference of two fingerprints estimates the number of
+hashed to a wide vector: ``WIDE`` lanes of 32 bits, expanded from its sha256. A document's fingerprint is
+the sum of its paragraphs' vectors modulo 2^32 in every lane, with a sketch behind it. Sums do not depend
+on order; a paragraph is inserted or deleted by adding or subtracting its vector (``combine``).
+
+Sums of uniform lanes tell multisets apart but not how far, so the sketch keeps that: sums of 128 0/1
+lanes, two 32-bit lanes to a 64-bit word. A text within Spark's limit of 2 GB has at most 2^30 paragraphs,
+so no lane of the sketch and no difference of two leaves 31 bits, and no sum of wide lanes leaves 62.
+Read as +-1 vectors, the mean square of a difference of two sketches estimates the number of
 paragraphs in which the multisets differ, and that of one its size; likeness is one minus the first
 over the sum of the sizes, cut to 0..1. It is 1 for equal multisets, about 0 for disjoint ones.
 
 Null and empty texts have the zero fingerprint; two of them have likeness 1, one and another text 0.
-Rows are ordered by (doc_id, text), null ids last; repeated rows are rows of their own.
+Rows are ordered by (doc_id, hash of the text, text), null ids last, and the first follows the last, also
+in a table without ids; repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.store import documents
 
-HASHES = 2                     # 64 lanes each
+WIDE = 32                      # lanes modulo 2^32
+WIDE_BITS = 32
+HASHES = 2                     # of the sketch, 64 lanes each
 LANES = 64 * HASHES
 PER_WORD = 2
 BITS = 32                      # of a lane
@@ -29,8 +34,18 @@ WORDS = -(-LANES // PER_WORD)
 BREAK = r"\n|(?<=[.!?])[\x20\t]+"
 
 
+def wide_lanes(h: list) -> list:
+    """The wide vector of a paragraph: two lanes of each of its hashes ``h``."""
+    low = F.lit((1 << WIDE_BITS) - 1).cast("long")
+    return [lane for x in h for lane in (x.bitwiseAND(low), F.shiftrightunsigned(x, WIDE_BITS))]
+
+
+def modulo(lane):
+    return lane.bitwiseAND(F.lit((1 << WIDE_BITS) - 1).cast("long"))
+
+
 def lane_words(h: list) -> list:
-    """The packed vector of a paragraph: lane i holds bit i of its hashes ``h``."""
+    """The packed sketch of a paragraph: lane i holds bit i of its hashes ``h``."""
     out = []
     for w in range(WORDS):
         word = None
@@ -48,8 +63,11 @@ def paragraphs(text):
     return F.filter(F.split(text, BREAK), lambda p: F.length(F.trim(p)) > 0)
 
 
-def hex_of(words):
-    return F.array_join(F.transform(words, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
+def hex_of(fp):
+    """The wide lanes, then the sketch, in lower-case hex."""
+    def joined(words, digits):
+        return F.array_join(F.transform(words, lambda w: F.lpad(F.lower(F.hex(w)), digits, "0")), "")
+    return F.concat(joined(fp["wide"], WIDE_BITS // 4), joined(fp["sketch"], 16))
 
 
 def _lane(word, j: int):
@@ -65,7 +83,7 @@ def _lane(word, j: int):
 
 
 def squares(a, b, n_a, n_b):
-    """Sum over lanes of the squared difference of two fingerprints read as +-1 vectors."""
+    """Sum over lanes of the squared difference of two sketches read as +-1 vectors."""
     d = F.zip_with(a, b, lambda x, y: x - y)
     n = (n_a - n_b).cast("double")
 
@@ -85,20 +103,26 @@ def likeness(a, b, n_a, n_b):
 
 
 def combine(a, b, sign: int = 1):
-    """Fingerprint words after inserting (1) or deleting (-1) the paragraphs of ``b``."""
-    return F.zip_with(a, b, lambda x, y: x + y if sign > 0 else x - y)
+    """The fingerprint ``a`` after inserting (1) or deleting (-1) the paragraphs of ``b``."""
+    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: modulo(x + y if sign > 0 else x - y))
+    sketch = F.zip_with(a["sketch"], b["sketch"], lambda x, y: x + y if sign > 0 else x - y)
+    return F.struct(wide.alias("wide"), sketch.alias("sketch"))
 
 
 def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Fingerprint words ``fp`` and number of paragraphs ``np`` of ``text`` for each key."""
+    """Fingerprint ``fp`` (wide, sketch) and number of paragraphs ``np`` of ``text`` for each key."""
     parts = rows.select(*keys, F.explode_outer(paragraphs(F.col(text))).alias("p"))
-    zero = F.lit(0).cast("long")
-    hashes = [F.when(F.col("p").isNull(), zero).otherwise(F.xxhash64(F.lit(k), F.col("p"))).alias(f"h{k}") for k in range(HASHES)]
-    parts = parts.select(*keys, F.col("p").isNotNull().cast("long").alias("c"), *hashes)
-    vector = lane_words([F.col(f"h{k}") for k in range(HASHES)])
-    parts = parts.select(*keys, "c", *[w.alias(f"w{i}") for i, w in enumerate(vector)])
-    out = parts.groupBy(*keys).agg(F.sum("c").alias("np"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-    return out.select(*keys, "np", F.array(*[f"w{i}" for i in range(WORDS)]).alias("fp"))
+    parts = parts.select(*keys, F.col("p").isNotNull().cast("long").alias("c"), F.sha2(F.col("p").cast("binary"), 256).alias("d"))
+    zero, n = F.lit(0).cast("long"), WIDE // 2 + HASHES
+    hashes = [F.when(F.col("d").isNull(), zero).otherwise(F.xxhash64(F.lit(k), F.col("d"))).alias(f"h{k}") for k in range(n)]
+    parts = parts.select(*keys, "c", *hashes)
+    wide = wide_lanes([F.col(f"h{k}") for k in range(WIDE // 2)])
+    sketch = lane_words([F.col(f"h{k}") for k in range(WIDE // 2, n)])
+    parts = parts.select(*keys, "c", *[x.alias(f"m{i}") for i, x in enumerate(wide)], *[x.alias(f"w{i}") for i, x in enumerate(sketch)])
+    out = parts.groupBy(*keys).agg(F.sum("c").alias("np"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(WIDE)],
+                                   *[F.sum(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
+    return out.select(*keys, "np", F.struct(F.array(*[modulo(F.col(f"m{i}")) for i in range(WIDE)]).alias("wide"),
+                                            F.array(*[f"w{i}" for i in range(WORDS)]).alias("sketch")).alias("fp"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -110,29 +134,44 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows dealt into buckets of consecutive doc_ids, each also with the first row of the next one.
+    """Rows dealt into buckets of consecutive (doc_id, hash), each also with the first rows of the next one.
 
-    Bucket bounds are doc_ids of the table (quantiles), so a bucket's first rows are those with its
-    bound's id; they are also sent to the bucket before (``ahead``), and the table's first rows to
-    the last bucket, which closes the circle. The only rows on the driver are the bounds.
+    Bucket bounds are quantiles of the doc_ids. An id that is several bounds at once, as one that a third of
+    the rows share, has that many buckets, by ranges of the text's hash; null ids have buckets for their
+    share of the rows. A bucket's first rows are also sent to the bucket before (``ahead``), and the table's
+    first rows to the last bucket, which closes the circle; a single bucket gets its own. The driver sees the bounds and
+    the first key of each bucket.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = documents(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low = d.agg(F.min("doc_id")).first()[0]
-    if low is None:                      # no ids: one bucket in the order of the texts
-        return d.withColumn("bucket", F.lit(0)).withColumn("ahead", F.lit(False))
-    bounds = d.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 1 / (10 * buckets))
-    bounds = sorted({int(b) for b in bounds} | {low})
-    at, last = F.array(*[F.lit(b) for b in bounds]), len(bounds) - 1
-    own = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(at, lambda b: b <= F.col("doc_id"))) - 1)
-    d = d.withColumn("own", own)
-    first = F.array_contains(at, F.col("doc_id"))
-    back = F.pmod(F.col("own") - 1, F.lit(last + 1))
+    rows, with_id = d.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    found = d.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 1 / (10 * buckets)) if with_id else []
+    bounds = sorted(int(b) for b in found)
+    for_null = max(1, round(buckets * (rows - with_id) / max(rows, 1)))
+    at = F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>")
+    part = F.col("hash") / F.lit(2.0 ** 64) + F.lit(0.5)          # 0 to 1, in the order of the hash
+
+    def share(n):
+        return F.least(F.floor(part * n), n - F.lit(1)).cast("int")
+    same = F.size(F.filter(at, lambda b: b == F.col("doc_id")))
+    own = F.size(F.filter(at, lambda b: b < F.col("doc_id"))) + F.when(same > 1, share(same)).otherwise(0)
+    d = d.withColumn("hash", F.xxhash64("text"))
+    d = d.withColumn("own", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1) + share(F.lit(for_null))).otherwise(own))
+    key = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash")
+    firsts = sorted(d.groupBy("own").agg(F.min(key).alias("k")).collect())        # one row for each bucket
+    size = len(bounds) + 1 + for_null
+    ids, hashes, before = [None] * size, [None] * size, [None] * size
+    for i, (bucket, k) in enumerate(firsts):
+        ids[bucket], hashes[bucket], before[bucket] = k.doc_id, k.hash, firsts[i - 1].own
+
+    def listed(values, kind):
+        return F.array(*[F.lit(v).cast(kind) for v in values])[F.col("own")]
+    first = F.col("doc_id").eqNullSafe(listed(ids, "long")) & (F.col("hash") == listed(hashes, "long"))
     here = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ahead"))
-    there = F.struct(back.alias("bucket"), F.lit(True).alias("ahead"))
-    d = d.select("doc_id", "text", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("x"))
-    return d.select("doc_id", "text", F.col("x.bucket").alias("bucket"), F.col("x.ahead").alias("ahead"))
+    there = F.struct(listed(before, "int").alias("bucket"), F.lit(True).alias("ahead"))
+    d = d.select("doc_id", "text", "hash", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("x"))
+    return d.select("doc_id", "text", "hash", F.col("x.bucket").alias("bucket"), F.col("x.ahead").alias("ahead"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -141,7 +180,7 @@ def edited(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter of code points replaced by the first as many (or all) of the
     next document, ascending doc_id; after the last comes the first.
     """
-    order = [F.col("ahead"), F.col("doc_id").asc_nulls_last(), F.col("text")]
+    order = [F.col("ahead"), F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("text")]
     w = Window.partitionBy("bucket").orderBy(*order)
     q = F.floor(F.col("n_chars") / 4).cast("int")
     d = (in_order(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -162,6 +201,6 @@ def edited(docs: DataFrame) -> DataFrame:
     return f.select(
         "doc_id", "n_chars", "edited_sha256", hex_of(F.col("fp")).alias("fingerprint"),
         hex_of(F.col("fp1")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("fp1"), F.col("np"), F.col("np1")).alias("near_edited"),
-        likeness(F.col("fp"), F.coalesce("fp2", "fp"), F.col("np"), F.coalesce("np2", "np")).alias("near_next"),
+        likeness(F.col("fp.sketch"), F.col("fp1.sketch"), F.col("np"), F.col("np1")).alias("near_edited"),
+        likeness(F.col("fp.sketch"), F.coalesce("fp2.sketch", "fp.sketch"), F.col("np"), F.coalesce("np2", "np")).alias("near_next"),
         F.col("np").alias("n_paragraphs"))
