@@ -21,6 +21,7 @@ from tallyframe.operators.lattice import COUNT, Lattice
 SEARCH_COLUMNS = ("object_description", "agency_name", "program_description", "department_short")
 GROUP_DIMENSIONS = ("department", "category", "region", "agency")
 PAGE_SIZE = 50
+PAGE_TIES = ("department_short", "agency_name", "program_description", "expense_category", "object_description")
 ALL = "All"
 
 
@@ -171,15 +172,21 @@ def page_after(df: DataFrame, order_by: str, last, page_size: int = PAGE_SIZE, d
     values = list(last) if isinstance(last, (tuple, list)) else [last]
     if len(values) != len(columns):
         raise ValueError(f"last needs a value for each of {columns}")
-    cond = F.lit(False)
-    for c, v, down in reversed(list(zip(columns, values, [desc] + [False] * len(tie), strict=True))):
+    return df.where(beyond(columns, values, desc)).orderBy(*_order([order_by], desc), *_order(tie)).limit(page_size)
+
+
+def beyond(columns, values, desc: bool = True, inclusive: bool = False) -> Column:
+    """Rows after the row of these ``values`` (with ``inclusive`` also equal ones): the first column descending or
+    ascending, the others ascending, nulls last."""
+    cond = F.lit(inclusive)
+    for i, (c, v) in reversed(list(enumerate(zip(columns, values, strict=True)))):
         col = F.col(c)
         if v is None:                       # nulls are last: only ties can follow
             cond = col.isNull() & cond
         else:
-            later = col < F.lit(v) if down else col > F.lit(v)
+            later = col < F.lit(v) if desc and i == 0 else col > F.lit(v)
             cond = F.coalesce(later, F.lit(True)) | (col.eqNullSafe(F.lit(v)) & cond)
-    return df.where(cond).orderBy(*_order([order_by], desc), *_order(tie)).limit(page_size)
+    return cond
 
 
 def special_funds(detail: DataFrame | Lattice, exclude: str, k: int = 15) -> DataFrame:

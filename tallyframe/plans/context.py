@@ -6,9 +6,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.operators import clean, lattice, rollup
+from tallyframe.operators import clean, explore, lattice, pages, rollup
 from tallyframe.plans import ledger
 from tallyframe.session import scratch_path
+from tallyframe.sources.parquet import write_parquet
 from tallyframe.sources.tables import Tables
 
 
@@ -71,3 +72,11 @@ class Ledger:
         """Totals of the detail at every useful grain, in the shared scratch folder."""
         return lattice.build(self.detail, scratch_path(self.spark, "ledger-lattice"),
                              rollup.LEDGER_DIMENSIONS, rollup.LEDGER_MEASURES)
+
+    @cached_property
+    def amount_pages(self) -> pages.PageIndex:
+        """The line items as stored in the shared scratch folder, and where their pages by amount start."""
+        folder = scratch_path(self.spark, "amount-pages")
+        columns = self.detail.select("amount_php", *explore.PAGE_TIES)
+        stored = self.spark.read.schema(columns.schema).parquet(write_parquet(columns, f"{folder}/rows", "zstd"))
+        return pages.build(stored, folder, "amount_php", explore.PAGE_TIES)

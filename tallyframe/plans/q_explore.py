@@ -51,9 +51,6 @@ def _t4(c):
     return explore.page(c.detail, "amount_php", True, 2, filters={"expense_category": "PS"}, text="ring")
 
 
-_AMOUNT_TIES = ("department_short", "agency_name", "program_description", "expense_category", "object_description")
-
-
 @query("t4_page_keyset", sql(f"""SELECT {_PAGE_COLS} FROM detail
   ORDER BY amount_php DESC, department_short, agency_name NULLS LAST, program_description, expense_category,
            object_description
@@ -61,8 +58,8 @@ _AMOUNT_TIES = ("department_short", "agency_name", "program_description", "expen
 def _t4k(c):
     """The second page by the first one's last row; full ties of a page's end are the same rows."""
     last = explore.page(c.detail, "amount_php", True, 0).collect()[-1]
-    rows = c.detail.select("amount_php", *_AMOUNT_TIES)
-    return explore.page_after(rows, "amount_php", tuple(last[x] for x in ("amount_php", *_AMOUNT_TIES)), 50, True, _AMOUNT_TIES)
+    rows = c.detail.select("amount_php", *explore.PAGE_TIES)
+    return explore.page_after(rows, "amount_php", tuple(last[x] for x in ("amount_php", *explore.PAGE_TIES)), 50, True, explore.PAGE_TIES)
 
 
 @query("t4_page_department_asc", sql(f"""SELECT {_PAGE_COLS} FROM detail
@@ -243,6 +240,14 @@ def _t4deep(c):
     return explore.page(c.detail, "amount_php", False, 20)
 
 
+@query("t4_page_5000_by_index", sql(f"""SELECT {_PAGE_COLS} FROM detail
+  ORDER BY amount_php DESC, department_short, agency_name NULLS LAST, program_description, expense_category,
+           object_description
+  LIMIT 5 OFFSET 25000""", "detail"))
+def _t4index(c):
+    return c.amount_pages.page(5000, 5).select(*_PAGE_COLS.split(", "))
+
+
 # (FILTER form: DuckDB 2.0.0 raises an internal dictionary-cache error on this two-column WHERE)
 @query("p12_two_filter_count", sql("""SELECT n AS rows, CAST(CEIL(n / 50) AS BIGINT) AS pages
   FROM (SELECT COUNT(*) FILTER (WHERE expense_category = 'CO' AND region_id = '02') AS n FROM detail)""",
