@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.operators import clean, explore, lattice, pages, rollup
+from tallyframe.operators import clean, explore, lattice, pages, postings, rollup
 from tallyframe.plans import ledger
 from tallyframe.session import scratch_path
 from tallyframe.sources.parquet import write_parquet
@@ -80,3 +80,9 @@ class Ledger:
         columns = self.detail.select("amount_php", *explore.PAGE_TIES)
         stored = self.spark.read.schema(columns.schema).parquet(write_parquet(columns, f"{folder}/rows", "zstd"))
         return pages.build(stored, folder, "amount_php", explore.PAGE_TIES)
+
+    @cached_property
+    def postings(self) -> postings.Postings:
+        """The searched columns of the line items as stored in the shared scratch folder, with their trigrams."""
+        return postings.build(self.detail.select(*explore.SEARCH_COLUMNS, "amount_php"),
+                              scratch_path(self.spark, "search-postings"))

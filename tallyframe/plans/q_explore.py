@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tallyframe.functions.money import money_sum
 from tallyframe.operators import brief, explore
 from tallyframe.plans.catalog import query
 from tallyframe.plans.oracle import dround, pct, sql
@@ -77,6 +80,27 @@ def _p13w(c):
     return explore.filtered_count(explore.search(c.detail, "s_all", wildcards=True))
 
 
+def _indexed(needle: str) -> str:
+    return sql(f"""SELECT agency_name, COUNT(*) AS rows, CAST(SUM(amount_php) AS DECIMAL(38,0)) AS total_php FROM detail
+  WHERE contains(lower(object_description), '{needle}') OR contains(lower(agency_name), '{needle}')
+    OR contains(lower(program_description), '{needle}') OR contains(lower(department_short), '{needle}')
+  GROUP BY agency_name""", "detail")
+
+
+def _by_agency(rows):
+    return rows.groupBy("agency_name").agg(F.count(F.lit(1)).alias("rows"), money_sum("amount_php").alias("total_php"))
+
+
+@query("p13_search_postings", _indexed("00007"))
+def _p13p(c):
+    return _by_agency(c.postings.search("00007"))
+
+
+@query("p13_search_postings_short", _indexed("07"))
+def _p13s(c):
+    return _by_agency(c.postings.search("07"))
+
+
 @query("p13_search_literal", sql("""SELECT COUNT(*) AS rows, CAST(CEIL(COUNT(*) / 50) AS BIGINT) AS pages
   FROM detail WHERE (contains(lower(object_description), '100%') OR contains(lower(agency_name), '100%')
     OR contains(lower(program_description), '100%') OR contains(lower(department_short), '100%'))""",
@@ -137,8 +161,6 @@ def _t7(c):
   FROM (SELECT category, CAST(SUM(amount) AS DECIMAL(38,2)) AS total FROM wclean GROUP BY category),
        (SELECT CAST(SUM(amount) AS DECIMAL(38,2)) AS grand_total FROM wclean)""", "wclean"))
 def _a8(c):
-    from pyspark.sql import functions as F
-
     totals = explore.totals_by(c.wclean, "category")
     grand = totals.agg(F.sum("total").cast("decimal(38,2)")).scalar()     # of the few totals, not of the rows
     return totals.select("category", "total", grand.alias("grand_total"),
