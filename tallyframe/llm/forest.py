@@ -1,18 +1,23 @@
-"""Jaccard join on word n-grams by MinHash banding in place of an LSH forest, with exact verification.
+"""Jaccard join on word n-grams by a MinHash LSH forest, with exact verification.
 
 A document's set holds its distinct windows of ``SHINGLE`` words (``[^\\x20\\x09-\\x0D]+``, as they
 stand); a shorter text is one window of all its words. Documents with the same set are copies and
-enter the join once. There are no sorted tries and no descent by the data: each of ``TREES`` trees is a
-band, and two texts meet in it if they share its key. The key's length is computed once from the
-threshold: the longest, up to ``DEPTH`` symbols, at which a pair just at the threshold meets in some
-band with probability ``RECALL`` or more. Pairs that meet are compared by
-all their signature symbols, which discards pairs far below the threshold (a pair at the threshold is
-lost with a probability below 1e-8), and the rest form candidate groups. Within a group every pair
-is verified on the exact sets.
-
-No bucket or group is held or paired in one task: each is cut into blocks of ``BLOCK`` texts, and a
-task gets two blocks at a time. Pairs never become rows; a block gives each text its number of links
-and one link to a smaller member.
+enter the join once. Each of ``TREES`` trees is a prefix trie over paths of ``DEPTH`` signature
+symbols, held as rows sorted by path: the texts below a trie node are a run of rows that share a prefix.
+
+Prefixes are shortened level by level, from whole paths on. At a level, texts below one node are
+compared by signature symbols (which discards pairs far below the threshold; a pair at it is lost with
+a probability below 1e-8), sorted neighbours first, and those alike form one candidate group. A node is
+shortened further only while its texts are in several groups: where they are in one, a shorter prefix
+could add nothing. The shortest prefix is the first at which the forest reaches the recall ``RECALL``
+for pairs just at the threshold (``levels``), whatever the data. Within a group every pair is verified
+on the exact sets.
+
+No trie node or group is held or paired in one task. Nodes of more than ``BLOCK`` texts are first dealt
+into blocks, anew in each tree, and every block is walked on its own; such nodes whose texts are then
+still in several groups are paired block by block, only between groups. Groups are verified in pairs of
+blocks. Pairs never become rows; a block gives each text its number of links and one link to a smaller
+member.
 
 Result, one row per document: ``class_id`` (smallest doc_id of the connected component), ``n_copies``
 (documents with the same set), ``n_links`` (other documents at the threshold or above, copies
@@ -38,16 +43,17 @@ THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
 RECALL = 0.99999
+SKETCH = 96                   # signature symbols that pairs are compared by, one byte each
 BLOCK = 512
 BROADCAST_ROWS = 500_000      # candidate texts: at most so many ids are broadcast, more are shuffled
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """The longest prefix at which the forest reaches the recall for pairs at the threshold."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold ** k) ** trees < recall:
-        k -= 1
-    return k
+def levels(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> list[int]:
+    """Prefix lengths from whole paths down to the first at which pairs at the threshold meet with this probability."""
+    out = [depth]
+    while out[-1] > 1 and 1 - (1 - threshold ** out[-1]) ** trees < recall:
+        out.append(out[-1] - 1)
+    return out
 
 
 def least_matches(threshold: float, symbols: int, loss: float = 1e-8) -> int:
@@ -110,7 +116,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def _signature_batches(symbols: int):
+def paths(sig: np.ndarray, trees: int, depth: int, shortest: int) -> np.ndarray:
+    """(n, trees, 2): a hash of each path's first ``shortest`` symbols, and a byte of each further one, in order."""
+    x = sig[:, :trees * depth].reshape(len(sig), trees, depth).astype(U64)
+    out = np.zeros((len(sig), trees, 2), U64)
+    out[:, :, 0] = U64(int(_ODD)) * np.arange(1, trees + 1, dtype=U64)
+    for s in range(depth):
+        if s < shortest:
+            out[:, :, 0] = mix(out[:, :, 0] + x[:, :, s])
+        else:
+            out[:, :, 1] = out[:, :, 1] << U64(8) | x[:, :, s] & U64(0xFF)
+    return out
+
+
+def _signature_batches(trees: int, depth: int, shortest: int):
     def run(batches):
         row = TaskContext.get().partitionId() << 36
         for b in batches:
@@ -118,28 +137,25 @@ def _signature_batches(symbols: int):
                 part = b.slice(i, j - i)
                 tb = TextBuffer(part.column("text"))
                 h, docs = shingles(tb)
+                sig = signatures(h, docs, tb.n, max(trees * depth, SKETCH))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(tb.n)), part.column("doc_id"), part.column("text_hash"),
                      pa.array(set_keys(h, docs, tb.n), pa.binary()),
                      pa.array(np.bincount(docs, minlength=tb.n).astype(np.int64)),
-                     _binary(signatures(h, docs, tb.n, symbols))],
-                    names=["row_id", "doc_id", "text_hash", "set_key", "n", "sig"])
+                     _binary(paths(sig, trees, depth, shortest)), _binary(sketch(sig[:, :SKETCH]))],
+                    names=["row_id", "doc_id", "text_hash", "set_key", "n", "paths", "sketch"])
                 row += tb.n
     return run
 
 
-def _key_batches(k: int):
-    def run(batches):
-        for b in batches:
-            sig = np.array([np.frombuffer(x, np.uint32) for x in b.column("sig").to_pylist()]).reshape(len(b), -1)
-            node = np.asarray(b.column("node"))
-            trees = sig.shape[1] // k
-            for t in range(trees):
-                x = np.full(len(b), U64(int(_ODD) * (t + 1) % 2**64), U64)
-                for s in range(k):
-                    x = mix(x + sig[:, t * k + s].astype(U64))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(node)], names=["key", "node"])
-    return run
+def _path_batches(batches):
+    """A row of each text in each tree."""
+    for b in batches:
+        if len(b):
+            x = np.frombuffer(b"".join(b.column("paths").to_pylist()), np.int64).reshape(len(b), -1, 2)
+            for t in range(x.shape[1]):
+                key, tail = np.ascontiguousarray(x[:, t, 0]), np.ascontiguousarray(x[:, t, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tail), b.column("node")], names=["key", "tail", "node"])
 
 
 def in_blocks(df: DataFrame, size: str, block: int) -> DataFrame:
@@ -218,44 +234,114 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _sketches(t: pa.Table, symbols: int) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, symbols)
+def descend(top: np.ndarray, tail: np.ndarray, sk: np.ndarray, lengths: list[int], least: int, label: np.ndarray) -> np.ndarray:
+    """Groups of rows sorted by (top, tail): ``top`` numbers the nodes at the shortest prefix.
+
+    ``label`` gives each row's first row of its group so far, and so does the result. Prefixes are
+    shortened through ``lengths``; only nodes with several groups are looked into.
+    """
+    rows, below = np.arange(len(top)), None
+
+    def join(i, j):
+        other = label[i] != label[j]
+        i, j = i[other], j[other]
+        ok = alike(sk, i, j, least)
+        return roots(len(label), np.r_[rows, i[ok]], np.r_[label, j[ok]]) if ok.any() else label
+
+    for length in lengths:
+        prefix = tail >> 8 * (lengths[0] - length)
+        starts = np.flatnonzero(np.r_[True, (top[1:] != top[:-1]) | (prefix[1:] != prefix[:-1])])
+        node = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(top)]))
+        i = np.flatnonzero(node[1:] == node[:-1])
+        label = join(i, i + 1)
+        several = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        at = np.flatnonzero(several[node])
+        for i, j in pairs_in_groups(node[at]):
+            i, j = at[i], at[j]
+            if below is not None:                    # pairs below one longer prefix have been compared
+                new = below[i] != below[j]
+                i, j = i[new], j[new]
+            label = join(i, j)
+        below = node
+    return label
+
+
+def _sketches(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def _candidate_batches(symbols: int, least: int):
+def _trie_batches(lengths: list[int], least: int):
+    """Links within the blocks of trie nodes."""
     def run(batches):
-        for t, group in whole_groups(batches, ["key", "lo", "hi"], 20_000):
-            node, sk = np.asarray(t.column("node")), _sketches(t, symbols)
-            found = [(i[ok], j[ok]) for i, j in pairs_in_groups(group) if (ok := alike(sk, i, j, least)).any()]
-            if found:
-                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                root = roots(len(node), i, j)
-                own = np.flatnonzero(root != np.arange(len(node)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
+        for t, top in whole_groups(batches, ["key", "block"], 20_000):
+            node = np.asarray(t.column("node"))
+            label = descend(top, np.asarray(t.column("tail")), _sketches(t), lengths, least, np.arange(len(node)))
+            own = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], names=["a", "b"])
     return run
 
 
-def _set_batches(symbols: int):
-    """The exact set of each candidate text, checked by its set key."""
+def _across_batches(lengths: list[int], least: int):
+    """Links between the groups of wide trie nodes, within pairs of their blocks."""
     def run(batches):
-        for b in batches:
-            for i, j in slices(b.column("text")):
-                part = b.slice(i, j - i)
-                tb = TextBuffer(part.column("text"))
-                h, docs = shingles(tb)
-                own = np.array([a == c for a, c in zip(set_keys(h, docs, tb.n), part.column("set_key").to_pylist(), strict=True)])
-                sk = sketch(signatures(h, docs, tb.n, symbols))
-                bounds = np.searchsorted(docs, np.arange(tb.n + 1))
-                at = np.flatnonzero(own)
-                sets = [np.sort(h[bounds[k]:bounds[k + 1]]).tobytes() for k in at.tolist()]
-                keep = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [keep.column(c) for c in ("node", "comp", "size", "w")]
-                    + [pa.array(sets, pa.binary()), _binary(sk[at])],
-                    names=["node", "comp", "size", "w", "set", "sketch"])
+        for t, top in whole_groups(batches, ["key", "lo", "hi"], 20_000):
+            group = np.asarray(t.column("label"))
+            _, first, place = np.unique(group, return_index=True, return_inverse=True)
+            before = first[place]
+            label = descend(top, np.asarray(t.column("tail")), _sketches(t), lengths, least, before)
+            own = np.flatnonzero(label != before)
+            yield pa.RecordBatch.from_arrays([pa.array(group[own]), pa.array(group[label[own]])], names=["a", "b"])
     return run
 
 
+def candidate_groups(reps: DataFrame, lengths: list[int], least: int) -> DataFrame:
+    """(node, root) of every text that shares a candidate group with another; ``reps`` has node, paths and sketch."""
+    rows = stage(reps.select("node", "paths").mapInArrow(_path_batches, "key long, tail long, node long"), "paths")
+    tops = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "tops")
+    sketches = reps.select(F.col("node").alias("n"), "sketch")
+
+    def below(some: DataFrame) -> DataFrame:
+        met = rows.join(some.select(F.col("key").alias("k"), "size"), F.col("key") == F.col("k")).drop("k")
+        return met.join(sketches, F.col("node") == F.col("n")).drop("n")
+
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
+    dealt = below(tops).withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int")).drop("size")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "tail")
+    groups = components(dealt.mapInArrow(_trie_batches(lengths, least), "a long, b long"))
+
+    wide = tops.where(F.col("size") > BLOCK)
+    if wide.isEmpty():
+        return groups
+    known = groups.select(F.col("node").alias("c"), "root")
+    apart = stage(below(wide).join(known, F.col("node") == F.col("c"), "left")
+                  .withColumn("label", F.coalesce("root", "node")).drop("c", "root"), "wide_tops")
+    several = apart.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    apart = in_blocks(apart.join(several.select("k"), F.col("key") == F.col("k"), "left_semi"), "size", BLOCK)
+    apart = apart.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "tail")
+    across = apart.select("key", "lo", "hi", "tail", "node", "label", "sketch").mapInArrow(
+        _across_batches(lengths, least), "a long, b long")
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(across))
+
+
+def _set_batches(batches):
+    """The exact set of each candidate text, checked by its set key."""
+    for b in batches:
+        for i, j in slices(b.column("text")):
+            part = b.slice(i, j - i)
+            tb = TextBuffer(part.column("text"))
+            h, docs = shingles(tb)
+            own = np.array([a == c for a, c in zip(set_keys(h, docs, tb.n), part.column("set_key").to_pylist(), strict=True)])
+            sk = sketch(signatures(h, docs, tb.n, SKETCH))
+            bounds = np.searchsorted(docs, np.arange(tb.n + 1))
+            at = np.flatnonzero(own)
+            sets = [np.sort(h[bounds[k]:bounds[k + 1]]).tobytes() for k in at.tolist()]
+            keep = part.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [keep.column(c) for c in ("node", "comp", "size", "w")]
+                + [pa.array(sets, pa.binary()), _binary(sk[at])],
+                names=["node", "comp", "size", "w", "set", "sketch"])
+
+
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of pairs of sorted sets."""
     if len(sets) <= 64:
@@ -276,7 +362,7 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return out[i, j].astype(np.int64)
 
 
-def _verify_batches(symbols: int, least: int, threshold: float):
+def _verify_batches(least: int, threshold: float):
     def run(batches):
         for t, group in whole_groups(batches, ["comp", "lo", "hi"], 2000):
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -288,7 +374,7 @@ def _verify_batches(symbols: int, least: int, threshold: float):
                 node, w = np.asarray(g.column("node")), np.asarray(g.column("w"))
                 block, blocks = np.asarray(g.column("block")), int(g.column("blocks")[0].as_py())
                 pair_lo, pair_hi = int(g.column("lo")[0].as_py()), int(g.column("hi")[0].as_py())
-                sk = _sketches(g, symbols)
+                sk = _sketches(g)
                 sets = [np.frombuffer(s, U64) for s in g.column("set").to_pylist()]
                 size = np.array([len(s) for s in sets])
                 found = []
@@ -317,31 +403,20 @@ def _verify_batches(symbols: int, least: int, threshold: float):
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """One row per document: its class, copies and links (see the module)."""
-    k = prefix_length(threshold, trees, recall)
-    symbols = trees * k
-    least = least_matches(threshold, symbols)
+    lengths = levels(threshold, trees, recall)
+    least = least_matches(threshold, SKETCH)
     rows = documents(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stage(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _signature_batches(symbols),
-        "row_id long, doc_id long, text_hash long, set_key binary, n long, sig binary"), "signatures")
+        _signature_batches(trees, lengths[0], lengths[-1]),
+        "row_id long, doc_id long, text_hash long, set_key binary, n long, paths binary, sketch binary"), "signatures")
     worded = signed.where("n > 0")
     # the set's first document: the smallest id, and of its texts the one with the smallest hash
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
     reps = worded.groupBy("set_key").agg(F.min("row_id").alias("node"), low.alias("low"), F.count(F.lit(1)).alias("w"))
     reps = reps.select("set_key", "node", F.col("low.doc_id").alias("min_doc"), F.col("low.text_hash").alias("min_hash"), "w")
-    reps = stage(reps.join(worded.select("row_id", "sig"), F.col("node") == F.col("row_id")).drop("row_id"), "texts")
-
-    keys = stage(reps.select("node", "sig").mapInArrow(_key_batches(k), "key long, node long"), "prefixes")
-    met = keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sketches = reps.select(F.col("node").alias("n"), "sig")
-    met = (keys.join(met, F.col("key") == F.col("k")).drop("k")
-           .join(sketches, F.col("node") == F.col("n"))
-           .mapInArrow(_sketch_batches, "key long, size long, node long, sketch binary"))
-    met = in_blocks(met, "size", BLOCK)
-    met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    candidates = components(met.select("key", "lo", "hi", "node", "sketch").mapInArrow(
-        _candidate_batches(symbols, least), "a long, b long"))
+    reps = stage(reps.join(worded.select("row_id", "paths", "sketch"), F.col("node") == F.col("row_id")).drop("row_id"), "texts")
 
+    candidates = candidate_groups(reps, lengths, least)
     groups = candidates.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
     members = candidates.join(groups, F.col("root") == F.col("comp")).select(F.col("node").alias("n"), "comp", "size")
     members = stage(members.join(reps.select("node", "set_key", "min_doc", "min_hash", "w"), F.col("n") == F.col("node")).drop("n"), "members")
@@ -349,10 +424,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     # by id and text, so that rows which share an id (or have none) meet only the set of their own text
     own = F.col("doc_id").eqNullSafe(F.col("min_doc")) & (F.xxhash64("text") == F.col("min_hash"))
     sets = (rows.join(side, own).select("text", "node", "comp", "size", "w", "set_key")
-            .mapInArrow(_set_batches(symbols), "node long, comp long, size long, w long, set binary, sketch binary")
+            .mapInArrow(_set_batches, "node long, comp long, size long, w long, set binary, sketch binary")
             .dropDuplicates(["node"]))                   # repeated rows
     sets = in_blocks(sets, "size", BLOCK).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    links = stage(sets.mapInArrow(_verify_batches(symbols, least, threshold),
+    links = stage(sets.mapInArrow(_verify_batches(least, threshold),
                                   "a long, b long, links long, texts long"), "links")
 
     counted = links.groupBy(F.col("a").alias("n")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
@@ -379,14 +454,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         (alone | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("min_doc")))).alias("keep"), "text_hash")
 
 
-def _sketch_batches(batches):
-    for b in batches:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(len(b), -1) if len(b) else None
-        if sig is not None:
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("size"), b.column("node"), _binary(sketch(sig))],
-                                             names=["key", "size", "node", "sketch"])
-
-
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with one of each class left, in the columns of the input."""
     kept = near_duplicates(docs, **parameters).where("keep").select(
