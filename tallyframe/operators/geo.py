@@ -18,6 +18,7 @@ the largest ``pos``). Nothing assumes a ring fits in one task:
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -125,18 +126,24 @@ def _array_apart(*points) -> np.ndarray:
 
 
 LOCAL_SEGMENT_POINTS = 50_000
-SALTS = 16
+SALTS, MOST_SALTS = 16, 4096
 
 
-def _salted_join(points: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def _salts(counts: DataFrame) -> int:
+    """Salts for joins on the keys of ``counts``: one for every ``LOCAL_SEGMENT_POINTS`` points of the largest."""
+    most = counts.agg(F.max("n")).first()[0] or 0
+    return max(SALTS, min(MOST_SALTS, math.ceil(most / LOCAL_SEGMENT_POINTS)))
+
+
+def _salted_join(points: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join many points to one row per key without sending a hot key's points to one task.
 
     Points get a salt from their position hash; each key row is replicated
     once per salt (``per_key`` is small: one row per ring or segment with
     more than ``LOCAL_SEGMENT_POINTS`` points).
     """
-    salted = points.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)))
-    fanned = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(salts).cast("long")))
+    fanned = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -201,11 +208,12 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, local_points: i
              .checkpoint(eager=True))
     big = rings.where(F.col("n") > local_points + 2).drop("n")
     # big rings leave by a salted join, before anything is shuffled by ring alone
-    small = _salted_join(v, big.select(*RING), RING, "left_anti")
+    salts = _salts(rings)
+    small = _salted_join(v, big.select(*RING), RING, "left_anti", salts)
     kept = [small.groupBy(*RING).applyInPandas(_finish_rings(tolerance), _OUT_SCHEMA)]
     if not big.isEmpty():
         kept += [big.select(*RING, "a.*"), big.select(*RING, "b.*")]
-        active = (_salted_join(v, big, RING)
+        active = (_salted_join(v, big, RING, "inner", salts)
                   .where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos")))
                   .select(*RING, "pos", "x", "y",
                           F.col("a.pos").alias("lo"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
@@ -221,31 +229,32 @@ def simplify(v: DataFrame, tolerance: float = DEFAULT_TOLERANCE, local_points: i
 def _segment_rounds(active: DataFrame, tolerance: float, local_points: int) -> DataFrame:
     """Distributed rounds over segments larger than ``local_points``, until none splits.
 
-    Each round appends the vertices it keeps to a table in the shared folder, so the plan
-    of the result does not grow with the number of rounds.
+    Each round writes the vertices it keeps to folders of its own below one in the shared folder, so the
+    plan of the result does not grow with the number of rounds, and a write done again replaces its own.
     """
     seg = RING + ["lo"]
     path = scratch_path(active.sparkSession, "kept")
 
-    def keep(df: DataFrame) -> None:
-        df.select(*_OUT).write.mode("append").parquet(path)
+    def keep(df: DataFrame, part: str) -> None:
+        df.select(*_OUT).write.mode("overwrite").parquet(f"{path}/{turn}_{part}")
 
-    while True:
+    for turn in itertools.count():
         d = _column_apart(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         stats = (active.groupBy(*seg)
                  .agg(F.count(F.lit(1)).alias("n"),
                       F.min(F.struct((-d).alias("nd"), F.col("pos"), F.col("x"), F.col("y"))).alias("m"))
                  .checkpoint(eager=True))
         large = stats.where(F.col("n") > local_points).select(*seg)
-        keep(_salted_join(active, large, seg, "left_anti").groupBy(*seg)
-             .applyInPandas(_finish_segments(tolerance), _OUT_SCHEMA))
+        salts = _salts(stats)
+        keep(_salted_join(active, large, seg, "left_anti", salts).groupBy(*seg)
+             .applyInPandas(_finish_segments(tolerance), _OUT_SCHEMA), "finished")
         far = (stats.where((F.col("n") > local_points) & (-F.col("m.nd") > F.lit(tolerance * tolerance)))
                .select(*seg, F.col("m.pos").alias("mp"), F.col("m.x").alias("mx"), F.col("m.y").alias("my")))
         if far.isEmpty():
-            return active.sparkSession.read.schema(_OUT_SCHEMA).parquet(path)
-        keep(far.select(*RING, F.col("mp").alias("pos"), F.col("mx").alias("x"), F.col("my").alias("y")))
+            return active.sparkSession.read.schema(_OUT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+        keep(far.select(*RING, F.col("mp").alias("pos"), F.col("mx").alias("x"), F.col("my").alias("y")), "split")
         left = F.col("pos") < F.col("mp")
-        active = (_salted_join(active, far, seg).where(F.col("pos") != F.col("mp"))
+        active = (_salted_join(active, far, seg, "inner", salts).where(F.col("pos") != F.col("mp"))
                   .select(*RING, "pos", "x", "y",
                           F.when(left, F.col("lo")).otherwise(F.col("mp")).alias("lo"),
                           F.when(left, F.col("ax")).otherwise(F.col("mx")).alias("ax"),

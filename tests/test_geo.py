@@ -170,3 +170,16 @@ def test_feature_lines_input_and_other_geometry_types(spark, tmp_path):
     out = document(tmp_path / "out")
     points = [d for d in out if d["geometry"]["type"] == "Point"]
     assert len(out) == 2 and points[0]["geometry"]["coordinates"] == [125.5, 9.0]
+
+
+def test_salts_follow_the_largest_ring(spark, vertices, monkeypatch):
+    want = {(r.feature, r.poly_no, r.ring_no, r.pos) for r in geo.simplify(vertices, 0.015, local_points=20).collect()}
+    counts = geo.vertex_counts(vertices).withColumnRenamed("vertices", "n")
+    assert geo._salts(counts) == geo._salts(counts.limit(0)) == geo.SALTS
+    most = counts.agg({"n": "max"}).first()[0]
+    monkeypatch.setattr(geo, "LOCAL_SEGMENT_POINTS", 2)
+    monkeypatch.setattr(geo, "SALTS", 1)
+    assert geo._salts(counts) == -(-most // 2) > 1
+    assert {(r.feature, r.poly_no, r.ring_no, r.pos) for r in geo.simplify(vertices, 0.015, local_points=20).collect()} == want
+    monkeypatch.setattr(geo, "MOST_SALTS", 3)
+    assert geo._salts(counts) == 3
