@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.categories import EXPENSE_DOMAIN
+from tallyframe.session import checkpoint_dir
 
 D = "decimal(38,0)"
 CHECK_SCHEMA = T.StructType([
@@ -25,6 +26,7 @@ CHECK_SCHEMA = T.StructType([
 
 V1_COLUMNS = ("department_code", "department_name", "agency_name", "expense_category",
               "object_description", "amount_php", "region_id")
+BROADCAST_ROWS = 500_000      # shared fingerprints that are sent to all tasks at most
 # The reference's anchors (grand total in pesos, department and region counts).
 ANCHORS = {"total": (3_500_000_000_000, 4_500_000_000_000), "departments": (30, 45), "regions": (17, 18)}
 
@@ -130,10 +132,15 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Only two hash fingerprints per row are shuffled; rows sharing both are
     then compared on all columns (identical rows always share fingerprints,
     and a collision of different rows is discarded by the exact grouping).
+    Shared fingerprints are stored and counted first, so that the rows are
+    only shuffled to them where they are too many to be sent to the rows.
     """
     cols = [F.col(c) for c in df.columns]
     fp = df.select(F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2"))
     cand = fp.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).drop("_c")
+    checkpoint_dir(df.sparkSession)
+    cand = cand.checkpoint(eager=True)
+    cand = F.broadcast(cand) if cand.count() <= BROADCAST_ROWS else cand
     rows = df.withColumns({"_h1": F.xxhash64(*cols), "_h2": F.hash(*cols)}).join(cand, ["_h1", "_h2"], "left_semi")
     exact = rows.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     return exact.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
