@@ -23,6 +23,7 @@ from tallyframe.llm.textbuf import U64, TextBuffer, class_of, mix, repeats, slic
 FIT_DOCS = 3000
 FIT_BYTES = 4 << 20
 FIT_SLICE = 1 << 18        # bytes whose features the driver makes at once
+KEEP_SLICE = 1 << 19           # bytes of text that are scored at once where later stages share the workers
 ROUNDS = 250
 CUT = 0.7
 
@@ -266,10 +267,11 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 def _keep_batches(model, cut):
     def run(batches):
         for b in batches:
-            for i, j in slices(b.column("text")):
+            for i, j in slices(b.column("text"), KEEP_SLICE):
                 part = b.slice(i, j - i)
                 share = good_share(TextBuffer(part.column("text")), model)
                 yield part.filter(pa.array(curve(share, model) >= cut))
+        pa.default_memory_pool().release_unused()      # workers stay for the stages behind this one
     return run
 
 

@@ -16,7 +16,7 @@ on the exact sets.
 No trie node or group is held or paired in one task. Nodes of more than ``BLOCK`` texts are first dealt
 into blocks, anew in each tree, and every block is walked on its own; such nodes whose texts are then
 still in several groups are paired block by block, only between groups. Groups are verified in pairs of
-blocks. Pairs never become rows; a block gives each text its number of links and one link to a smaller
+blocks, which are smaller where texts are long (``BLOCK_WINDOWS``). Pairs never become rows; a block gives each text its number of links and one link to a smaller
 member.
 
 Result, one row per document: ``class_id`` (smallest doc_id of the connected component), ``n_copies``
@@ -45,6 +45,9 @@ DEPTH = 8
 RECALL = 0.99999
 SKETCH = 96                   # signature symbols that pairs are compared by, one byte each
 BLOCK = 512
+BLOCK_WINDOWS = 1 << 20       # windows of a block of texts to be verified, about
+TASK_WINDOWS = 1 << 19        # windows that a verifying task reads, about (4 MB)
+PART_WINDOWS = 1 << 18        # windows of two blocks that are compared at once, about
 BROADCAST_ROWS = 500_000      # candidate texts: at most so many ids are broadcast, more are shuffled
 
 
@@ -169,6 +172,12 @@ def in_blocks(df: DataFrame, size: str, block: int) -> DataFrame:
             .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other"))
 
 
+def verified_size(texts: str, windows: str):
+    """A group's size for ``in_blocks``: its texts, or as many as give blocks of ``BLOCK_WINDOWS``; no more blocks than texts."""
+    by_windows = F.ceil(F.col(windows) / F.lit(BLOCK_WINDOWS)) * F.lit(BLOCK)
+    return F.greatest(F.col(texts), F.least(by_windows, F.col(texts) * F.lit(BLOCK)))
+
+
 def whole_groups(batches, keys: list[str], rows: int):
     """Tables of whole groups of rows sorted by ``keys``, each of about ``rows`` rows, with group numbers."""
     held, n = [], 0
@@ -343,9 +352,19 @@ def _set_batches(batches):
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of pairs of sorted sets."""
+    """Sizes of the intersections of pairs of sorted sets, by ranges of the hashes that hold about ``PART_WINDOWS`` each."""
     if len(sets) <= 64:
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    parts = max(1, -(-sum(map(len, sets)) // PART_WINDOWS))
+    ends = np.array([2**64 * k // parts for k in range(1, parts)], U64)       # hashes are spread evenly
+    cuts = [np.r_[0, np.searchsorted(s, ends), len(s)] for s in sets]
+    for k in range(parts):
+        _add_overlaps([s[c[k]:c[k + 1]] for s, c in zip(sets, cuts, strict=True)], out)
+    return out[i, j].astype(np.int64)
+
+
+def _add_overlaps(sets: list[np.ndarray], out: np.ndarray, width: int = 2048) -> None:
     value, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = np.bincount(column, minlength=len(value)) > 1     # windows of one text add nothing
@@ -353,13 +372,11 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     row, column = row[shared[column]], number[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out, width = np.zeros((len(sets), len(sets)), np.float32), 8192
     for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[a:b], column[a:b] - lo] = 1
         out += m @ m.T
-    return out[i, j].astype(np.int64)
 
 
 def _verify_batches(least: int, threshold: float):
@@ -378,7 +395,7 @@ def _verify_batches(least: int, threshold: float):
                 sets = [np.frombuffer(s, U64) for s in g.column("set").to_pylist()]
                 size = np.array([len(s) for s in sets])
                 found = []
-                for i, j in pairs_in_groups(np.zeros(len(node), np.int64)):
+                for i, j in pairs_in_groups(np.zeros(len(node), np.int64), 50_000):
                     # pairs inside a block belong to the task that also has the next block
                     other = np.where(block[i] == pair_lo, pair_hi, pair_lo)
                     mine = (block[i] != block[j]) | (blocks == 1) | ((block[i] + 1) % blocks == other)
@@ -398,6 +415,7 @@ def _verify_batches(least: int, threshold: float):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[own]), pa.array(node[root[own]]), pa.array(links[own].astype(np.int64)),
                      pa.array(texts[own].astype(np.int64))], names=["a", "b", "links", "texts"])
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -414,19 +432,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
     reps = worded.groupBy("set_key").agg(F.min("row_id").alias("node"), low.alias("low"), F.count(F.lit(1)).alias("w"))
     reps = reps.select("set_key", "node", F.col("low.doc_id").alias("min_doc"), F.col("low.text_hash").alias("min_hash"), "w")
-    reps = stage(reps.join(worded.select("row_id", "paths", "sketch"), F.col("node") == F.col("row_id")).drop("row_id"), "texts")
+    reps = stage(reps.join(worded.select("row_id", "n", "paths", "sketch"), F.col("node") == F.col("row_id")).drop("row_id"), "texts")
 
     candidates = candidate_groups(reps, lengths, least)
-    groups = candidates.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
-    members = candidates.join(groups, F.col("root") == F.col("comp")).select(F.col("node").alias("n"), "comp", "size")
-    members = stage(members.join(reps.select("node", "set_key", "min_doc", "min_hash", "w"), F.col("n") == F.col("node")).drop("n"), "members")
-    side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    known = reps.select("node", "set_key", "min_doc", "min_hash", "w", F.col("n").alias("windows"))
+    members = stage(candidates.select(F.col("node").alias("c"), F.col("root").alias("comp")).join(known, F.col("c") == F.col("node")).drop("c"), "members")
+    groups = members.groupBy(F.col("comp").alias("g")).agg(F.count(F.lit(1)).alias("texts"), F.sum("windows").alias("all"))
+    groups = groups.select("g", "texts", "all", verified_size("texts", "all").alias("size"))
+    members = members.drop("windows").join(groups.select("g", "size"), F.col("comp") == F.col("g")).drop("g")
+    dealt_windows = F.sum(F.col("all") * F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)) - 1, F.lit(1)))
+    total = groups.agg(F.sum("texts").alias("texts"), dealt_windows.alias("windows")).first()
+    side = F.broadcast(members) if (total.texts or 0) <= BROADCAST_ROWS else members
     # by id and text, so that rows which share an id (or have none) meet only the set of their own text
     own = F.col("doc_id").eqNullSafe(F.col("min_doc")) & (F.xxhash64("text") == F.col("min_hash"))
     sets = (rows.join(side, own).select("text", "node", "comp", "size", "w", "set_key")
             .mapInArrow(_set_batches, "node long, comp long, size long, w long, set binary, sketch binary")
             .dropDuplicates(["node"]))                   # repeated rows
-    sets = in_blocks(sets, "size", BLOCK).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    # a task's rows go to its worker at once, so tasks are cut by the windows in them, not by rows or by what is free
+    tasks = max(1, -(-(total.windows or 0) // TASK_WINDOWS))
+    sets = in_blocks(sets, "size", BLOCK).repartition(tasks, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
     links = stage(sets.mapInArrow(_verify_batches(least, threshold),
                                   "a long, b long, links long, texts long"), "links")
 

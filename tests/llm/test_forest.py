@@ -113,3 +113,30 @@ def test_groups_that_one_wide_node_keeps_apart_are_joined(spark, monkeypatch):
             reps = spark.createDataFrame(moved, "node long, paths binary, sketch binary")
             got = {(r.node, r.root) for r in forest.candidate_groups(reps, lengths, 60).collect()}
             assert got == {(0, 0), (last, 0)}
+
+
+def test_overlaps_by_ranges_of_hashes(monkeypatch):
+    rnd = np.random.default_rng(5)
+    pool = rnd.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [np.unique(rnd.choice(pool, rnd.integers(0, 900))) for _ in range(90)]
+    i, j = np.triu_indices(90, 1)
+    monkeypatch.setattr(forest, "PART_WINDOWS", 2500)
+    seen, add = [], forest._add_overlaps
+    monkeypatch.setattr(forest, "_add_overlaps", lambda part, out: (seen.append(sum(map(len, part))), add(part, out)))
+    assert forest.overlaps(sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert len(seen) > 5 and sum(seen) == sum(map(len, sets)) and max(seen) < 3500
+
+
+def test_groups_of_long_texts_are_verified_in_smaller_blocks(spark, monkeypatch):
+    """Links and classes stay, while no task gets more than two blocks of the group's windows."""
+    rnd = random.Random(8)
+    words = [f"w{rnd.random()}" for _ in range(400)]
+    texts = [" ".join(near(rnd, words, 0.005)) for _ in range(40)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    want = by_id(forest.near_duplicates(docs))
+    monkeypatch.setattr(forest, "BLOCK_WINDOWS", 2000)
+    monkeypatch.setattr(forest, "TASK_WINDOWS", 4000)
+    sizes = spark.createDataFrame([(40, 40 * 396), (2, 10**6)], "texts long, windows long").select(forest.verified_size("texts", "windows"))
+    assert [r[0] for r in sizes.collect()] == [8 * forest.BLOCK, 2 * forest.BLOCK]
+    assert by_id(forest.near_duplicates(docs)) == want
+    assert max(r.n_links for r in want.values()) > 5
