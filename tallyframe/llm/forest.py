@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
 from tallyframe.llm.store import documents, packed, stage, unpacked
-from tallyframe.llm.textbuf import _ODD, U64, TextBuffer, grams, mix, repeats, slices, with_doc
+from tallyframe.llm.textbuf import _ODD, SHARED_SLICE, U64, TextBuffer, grams, mix, repeats, slices, with_doc
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -136,7 +136,7 @@ def _signature_batches(trees: int, depth: int, shortest: int):
     def run(batches):
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for i, j in slices(b.column("text")):
+            for i, j in slices(b.column("text"), SHARED_SLICE):
                 part = b.slice(i, j - i)
                 tb = TextBuffer(part.column("text"))
                 h, docs = shingles(tb)
@@ -148,6 +148,7 @@ def _signature_batches(trees: int, depth: int, shortest: int):
                      _binary(paths(sig, trees, depth, shortest)), _binary(sketch(sig[:, :SKETCH]))],
                     names=["row_id", "doc_id", "text_hash", "set_key", "n", "paths", "sketch"])
                 row += tb.n
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -207,7 +208,7 @@ def _numbers(t: pa.Table, keys) -> np.ndarray:
     return np.cumsum(change)
 
 
-def pairs_in_groups(group: np.ndarray, most: int = 200_000):
+def pairs_in_groups(group: np.ndarray, most: int = 50_000):
     """All pairs (i < j) of rows of the same group, in portions of about ``most``."""
     end = np.searchsorted(group, group, "right")
     count = end - np.arange(len(group)) - 1
@@ -335,7 +336,7 @@ def candidate_groups(reps: DataFrame, lengths: list[int], least: int) -> DataFra
 def _set_batches(batches):
     """The exact set of each candidate text, checked by its set key."""
     for b in batches:
-        for i, j in slices(b.column("text")):
+        for i, j in slices(b.column("text"), SHARED_SLICE):
             part = b.slice(i, j - i)
             tb = TextBuffer(part.column("text"))
             h, docs = shingles(tb)
@@ -349,6 +350,7 @@ def _set_batches(batches):
                 [keep.column(c) for c in ("node", "comp", "size", "w")]
                 + [pa.array(sets, pa.binary()), _binary(sk[at])],
                 names=["node", "comp", "size", "w", "set", "sketch"])
+    pa.default_memory_pool().release_unused()
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -395,7 +397,7 @@ def _verify_batches(least: int, threshold: float):
                 sets = [np.frombuffer(s, U64) for s in g.column("set").to_pylist()]
                 size = np.array([len(s) for s in sets])
                 found = []
-                for i, j in pairs_in_groups(np.zeros(len(node), np.int64), 50_000):
+                for i, j in pairs_in_groups(np.zeros(len(node), np.int64)):
                     # pairs inside a block belong to the task that also has the next block
                     other = np.where(block[i] == pair_lo, pair_hi, pair_lo)
                     mine = (block[i] != block[j]) | (blocks == 1) | ((block[i] + 1) % blocks == other)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.store import documents, packed, stage, text_columns, unpacked
 from tallyframe.llm.textbuf import (
-    FOLDED, U64, TextBuffer, class_of, grams, mix, repeats, slices, span_sums, with_doc,
+    FOLDED, SHARED_SLICE, U64, TextBuffer, class_of, grams, mix, repeats, slices, span_sums, with_doc,
 )
 
 MIN_DOCS = 10          # a line in this many documents of a host or fewer is never removed
@@ -78,7 +78,7 @@ def measures(tb: TextBuffer) -> dict[str, np.ndarray]:
 def _measure_batches(batches):
     row = TaskContext.get().partitionId() << 36
     for b in batches:
-        for i, j in slices(b.column("text")):
+        for i, j in slices(b.column("text"), SHARED_SLICE):
             part = b.slice(i, j - i)
             tb = TextBuffer(part.column("text"))
             cols = measures(tb)
@@ -94,6 +94,7 @@ def _measure_batches(batches):
                  *[pa.array(v.astype(np.int64)) for v in cols.values()], *lists],
                 names=["row_id", "doc_id", "text_hash", "host", *cols, "line", "line_words", "line_at"])
             row += tb.n
+    pa.default_memory_pool().release_unused()
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -148,16 +149,19 @@ def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HO
 
 def _without_lines(batches):
     """Texts without their removed lines, in the order of the lines: linear in the text."""
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        texts, removed = b.column("text").to_pylist(), b.column("removed_lines").to_pylist()
-        for i, gone in enumerate(removed):
-            if gone:
-                lines = texts[i].split("\n")
-                left = np.ones(len(lines), bool)
-                left[gone] = False
-                texts[i] = "\n".join([lines[k] for k in np.flatnonzero(left)])
-        yield b.set_column(at, "text", pa.array(texts, b.schema.field(at).type))
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for lo, hi in slices(batch.column("text"), SHARED_SLICE):
+            b = batch.slice(lo, hi - lo)
+            texts, removed = b.column("text").to_pylist(), b.column("removed_lines").to_pylist()
+            for i, gone in enumerate(removed):
+                if gone:
+                    lines = texts[i].split("\n")
+                    left = np.ones(len(lines), bool)
+                    left[gone] = False
+                    texts[i] = "\n".join([lines[k] for k in np.flatnonzero(left)])
+            yield b.set_column(at, "text", pa.array(texts, b.schema.field(at).type))
+    pa.default_memory_pool().release_unused()
 
 
 def apply_rules(docs: DataFrame, **parameters) -> DataFrame:

@@ -60,6 +60,11 @@ class _Powers:
 POWERS = _Powers()
 
 
+# Bytes of text whose hashes a worker makes at once where other stages share it: a buffer's arrays take about
+# 60 times its bytes, and the powers of the longest buffer stay.
+SHARED_SLICE = 1 << 19
+
+
 def slices(arr: pa.Array, max_bytes: int = 2 << 20):
     """(first, last+1) document ranges of at most ``max_bytes`` of text, or one longer document."""
     if not len(arr):
