@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyframe.llm import forest
-from tallyframe.llm.textbuf import TextBuffer
+from tallyframe.llm import forest, rules
+from tallyframe.llm.textbuf import SHARED_SLICE, TextBuffer
 from tests.llm.test_operators import SCHEMA, by_id, rows_of
 
 
@@ -140,3 +140,22 @@ def test_groups_of_long_texts_are_verified_in_smaller_blocks(spark, monkeypatch)
     assert [r[0] for r in sizes.collect()] == [8 * forest.BLOCK, 2 * forest.BLOCK]
     assert by_id(forest.near_duplicates(docs)) == want
     assert max(r.n_links for r in want.values()) > 5
+
+
+def test_workers_hash_and_cut_small_slices(monkeypatch):
+    texts = [f"first {k}\nword " + "some words " * 2000 for k in range(150)]           # 3.3 MB in one batch
+    made = []
+    monkeypatch.setattr(forest, "TextBuffer", lambda arr: made.append(sum(map(len, arr.to_pylist()))) or TextBuffer(arr))
+    monkeypatch.setattr(forest, "TaskContext", type("", (), {"get": staticmethod(lambda: type("", (), {"partitionId": lambda _: 0})())}))
+    ids = pa.array(range(150))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), ids], names=["doc_id", "text", "text_hash"])
+    out = list(forest._signature_batches(24, 8, 4)([batch]))
+    assert sum(made) == sum(map(len, texts)) and max(made) <= SHARED_SLICE
+    assert [x for b in out for x in b.column("row_id").to_pylist()] == list(range(150))
+
+    gone = [[0] if k % 2 else None for k in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(gone, pa.list_(pa.int32()))], names=["text", "removed_lines"])
+    out = list(rules._without_lines([batch]))
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in out) <= SHARED_SLICE
+    want = [t.split("\n", 1)[1] if g else t for t, g in zip(texts, gone, strict=True)]
+    assert [x for b in out for x in b.column("text").to_pylist()] == want

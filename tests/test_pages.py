@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyframe.operators import explore, pages
+from tallyframe.operators import explore, pages, selection
 
 
 def rows_of(spark):
@@ -48,3 +48,18 @@ def test_the_plan_holds_no_heap_of_the_page_number(spark, tmp_path):
     assert int(plan.split("TakeOrderedAndProject(limit=")[1].split(",")[0]) <= 1001
     assert "LessThanOrEqual(v,4999)" in plan and "GreaterThanOrEqual(v,3999)" in plan
     assert out.first().v == 4999 == explore.page_after(df, "v", (5000, "a"), 1, True, ("k",)).first().v
+
+
+def test_keys_are_counted_once_before_they_are_numbered(spark, tmp_path, monkeypatch):
+    numbered = []
+
+    def row_numbers(df, *args, **named):
+        numbered.append(df)
+        return selection.row_numbers(df, *args, **named)
+
+    monkeypatch.setattr(pages, "row_numbers", row_numbers)
+    pages.build(rows_of(spark), str(tmp_path / "index"), "v", ("k", "m"))
+    plan = numbered[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan, plan
+    want = rows_of(spark).groupBy("v", "k", "m").count()
+    assert sorted(map(tuple, numbered[0].collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
