@@ -60,8 +60,8 @@ class _Powers:
 POWERS = _Powers()
 
 
-# Bytes of text whose hashes a worker makes at once where other stages share it: a buffer's arrays take about
-# 60 times its bytes, and the powers of the longest buffer stay.
+# Bytes of text whose hashes a worker makes at once where other stages share it: a buffer's arrays take
+# many times its bytes, and the powers of the longest buffer stay.
 SHARED_SLICE = 1 << 19
 
 
